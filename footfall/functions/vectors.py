@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MS_PER_DAY = 86_400_000
 _TINY = 1e-12
@@ -24,7 +25,7 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def dot(left: pa.Array, right: pa.Array) -> pa.Array:
     """Inner product of two non-null vector columns."""
     if len(left) == 0:

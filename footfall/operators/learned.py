@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.text import or_empty
 from footfall.functions.vectors import matrix
@@ -75,7 +76,7 @@ def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float
 def project(df: DataFrame, vector: str, weights: np.ndarray, out: str) -> DataFrame:
     """Add ``out = vector @ weights``; the weights are d x k numbers shipped with the function."""
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def apply(column: pa.Array) -> pa.Array:
         product = matrix(column) @ weights if len(column) else np.empty((0, weights.shape[1]))
         offsets = np.arange(len(product) + 1, dtype=np.int32) * weights.shape[1]

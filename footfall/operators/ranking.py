@@ -127,12 +127,12 @@ def _over_catalog(instances: DataFrame, catalog: DataFrame, schema: str, work, b
     if n_items * (width + 1) * 8 <= broadcast_bytes:
         # Checked size: collected like any broadcast side, and the instances are not shuffled.
         table = stored.toArrow()
-        ids = table["iid"].to_numpy()
-        shared = spark.sparkContext.broadcast(_Catalog(ids, vx.matrix(table["vec"])))
+        shared = spark.sparkContext.broadcast((table["iid"].to_numpy(), vx.matrix(table["vec"])))
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = _Catalog(*shared.value)
             for batch in batches:
-                yield from work(shared.value, pa.Table.from_batches([batch])).to_batches()
+                yield from work(items, pa.Table.from_batches([batch])).to_batches()
 
         return instances.mapInArrow(stream, schema)
 
