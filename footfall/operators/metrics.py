@@ -11,15 +11,24 @@ from footfall.plans.positions import with_global_position
 CUTOFFS = (10, 50)
 
 
-def rank_metrics(ranks: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, rank: str = "rank") -> DataFrame:
-    """One row: n_eval, MRR, and HR and NDCG per cutoff; nulls and n_eval = 0 when there are no ranks."""
+def _metric_columns(cutoffs: tuple[int, ...], rank: str) -> list[Column]:
     r = F.col(rank)
     out = [F.count(r).alias("n_eval"), F.avg(F.lit(1.0) / r).alias("mrr")]
     for k in cutoffs:
         hit = r <= k
         out.append(F.avg(hit.cast("int")).alias(f"hr_{k}"))
         out.append(F.avg(F.when(hit, F.lit(1.0) / F.log2(r + 1)).otherwise(0.0)).alias(f"ndcg_{k}"))
-    return ranks.agg(*out)
+    return out
+
+
+def rank_metrics(ranks: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, rank: str = "rank") -> DataFrame:
+    """One row: n_eval, MRR, and HR and NDCG per cutoff; nulls and n_eval = 0 when there are no ranks."""
+    return ranks.agg(*_metric_columns(cutoffs, rank))
+
+
+def rank_metrics_by(ranks: DataFrame, groups: list[str], cutoffs: tuple[int, ...] = CUTOFFS, rank: str = "rank") -> DataFrame:
+    """:func:`rank_metrics` per group, for instance per split."""
+    return ranks.groupBy(*groups).agg(*_metric_columns(cutoffs, rank))
 
 
 def rank_percentiles(ranks: DataFrame, key: str = "instance_id", rank: str = "rank", points: tuple[int, ...] = (50, 90)) -> DataFrame:
