@@ -15,7 +15,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
@@ -31,8 +31,8 @@ TILE_ROWS = 16_384
 _STEP = 512
 
 
-def score_vectors(vectors: DataFrame, key: str, behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> DataFrame:
-    """``key, vec``: the scaled behaviour part followed by the scaled, normalised semantic part.
+def score_vector(behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> Column:
+    """The scaled behaviour part followed by the scaled, normalised semantic part.
 
     Give the scales on one side only. ``None`` leaves a term out, which is how the query-only
     and behaviour-only modes are scored.
@@ -42,7 +42,12 @@ def score_vectors(vectors: DataFrame, key: str, behaviour: str | None, semantic:
         parts.append(vx.scale(F.col(behaviour), tau_beh))
     if semantic is not None:
         parts.append(vx.scale(vx.unit(F.col(semantic)), tau_sem))
-    return vectors.select(key, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("vec"))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def score_vectors(vectors: DataFrame, key: str, behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> DataFrame:
+    """``key, vec`` with :func:`score_vector`."""
+    return vectors.select(key, score_vector(behaviour, semantic, tau_beh, tau_sem).alias("vec"))
 
 
 def pair_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: DataFrame, item: str, out: str) -> DataFrame:
@@ -53,6 +58,33 @@ def pair_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: Dat
     return joined.withColumn(out, vx.dot("_u", "_e")).select(*pairs.columns, out)
 
 
+def training_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """Add joint and attention-only scores of positive and negative items.
+
+    ``pairs`` is ``instance_id, target_iid, negative_iid``; both vector frames hold ``vec`` for
+    the joint score and ``act_vec`` for the attention-only one. Each frame is joined once per
+    role and all four products are taken in one pass.
+    """
+
+    def side(item: str, prefix: str) -> DataFrame:
+        return item_vectors.select(
+            F.col("iid").alias(item), F.col("vec").alias(f"_{prefix}"), F.col("act_vec").alias(f"_{prefix}_act")
+        )
+
+    joined = (
+        pairs.join(side("target_iid", "pos"), "target_iid")
+        .join(side("negative_iid", "neg"), "negative_iid")
+        .join(instance_vectors.select("instance_id", "vec", "act_vec"), "instance_id")
+    )
+    return joined.select(
+        *pairs.columns,
+        vx.dot("vec", "_pos").alias("pos_score"),
+        vx.dot("vec", "_neg").alias("neg_score"),
+        vx.dot("act_vec", "_pos_act").alias("act_pos_score"),
+        vx.dot("act_vec", "_neg_act").alias("act_neg_score"),
+    )
+
+
 class _Catalog:
     """Item ids in ascending order with their vectors."""
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.plans.selection import top_n
@@ -53,12 +53,14 @@ def top_epochs(log: DataFrame, run: Sequence[str], metrics: Sequence[str], k: in
 def evicted_epochs(log: DataFrame, run: Sequence[str], metrics: Sequence[str], k: int = RETAINED) -> DataFrame:
     """``run, epoch``: epochs that were among the k best of some metric when they ended, but not at the end."""
     before = Window.partitionBy(*run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+
+    def among_best(name: str) -> Column:
+        return F.size(F.filter(f"_earlier_{name}", lambda x: x >= F.col(name))) < k
+
     entered = F.lit(False)
     for name in metrics:
-        earlier = F.collect_list(name).over(before)
-        log = log.withColumn(f"_earlier_{name}", earlier)
-        as_good = F.filter(F.col(f"_earlier_{name}"), lambda x, m=name: x >= F.col(m))
-        entered = entered | (F.size(as_good) < k)
+        log = log.withColumn(f"_earlier_{name}", F.collect_list(name).over(before))
+        entered = entered | among_best(name)
     kept_once = log.where(entered).select(*run, "epoch")
     return kept_once.exceptAll(top_epochs(log, run, metrics, k).select(*run, "epoch").distinct())
 

@@ -136,30 +136,26 @@ def _queries(spark, sf, some):
     return v.queries_of(spark, sf, some)
 
 
-def _logits(spark, sf, some):
-    rows = seqs.history_rows(some)
-    return att.history_logits(rows, v.catalog(spark, sf), _queries(spark, sf, some))
-
-
-def _weights(spark, sf, some, mode):
-    return att.attention_weights(_logits(spark, sf, some), mode)
+def _attend(spark, sf, some, mode="soft"):
+    histories = att.gather_histories(some, v.catalog(spark, sf), "vec", "vec")
+    return att.attend(histories, _queries(spark, sf, some), mode)
 
 
 def _context(spark, sf, some, mode="soft"):
-    return att.context_vectors(_weights(spark, sf, some, mode))
+    return _attend(spark, sf, some, mode).select("instance_id", "context_vec")
 
 
 @query("attention_logits", sql("""
     SELECT instance_id, position, iid, round(similarity, 6) AS similarity, round(logit, 6) AS logit FROM lg
     """, extra={k: _EVAL[k] for k in ("qv", "hr", "lg")}))
 def attention_logits(spark, sf):
-    return _logits(spark, sf, v.instances(spark, sf)).select(
+    return att.attention_rows(_attend(spark, sf, v.instances(spark, sf))).select(
         "instance_id", "position", "iid", r6("similarity"), r6("logit")
     )
 
 
 def _weight_query(mode):
-    return lambda spark, sf: _weights(spark, sf, v.instances(spark, sf), mode).select(
+    return lambda spark, sf: att.attention_rows(_attend(spark, sf, v.instances(spark, sf), mode)).select(
         "instance_id", "position", r6("weight")
     )
 
@@ -184,7 +180,7 @@ query("attention_mean", sql(
                  arg_max(similarity, position) AS sim_last, max(similarity) AS sim_max
           FROM hard GROUP BY instance_id)""", extra={k: _EVAL[k] for k in ("qv", "hr", "lg", "hard")}))
 def attention_diag(spark, sf):
-    diag = att.attention_diagnostics(_weights(spark, sf, v.instances(spark, sf), "hard"))
+    diag = att.attention_diagnostics(_attend(spark, sf, v.instances(spark, sf), "hard"))
     return diag.select(
         "instance_id", r6("entropy"), r6("effective_n"), r6("top1_mass"), r6("top1_top2_margin"),
         v.joined("top_positions"), r6("sim_last"), r6("sim_max"),
@@ -238,7 +234,8 @@ def _sides(spark, sf, some, mode, user_mode="soft"):
 
 @query("semantic_score", sql(f"""
     SELECT instance_id, target_iid, round({TAU_SEM} * {_COS}, 6) AS score
-    FROM eval JOIN qv USING (instance_id) JOIN it ON it.iid = target_iid""", "eval", extra={"qv": _EVAL["qv"]}))
+    FROM eval JOIN qv USING (instance_id) JOIN it ON it.iid = target_iid""",
+    "eval", "it", extra={"qv": _EVAL["qv"]}))
 def semantic_score(spark, sf):
     some = v.instances(spark, sf)
     left, right = _sides(spark, sf, some, "query")
@@ -357,13 +354,15 @@ _PAIRS = {
 def _pair_scores(spark, sf):
     """Dual and attention-only scores of every training pair."""
     some = v.instances(spark, sf, "train")
-    left, right = _sides(spark, sf, some, "dual")
-    pairs = ranking.pair_scores(_negatives(spark, sf).drop("found"), left, right, "target_iid", "pos_score")
-    pairs = ranking.pair_scores(pairs, left, right, "negative_iid", "neg_score")
-    act = att.user_vectors(_context(spark, sf, some)).withColumnRenamed("user_vec", "vec")
-    items = v.catalog(spark, sf)
-    pairs = ranking.pair_scores(pairs, act, items, "target_iid", "act_pos_score")
-    return ranking.pair_scores(pairs, act, items, "negative_iid", "act_neg_score")
+    users = att.user_vectors(_context(spark, sf, some)).join(_queries(spark, sf, some), "instance_id")
+    left = users.select(
+        "instance_id", F.col("user_vec").alias("act_vec"),
+        ranking.score_vector("user_vec", "query_vec", TAU_BEH, TAU_SEM).alias("vec"),
+    )
+    right = v.catalog(spark, sf).select(
+        "iid", ranking.score_vector("vec", "vec").alias("vec"), F.col("vec").alias("act_vec")
+    )
+    return ranking.training_scores(_negatives(spark, sf).drop("found"), left, right)
 
 
 _SCORES = ("pos_score", "neg_score", "act_pos_score", "act_neg_score")

@@ -138,7 +138,7 @@ def history_deltas(spark, sf):
 
 @query("pad_left", sql("""
     SELECT instance_id, repeat('0,', greatest(0, 50 - len(history_iids))::INT) ||
-           array_to_string(list_slice(history_iids, -50, NULL), ',') AS padded_iids FROM inst""", "inst"))
+           array_to_string(list_slice(history_iids, greatest(len(history_iids) - 49, 1), len(history_iids)), ',') AS padded_iids FROM inst""", "inst"))
 def pad_left(spark, sf):
     padded = seqs.with_padded_history(v.instances(spark, sf, "train", "valid", "test"), 50)
     return padded.select("instance_id", joined("padded_iids"))
@@ -172,13 +172,13 @@ _WORDS = " || '-' || ".join(
 _DIGEST = f"SELECT count(*) AS n_lines, sha256(count(*)::VARCHAR || '-' || {_WORDS}) AS digest FROM (SELECT sha256(line) AS h FROM lines)"
 _LINES = {"lines": f"SELECT {_LINE} AS line FROM inst WHERE split = 'test'"}
 _LEAK = """
-    SELECT DISTINCT uid FROM proc WHERE uid IN (SELECT uid FROM proc GROUP BY uid HAVING max(value) >= 100)"""
+    SELECT DISTINCT uid FROM proc WHERE uid IN (SELECT uid FROM proc GROUP BY uid HAVING max(value) >= 250)"""
 
 
 def _leaked(spark, sf):
     """The exclusion list: users with an outlier among their visits."""
     log = v.processed(spark, sf)
-    return log.groupBy("uid").agg(F.max("value").alias("m")).where(F.col("m") >= 100).select("uid")
+    return log.groupBy("uid").agg(F.max("value").alias("m")).where(F.col("m") >= 250).select("uid")
 
 
 @query("population_fingerprint", sql(f"""

@@ -110,8 +110,6 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         (F.col("vec_id") + 1).alias("iid"),
         F.col("embedding").alias("vec"),
-        F.col("embedding").alias("key_vec"),
-        F.col("embedding").alias("value_vec"),
     )
 
 
@@ -201,8 +199,9 @@ CHAIN = {
                "timestamp" AS target_timestamp, list(iid) OVER w AS history_iids,
                list(item_id) OVER w AS history_item_ids, list("timestamp") OVER w AS history_timestamps,
                query, split, is_c4_user
-        FROM proc QUALIFY pos > 0
-        WINDOW w AS (PARTITION BY uid ORDER BY "timestamp", item_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)""",
+        FROM proc
+        WINDOW w AS (PARTITION BY uid ORDER BY "timestamp", item_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)
+        QUALIFY pos > 0""",
     "tseq": """
         SELECT uid, user_id, list(iid ORDER BY pos) AS item_seq, list(item_id ORDER BY pos) AS raw_item_seq,
                list("timestamp" ORDER BY pos) AS time_seq
