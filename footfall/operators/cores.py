@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from footfall.plans.scratch import materialise
 from footfall.plans.selection import lowest_hashed
 
 
+# Dropped keys of a k-core that are filtered on the fly before the pairs are written again.
+REWRITE_ABOVE = 200_000
+
+
 @dataclass(frozen=True)
 class Core:
     """Surviving (user, item) pairs of a k-core, and the rounds it took."""
@@ -28,32 +33,45 @@ class Core:
         return df.join(self.pairs.select(self.user, self.item), [self.user, self.item], "left_semi")
 
 
-def kcore(df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id") -> Core:
+def _without_keys(pairs: DataFrame, dropped: list[DataFrame], columns: tuple[str, str]) -> DataFrame:
+    """Pairs none of whose endpoints is among the dropped keys."""
+    if dropped:
+        every = reduce(DataFrame.unionByName, dropped)
+        for key in columns:
+            pairs = pairs.join(every.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return pairs
+
+
+def kcore(
+    df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id", rewrite_above: int = REWRITE_ABOVE
+) -> Core:
     """Drop users below ``ku`` rows and items below ``ki`` rows until nothing changes.
 
-    Both degrees of a round come from the same snapshot. The loop runs on counted pairs only;
-    each round writes the keys to drop first, so that a short list is broadcast and the pairs
-    are not shuffled. ``rounds`` includes the last round, which drops nothing.
+    Both degrees of a round come from the same snapshot, in one aggregation over counted pairs.
+    A round writes only the keys it drops: as long as these are few they are broadcast against
+    the pairs, which are neither shuffled for the filter nor written again. Above
+    ``rewrite_above`` keys the surviving pairs are written once and the list starts anew.
+    ``rounds`` includes the last round, which drops nothing.
     """
-    pairs = df.groupBy(user, item).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = materialise(pairs.where(F.col(user).isNotNull() & F.col(item).isNotNull()), "core-pairs")
-    types = dict(pairs.dtypes)
-    rounds = 0
+    columns = (user, item)
+    present = df.where(F.col(user).isNotNull() & F.col(item).isNotNull())
+    pairs = materialise(present.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "core-pairs")
+    dropped: list[DataFrame] = []
+    pending = rounds = 0
     while True:
         rounds += 1
-
-        def below(key: str, k: int) -> DataFrame:
-            low = pairs.groupBy(key).agg(F.sum("_n").alias("_d")).where(F.col("_d") < k)
-            return low.select(
-                *[F.col(c) if c == key else F.lit(None).cast(types[c]).alias(c) for c in (user, item)]
-            )
-
-        low = materialise(below(user, ku).unionByName(below(item, ki)), "core-low")
-        if low.isEmpty():
-            return Core(pairs, rounds, user, item)
-        for key in (user, item):
-            pairs = pairs.join(low.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-        pairs = materialise(pairs.select(user, item, "_n"), "core-pairs")
+        alive = _without_keys(pairs, dropped, columns)
+        degrees = alive.groupingSets([[user], [item]], user, item).agg(F.sum("_n").alias("_d"))
+        low = degrees.where(F.col("_d") < F.when(F.col(user).isNotNull(), ku).otherwise(ki))
+        stored = materialise(low.select(*columns), "core-low")
+        n_low = stored.count()
+        if not n_low:
+            return Core(alive, rounds, user, item)
+        dropped.append(stored)
+        pending += n_low
+        if pending > rewrite_above:
+            pairs = materialise(_without_keys(pairs, dropped, columns), "core-pairs")
+            dropped, pending = [], 0
 
 
 def priority_users(df: DataFrame, predicate: Column, ku: int, ki: int, user: str = "user_id", item: str = "item_id") -> DataFrame:

@@ -87,7 +87,7 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
         log = visits_dedup(spark, sf)
         placed = splits.with_sequence_position(splits.assign_split(log, visits_manifest(spark, sf)))
-        return placed.join(dense_ids(log, "user_id", "uid"), "user_id")
+        return placed.join(dense_ids(visits(spark, sf), "user_id", "uid"), "user_id")
 
     return stage(spark, sf, "processed", build)
 
