@@ -44,8 +44,14 @@ def select_available(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def scan_required(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Exactly ``columns``, without rows that miss a key."""
-    return df.select(*columns).na.drop(subset=list(keys))
+    """Exactly ``columns``, without rows that miss a key.
+
+    Plain not-null filters are pushed into the scan, which ``na.drop`` is not.
+    """
+    df = df.select(*columns)
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def scan_with_defaults(
