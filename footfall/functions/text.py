@@ -144,9 +144,15 @@ def review_piece(title: Column, text: Column, chars: int = PIECE_CHARS) -> Colum
     return F.when((title != "") | (text != ""), strip(labelled))
 
 
+def as_list(value: Column, is_array: bool) -> Column:
+    """A list column whatever came in: null and blank text become empty, text becomes one entry."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(value, empty) if is_array else F.when(is_blank(value), empty).otherwise(F.array(value))
+
+
 def pool_text(titles: Column, texts: Column, reviews: int = 5, chars: int = PIECE_CHARS) -> Column:
     """The first ``reviews`` entries of two parallel lists as pieces; empty when none has content."""
-    entries = F.slice(F.coalesce(texts, F.array().cast("array<string>")), 1, reviews)
+    entries = F.slice(as_list(texts, True), 1, reviews)
     pieces = F.transform(entries, lambda text, i: review_piece(F.get(titles, i), text, chars))
     return F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n\n")
 

@@ -199,9 +199,12 @@ def target_ranks(
     are masked unless they are the target. Equal scores rank the lower id first.
     """
     base = instances.select("instance_id", "target_iid", F.col("history_iids").alias("seen_iids"))
-    goal = pair_scores(base.select("instance_id", "target_iid"), instance_vectors, catalog, "target_iid", "target_score")
-    goal = goal.select("instance_id", F.round("target_score", DIGITS).alias("target_score"))
-    ready = base.join(goal, "instance_id").join(instance_vectors.select("instance_id", "vec"), "instance_id")
+    goals = catalog.select(F.col("iid").alias("target_iid"), F.col("vec").alias("_goal"))
+    ready = (
+        base.join(goals, "target_iid")
+        .join(instance_vectors.select("instance_id", "vec"), "instance_id")
+        .select("instance_id", "target_iid", "seen_iids", "vec", F.round(vx.dot("vec", "_goal"), DIGITS).alias("target_score"))
+    )
     counts = _over_catalog(
         ready, catalog, "instance_id bigint, n_better bigint", _count_better, broadcast_bytes, tile_rows
     )

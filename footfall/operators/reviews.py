@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import text as tx
-from footfall.plans.selection import keep_one
+from footfall.plans.scratch import materialise
+from footfall.plans.selection import keep_one, losing_rows
 
 KEYS = ("user_id", "item_id", "timestamp")
 _RENAMES = {"parent_asin": "item_id", "title": "review_title", "text": "review_text"}
@@ -102,12 +103,20 @@ def content_conflicts(hashed: DataFrame, item: str, user: str = "user_id", ratin
 def dedup_content(
     df: DataFrame, item: str, row_key: Sequence[str], title: str = "title", text: str = "text", rating: str = "rating"
 ) -> DataFrame:
-    """One row per (item, time, content); stops when copies across users disagree on the rating."""
-    hashed = with_review_hash(df, title, text)
-    conflicts = content_conflicts(hashed, item, rating=rating).first()["n_conflict_groups"]
+    """One row per (item, time, content); stops when copies across users disagree on the rating.
+
+    ``row_key`` starts with the user and, with item and time, identifies a row. Texts are hashed
+    in one pass into a stored narrow table; the conflict check and the choice of rows use that
+    table, and the wide rows only lose the rows on the usually short list of repeats.
+    """
+    columns = list(dict.fromkeys([item, "timestamp", "review_hash", "user_id", rating, *row_key]))
+    narrow = materialise(with_review_hash(df, title, text).select(*columns), "content-keys")
+    conflicts = content_conflicts(narrow, item, rating=rating).first()["n_conflict_groups"]
     if conflicts:
         raise ValueError(f"{conflicts} groups of equal reviews across users disagree on the rating")
-    return keep_one(hashed, [item, "timestamp", "review_hash"], row_key).drop("review_hash")
+    repeats = losing_rows(narrow, [item, "timestamp", "review_hash"], row_key)
+    own = [item, "timestamp", *row_key]
+    return df.join(repeats.select(*own), own, "left_anti")
 
 
 def key_integrity(df: DataFrame, keys: Sequence[str] = KEYS, time: str = "timestamp") -> DataFrame:

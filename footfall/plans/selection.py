@@ -35,34 +35,52 @@ def top_n(
     return kept if rank else kept.drop(name)
 
 
+def _winners(narrow: DataFrame, keys: Sequence[str], row_key: Sequence[str]) -> DataFrame:
+    """``keys, _winner`` for keys that occur more than once; ``narrow`` has a ``_class`` column.
+
+    However many copies a key has, each task first reduces them to one.
+    """
+    best = F.min(F.struct("_class", *row_key)).alias("_best")
+    return (
+        narrow.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_copies"), best)
+        .where(F.col("_copies") > 1)
+        .select(*keys, F.struct(*[F.col(f"_best.{c}").alias(c) for c in row_key]).alias("_winner"))
+    )
+
+
 def keep_one(
     df: DataFrame, keys: Sequence[str], row_key: Sequence[str], prefer: DataFrame | None = None
 ) -> DataFrame:
     """One row per ``keys``: the lowest ``row_key`` (which is unique within a key).
 
-    The narrow key columns are pre-aggregated on the map side, however many copies a key has,
-    and only keys that really repeat are joined back to the wide rows. Where repeats are few
-    that side is broadcast and the wide rows are never shuffled.
+    The narrow key columns are pre-aggregated, and only keys that really repeat are joined back
+    to the wide rows. Where repeats are few that side is broadcast and the wide rows are never
+    shuffled.
 
     ``prefer`` may hold ``keys + row_key + [_class]`` for the same rows; a lower ``_class``
     then wins over a lower ``row_key``.
     """
     narrow = prefer if prefer is not None else df.select(*keys, *row_key).withColumn("_class", F.lit(0))
-    best = F.min(F.struct("_class", *row_key)).alias("_best")
-    repeated = (
-        narrow.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_copies"), best)
-        .where(F.col("_copies") > 1)
-        .select(*keys, F.struct(*[F.col(f"_best.{c}").alias(c) for c in row_key]).alias("_winner"))
-    )
     own = F.struct(*[F.col(c) for c in row_key])
     return (
-        df.join(repeated, list(keys), "left")
+        df.join(_winners(narrow, keys, row_key), list(keys), "left")
         .where(F.col("_winner").isNull() | own.eqNullSafe(F.col("_winner")))
         .select(*df.columns)
     )
 
 
+def losing_rows(narrow: DataFrame, keys: Sequence[str], row_key: Sequence[str]) -> DataFrame:
+    """The rows :func:`keep_one` would drop, as ``keys + row_key``.
+
+    For keys that are costly to compute: store ``narrow`` once, take the losers from it, and
+    anti-join the wide rows on their own columns.
+    """
+    own = F.struct(*[F.col(c) for c in row_key])
+    winners = _winners(narrow.withColumn("_class", F.lit(0)), keys, row_key)
+    return narrow.join(winners, list(keys)).where(~own.eqNullSafe(F.col("_winner"))).select(*keys, *row_key)
+
+
 def lowest_hashed(
     ids: DataFrame, key: str, n: int, seed: int, priority: Column | None = None
 ) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +94,22 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def reuse_or_build(
+    spark: SparkSession, folder: str, name: str, parameters: Mapping[str, object], build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A table kept in ``folder`` under its name and a hash of its parameters; built when absent.
+
+    A build that was cut short leaves no committed files and is done again.
+    """
+    tag = hashlib.sha1(repr(sorted(parameters.items())).encode()).hexdigest()[:12]
+    path = f"{folder.rstrip('/')}/{name}-{tag}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """The split manifest, one folder per split; an existing manifest is never replaced."""
     manifest.write.mode("errorifexists").partitionBy("split").parquet(path)

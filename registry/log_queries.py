@@ -206,7 +206,7 @@ _PICK = {
     **_POOL,
     "pick": """
         SELECT user_id FROM (SELECT DISTINCT user_id FROM c12)
-        ORDER BY (user_id NOT IN (SELECT user_id FROM g12))::INT, md5('42:' || user_id), user_id LIMIT 800""",
+        ORDER BY (user_id NOT IN (SELECT user_id FROM g12))::INT, md5('42:' || user_id), user_id LIMIT (SELECT count(*) // 2 FROM customer)""",
     "picked": "SELECT * FROM pr WHERE user_id IN (SELECT user_id FROM pick)",
     **v.sql_core("picked", 20, 8, "r"),
 }
@@ -270,7 +270,8 @@ def priority_users(spark, sf):
 def _picked(spark, sf):
     log = v.purchases(spark, sf)
     good = cores.priority_users(log, F.col("quantity") >= 25, 8, 8)
-    return cores.sample_users_priority_first(_core(spark, sf).users(), good, 800)
+    half = v.table(spark, sf, "customer").count() // 2
+    return cores.sample_users_priority_first(_core(spark, sf).users(), good, half)
 
 
 @query("priority_sample", sql("SELECT user_id FROM pick", extra=_PICK))

@@ -131,3 +131,15 @@ def test_scan_reads_only_the_needed_columns(spark, sf):
     plan = tables.scan_required(spark.read.parquet(f"{sf}/events.parquet"), ["event_id", "value"], ["event_id"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,value:double>" in text and "IsNotNull(event_id)" in text
+
+
+def test_reuse_or_build(spark, tmp_path):
+    calls = []
+
+    def build(n):
+        calls.append(n)
+        return spark.range(n)
+
+    get = lambda n: tables.reuse_or_build(spark, str(tmp_path), "core", {"ku": n, "ki": 5}, lambda: build(n))
+    assert (get(3).count(), get(3).count(), get(4).count()) == (3, 3, 4)
+    assert calls == [3, 4]

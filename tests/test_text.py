@@ -96,3 +96,8 @@ def test_item_text_falls_back(spark):
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8", exclude_characters="\x00"), max_size=30), min_size=1, max_size=20))
 def test_strip_matches_python(spark, values):
     assert apply(spark, values, tx.strip) == [v.strip() for v in values]
+
+
+def test_as_list(spark):
+    assert apply(spark, ["a", "  ", None], lambda c: tx.as_list(c, False)) == [["a"], [], []]
+    assert apply(spark, [["a", None], None], lambda c: tx.as_list(c, True), "array<string>") == [["a", None], []]
