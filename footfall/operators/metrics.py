@@ -34,10 +34,9 @@ def rank_metrics_by(ranks: DataFrame, groups: list[str], cutoffs: tuple[int, ...
 def rank_percentiles(ranks: DataFrame, key: str = "instance_id", rank: str = "rank", points: tuple[int, ...] = (50, 90)) -> DataFrame:
     """One row: mean rank and, per point p, the rank at 0-based place floor(n * p / 100) of the sorted ranks."""
     placed = with_global_position(ranks.select(key, rank), [rank, key], "ranks")
-    total = placed.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    with_n = placed.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
-    at = lambda p: F.max(F.when(F.col("position") == F.floor(F.col("_n") * p / 100), F.col(rank)))
-    return with_n.agg(F.avg(rank).alias("rank_mean"), *[at(p).alias(f"rank_p{p}") for p in points])
+    n = placed.count()
+    at = lambda p: F.max(F.when(F.col("position") == n * p // 100, F.col(rank)))
+    return placed.agg(F.avg(rank).alias("rank_mean"), *[at(p).alias(f"rank_p{p}") for p in points])
 
 
 def pairwise_loss(positive: Column, negative: Column) -> Column:

@@ -152,23 +152,22 @@ def interaction_stats(df: DataFrame, user: str = "user_id", item: str = "item_id
     """One row of per-user and per-item interaction counts: mean, median, share of single-row items.
 
     The exact median keeps one entry per distinct count, and n rows have at most about
-    sqrt(2n) distinct counts, so its state stays small.
+    sqrt(2n) distinct counts, so its state stays small. Rows with a null key count for the
+    other side only.
     """
-    per_item = df.groupBy(item).count().agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum("count").alias("n_inter"),
-        F.avg("count").alias("item_inter_mean"),
-        F.median("count").alias("item_inter_median"),
-        (F.avg((F.col("count") == 1).cast("int")) * 100).alias("item_single_pct"),
+    degrees = df.groupingSets([[user], [item]], user, item).agg(F.count(F.lit(1)).alias("_d"))
+    per_item = F.when(F.col(item).isNotNull(), F.col("_d"))
+    per_user = F.when(F.col(user).isNotNull(), F.col("_d"))
+    return degrees.agg(
+        F.count(per_item).alias("n_items"),
+        F.sum(per_item).alias("n_inter"),
+        F.avg(per_item).alias("item_inter_mean"),
+        F.median(per_item).alias("item_inter_median"),
+        (F.avg((per_item == 1).cast("int")) * 100).alias("item_single_pct"),
+        F.count(per_user).alias("n_users"),
+        F.avg(per_user).alias("user_inter_mean"),
+        F.median(per_user).alias("user_inter_median"),
     )
-    per_user = df.groupBy(user).count().agg(
-        F.count(F.lit(1)).alias("n_users"),
-        F.avg("count").alias("user_inter_mean"),
-        F.median("count").alias("user_inter_median"),
-    )
-    # Two one-row tables, joined on a constant.
-    one = F.lit(1).alias("_one")
-    return per_item.select("*", one).join(per_user.select("*", one), "_one").drop("_one")
 
 
 def limit_to_first_items(df: DataFrame, n: int, iid: str = "iid") -> DataFrame:
