@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.reviews import KEYS
-from footfall.plans.positions import with_group_position
+from footfall.plans.positions import dense_ids, with_group_position
 from footfall.plans.selection import top_n
 
 MAX_HISTORY = 200
@@ -108,12 +110,34 @@ def split_audit(assigned: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def with_sequence_position(df: DataFrame) -> DataFrame:
-    """``seq_len`` and 0-based ``pos`` of every row in its user's (timestamp, item_id) order."""
-    placed = with_group_position(df, ["user_id"], ["timestamp", "item_id"], "sequence")
+def with_sequence_position(df: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+    """``seq_len`` and 0-based ``pos`` of every row in its user's (timestamp, item_id) order.
+
+    Rows are stored on the way, so give it narrow ones; see :func:`prepare_log` for wide ones.
+    """
+    placed = with_group_position(df, ["user_id"], ["timestamp", "item_id", *tie_break], "sequence")
     return placed.withColumnsRenamed({"group_position": "pos", "group_size": "seq_len"})
 
 
+def prepare_log(
+    df: DataFrame, manifest: DataFrame, ids: Mapping[str, str] | None = None, tie_break: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``split``, ``seq_len``, ``pos`` and dense ids (default ``uid`` and ``iid``) to a log.
+
+    (user, item, time) plus ``tie_break`` identifies a row; a log where it does not is refused.
+    Splits, positions and ids are worked out on these columns alone, so texts and other wide
+    columns are moved by one join at the end.
+    """
+    ids = ids if ids is not None else {"user_id": "uid", "item_id": "iid"}
+    row_key = [*KEYS, *tie_break]
+    placed = with_sequence_position(assign_split(df.select(*row_key), manifest), tie_break)
+    if not placed.groupBy(*row_key).count().where(F.col("count") > 1).isEmpty():
+        raise ValueError(f"rows are not identified by {row_key}: deduplicate or name a tie_break")
+    for key, out in ids.items():
+        placed = placed.join(dense_ids(placed, key, out), key)
+    return df.join(placed, row_key)
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     """Per split: rows, users, items."""
     return df.groupBy("split").agg(

@@ -56,6 +56,15 @@ def scan_required(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     return df
 
 
+def scan_with_row_id(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table with ``row_id``: file and row number, so that even full copies can be told apart.
+
+    The id follows the file order and is the same in every scan of the same files.
+    """
+    place = F.format_string("%s:%015d", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return spark.read.parquet(path).select("*", place.alias("row_id"))
+
+
 def scan_with_defaults(
     df: DataFrame, wanted: Sequence[str], defaults: Mapping[str, tuple[object, str]] = REVIEW_DEFAULTS
 ) -> DataFrame:

@@ -74,8 +74,7 @@ def dense_ids(spark, sf):
 
 @query("seq_positions", sql("SELECT event_id, user_id, item_id, split, uid, seq_len, pos FROM proc", "proc"))
 def seq_positions(spark, sf):
-    log = splits.assign_split(v.visits_dedup(spark, sf), v.visits_manifest(spark, sf))
-    placed = splits.with_sequence_position(log).join(number(v.visits(spark, sf), "user_id", "uid"), "user_id")
+    placed = splits.prepare_log(v.visits_dedup(spark, sf), v.visits_manifest(spark, sf), {"user_id": "uid"})
     return placed.select("event_id", "user_id", "item_id", "split", "uid", "seq_len", "pos")
 
 

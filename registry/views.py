@@ -85,9 +85,7 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated visits with split, sequence position and dense user id."""
 
     def build() -> DataFrame:
-        log = visits_dedup(spark, sf)
-        placed = splits.with_sequence_position(splits.assign_split(log, visits_manifest(spark, sf)))
-        return placed.join(dense_ids(visits(spark, sf), "user_id", "uid"), "user_id")
+        return splits.prepare_log(visits_dedup(spark, sf), visits_manifest(spark, sf), {"user_id": "uid"})
 
     return stage(spark, sf, "processed", build)
 
