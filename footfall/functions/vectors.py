@@ -1,6 +1,6 @@
 """Vector and sequence expressions over ``array`` columns.
 
-Products of two vector columns go through one Arrow function, which measured three times faster
+Products of two vector columns go through one Arrow function, which measured 2 to 3 times faster
 than ``zip_with``/``aggregate`` at 64 dimensions; work on one short array per row stays in the
 JVM. Arithmetic is in double whatever the storage type.
 """

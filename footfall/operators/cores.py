@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.plans.scratch import materialise
+from footfall.plans.scratch import materialise, new_path
 from footfall.plans.selection import lowest_hashed
 
 
@@ -33,10 +32,10 @@ class Core:
         return df.join(self.pairs.select(self.user, self.item), [self.user, self.item], "left_semi")
 
 
-def _without_keys(pairs: DataFrame, dropped: list[DataFrame], columns: tuple[str, str]) -> DataFrame:
-    """Pairs none of whose endpoints is among the dropped keys."""
+def _without_keys(pairs: DataFrame, dropped: list[str], columns: tuple[str, str]) -> DataFrame:
+    """Pairs none of whose endpoints is among the dropped keys, which lie in one table per round."""
     if dropped:
-        every = reduce(DataFrame.unionByName, dropped)
+        every = pairs.sparkSession.read.schema(pairs.select(*columns).schema).parquet(*dropped)
         for key in columns:
             pairs = pairs.join(every.select(key).where(F.col(key).isNotNull()), key, "left_anti")
     return pairs
@@ -56,18 +55,19 @@ def kcore(
     columns = (user, item)
     present = df.where(F.col(user).isNotNull() & F.col(item).isNotNull())
     pairs = materialise(present.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "core-pairs")
-    dropped: list[DataFrame] = []
+    dropped: list[str] = []
     pending = rounds = 0
     while True:
         rounds += 1
         alive = _without_keys(pairs, dropped, columns)
         degrees = alive.groupingSets([[user], [item]], user, item).agg(F.sum("_n").alias("_d"))
         low = degrees.where(F.col("_d") < F.when(F.col(user).isNotNull(), ku).otherwise(ki))
-        stored = materialise(low.select(*columns), "core-low")
-        n_low = stored.count()
+        path = new_path(df.sparkSession, "core-low")
+        low.select(*columns).write.parquet(path)
+        n_low = df.sparkSession.read.schema(low.select(*columns).schema).parquet(path).count()
         if not n_low:
             return Core(alive, rounds, user, item)
-        dropped.append(stored)
+        dropped.append(path)
         pending += n_low
         if pending > rewrite_above:
             pairs = materialise(_without_keys(pairs, dropped, columns), "core-pairs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footfall.functions import text as tx
-from footfall.operators import cores
+from footfall.operators import cores, enrich
 from footfall.operators import reviews as rev
 from footfall.plans.scratch import new_path
 from footfall.sources import tables
@@ -60,11 +60,9 @@ def semi_join_users(spark, sf):
     WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
 def item_meta_semi(spark, sf):
     """Metadata of the catalog items only: parts that were ever returned."""
-    from footfall.operators.enrich import catalog_metadata
-
     returned = v.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
     part = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return catalog_metadata(part, returned.select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return enrich.catalog_metadata(part, returned.select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("flatten_nested", """
