@@ -28,16 +28,19 @@ def local_session(cpus: int | str = "*", memory: str = "12g") -> SparkSession:
     return spark
 
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers, wherever the driver was started."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
+def ship_package(spark: SparkSession, folder: str | Path | None = None) -> None:
+    """Make a package folder (default: this one) importable in the Python workers.
+
+    Done once per application, wherever the driver was started.
+    """
+    package = Path(folder or Path(__file__).parent).resolve()
+    key = (spark.sparkContext.applicationId, str(package))
+    if key in _shipped:
         return
-    package = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp(prefix="footfall-py-"))
-    archive = shutil.make_archive(str(folder / "footfall"), "zip", package.parent, package.name)
+    target = Path(tempfile.mkdtemp(prefix="footfall-py-"))
+    archive = shutil.make_archive(str(target / package.name), "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    _shipped.add(key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
             ship_package(spark)
+            ship_package(spark, Path(__file__).parent)
             return build(spark, sf.rstrip("/"))
 
         run.__name__, run.__doc__ = name, build.__doc__
