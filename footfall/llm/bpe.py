@@ -1,6 +1,6 @@
 """Byte-level BPE by replaying the merges over all words of a slice of the corpus at once.
 
-A text is cut into pieces by the tokenizer's pattern. The distinct new pieces of an Arrow batch are
+A text is cut into pieces by the tokenizer's pattern. The distinct new pieces of a slice of the texts are
 laid out side by side, and an inverted index leads from each mergeable token pair (named by the
 token it makes) to its positions in them. Merges are taken in rank order from a heap; each is
 applied at all its positions in one vectorised step, and only the pairs with the two touched
@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Chunks that a worker remembers from batch to batch.
-REMEMBERED = 300_000
+#: Chunks that a worker remembers; chunks of a slice of texts, and new ones among them.
+REMEMBERED, SLICE, NEW = 300_000, 800_000, 60_000
+#: A merge with fewer positions than this is applied one by one.
+FEW = 48
 
 # The characters of the Unicode property White_Space.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,7 +71,7 @@ class Encoder:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is none."""
-        key = left * self.base + right
+        key = left.astype("int64") * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], -1)
 
@@ -77,12 +79,15 @@ class Encoder:
         """All tokens of the pieces one after another, and the number of tokens of each piece."""
         sizes = np.fromiter(map(len, pieces), "int64", len(pieces))
         starts = np.cumsum(sizes + 1) - sizes  # a separator before each piece and one at the end
-        token = np.full(int(sizes.sum()) + len(pieces) + 1, -1, "int64")
-        inside = np.ones(len(token), bool)
+        size = int(sizes.sum()) + len(pieces) + 1
+        # Each array twice: as numpy for merges with many positions, as an array for those with few.
+        tokens, afters, befores = array("i", [-1]) * size, array("i", range(1, size + 1)), array("i", range(-1, size - 1))
+        token, after, before = (np.frombuffer(x, "int32") for x in (tokens, afters, befores))
+        inside = np.ones(size, bool)
         inside[starts - 1] = inside[-1] = False
         token[inside] = self.bytes[np.frombuffer(b"".join(pieces), "uint8")]
-        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
-        pair = np.append(self._rank(token[:-1], token[1:]), -1)  # by the position of its left token
+        ranks = array("i", np.append(self._rank(token[:-1], token[1:]), -1).astype("int32").tobytes())
+        pair = np.frombuffer(ranks, "int32")  # the rank of the pair that begins at a position
         index: dict[int, list[int]] = {}
         order = np.argsort(pair, kind="stable")
         order = order[np.searchsorted(pair[order], 0) :]
@@ -90,10 +95,40 @@ class Encoder:
             index[int(pair[same[0]])] = same.tolist()
         heap = list(index)
         heapq.heapify(heap)
-        odd: list[np.ndarray] = []
+        odd: set[int] = set()
+
+        def found(new: int, place: int) -> None:
+            if new in index:
+                index[new].append(place)
+            else:
+                index[new] = [place]
+                heapq.heappush(heap, new)
+
+        lookup, base = self.pairs.get, self.base
         while heap:
             rank = heapq.heappop(heap)
-            at = np.array(sorted(set(index.pop(rank))))
+            places = sorted(set(index.pop(rank)))
+            if len(places) < FEW:
+                for i in places:
+                    if ranks[i] != rank:
+                        continue
+                    gone, left = afters[i], befores[i]
+                    right = afters[gone]
+                    tokens[i], tokens[gone], ranks[gone], afters[i], befores[right] = rank, -2, -1, right, i
+                    new = lookup(tokens[left] * base + rank, -1) if tokens[left] >= 0 else -1
+                    ranks[left] = new
+                    if new >= 0:
+                        found(new, left)
+                        if new < rank:
+                            odd.add(i)
+                    new = lookup(rank * base + tokens[right], -1) if tokens[right] >= 0 else -1
+                    ranks[i] = new
+                    if new >= 0:
+                        found(new, i)
+                        if new < rank:
+                            odd.add(i)
+                continue
+            at = np.array(places)
             at = at[pair[at] == rank]
             if len(at) > 1:  # of overlapping pairs, every other one from the left
                 step = np.arange(len(at))
@@ -110,22 +145,25 @@ class Encoder:
             made = np.full(len(at), rank)
             pair[left], pair[at] = self._rank(token[left], made), self._rank(made, token[right])
             low = (pair[left] >= 0) & (pair[left] < rank)
-            passing = self._rank(made, was)
+            passing = self._rank(made, was) if (was == rank).any() or (token[right] != was).any() else pair[at]
             low |= (passing >= 0) & (passing < rank)
-            if low.any():
-                odd.append(at[low])
-            for spot in (left, at):
-                for new, place in zip(pair[spot].tolist(), spot.tolist(), strict=True):
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(place)
+            odd.update(at[low].tolist())
+            spot = np.concatenate([left, at])
+            made = pair[spot]
+            spot = spot[np.argsort(made, kind="stable")][np.count_nonzero(made < 0) :]
+            made = pair[spot]
+            for same in np.split(spot, np.flatnonzero(np.diff(made)) + 1) if len(spot) else []:
+                new = ranks[same[0]]
+                if new in index:
+                    index[new].extend(same.tolist())
+                else:
+                    index[new] = same.tolist()
+                    heapq.heappush(heap, new)
         kept = token >= 0
         counts = np.add.reduceat(kept, starts - 1) if len(pieces) else np.zeros(0, "int64")
         ids = token[kept]
         if odd:  # a merge brought up a pair of lower rank, which goes before the rest of its piece
-            again = np.unique(np.searchsorted(starts, np.concatenate(odd), "right") - 1)
+            again = np.unique(np.searchsorted(starts, sorted(odd), "right") - 1)
             rows = np.split(ids, np.cumsum(counts)[:-1])
             for k in again.tolist():
                 rows[k] = np.array(self.replay_alone(pieces[k]), "int64")
@@ -175,21 +213,28 @@ class Encoder:
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(per_chunk))
         self.done = len(self.codes)
 
-    def encode(self, texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and the number of ids of each text."""
-        if len(self.codes) > REMEMBERED:
-            self.forget()
+    def encode(self, texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one slice of the texts after another: all ids in a row, and the number of ids of each text."""
         codes, counts = array("i"), array("q")
         for text in texts:
             before = len(codes)
             codes.extend(map(self.codes.__getitem__, _CHUNK.findall(text)))
             counts.append(len(codes) - before)
+            if len(codes) >= SLICE or len(self.codes) - self.done >= NEW:
+                yield self._ids(codes, counts)
+                codes, counts = array("i"), array("q")
+        yield self._ids(codes, counts)
+
+    def _ids(self, codes: array, counts: array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > self.done:
             self.learn()
-        codes = np.frombuffer(codes, "int32")
-        sizes = np.append(0, np.cumsum(np.diff(self.ends)[codes]))
+        rows = np.frombuffer(codes, "int32")
+        sizes = np.append(0, np.cumsum(np.diff(self.ends)[rows]))
         ends = sizes[np.cumsum(np.append(0, counts)).astype("int64")]
-        return gather(self.ids, self.ends, codes), np.diff(ends)
+        out = gather(self.ids, self.ends, rows), np.diff(ends)
+        if len(self.codes) > REMEMBERED:
+            self.forget()
+        return out
 
 
 def gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -220,9 +265,9 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder((ranks_path, pattern), shared.value, pattern)
         for batch in batches:
-            ids, counts = encoder.encode(x.as_py() or "" for x in batch)
-            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-            yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=batch.is_null())
+            ids, counts = zip(*encoder.encode(x.as_py() or "" for x in batch), strict=True)
+            ends = pa.array(np.append(0, np.cumsum(np.concatenate(counts))), pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)), mask=batch.is_null())
 
     return F.arrow_udf(run, "array<int>")(text)
 

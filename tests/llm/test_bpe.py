@@ -16,11 +16,12 @@ def library(ranks):
 
 
 def encoded(encoder, texts):
-    ids, counts = encoder.encode(iter(texts))
-    out, at = [], 0
-    for n in counts.tolist():
-        out.append(ids[at : at + n].tolist())
-        at += n
+    out = []
+    for ids, counts in encoder.encode(iter(texts)):
+        at = 0
+        for n in counts.tolist():
+            out.append(ids[at : at + n].tolist())
+            at += n
     return out
 
 
