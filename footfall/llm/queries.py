@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe
+from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -36,3 +36,135 @@ def token_digests(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTE
 def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return token_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS ws
+  FROM lines),
+worded AS (SELECT * FROM sets WHERE len(ws) > 0),
+reps AS (
+  SELECT ws, min(struct_pack(d := doc_id, l := line)) AS id, len(ws) AS n FROM worded GROUP BY ws),
+toks AS (SELECT id, n, unnest(ws) AS w FROM reps),
+df AS (SELECT w, count(*) AS df FROM toks GROUP BY w),
+ranked AS (
+  SELECT id, n, toks.w, row_number() OVER (PARTITION BY id ORDER BY df.df, toks.w) AS pos
+  FROM toks JOIN df ON toks.w = df.w),
+pre AS (SELECT * FROM ranked WHERE pos <= n - (90 * n + 99) // 100 + 1),
+cand AS (
+  SELECT DISTINCT a.id AS id, b.id AS other FROM pre a JOIN pre b ON a.w = b.w AND b.id < a.id
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90),
+gone AS (
+  SELECT DISTINCT c.id FROM cand c JOIN reps a ON c.id = a.id JOIN reps b ON c.other = b.id
+  WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 90 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+kept AS (
+  SELECT id.d AS doc_id, count(*) AS k, string_agg(id.l, ',' ORDER BY id.l) AS kept_lines
+  FROM reps WHERE id NOT IN (SELECT id FROM gone) GROUP BY id.d),
+total AS (SELECT doc_id, count(*) FILTER (len(ws) > 0) AS n_lines FROM sets GROUP BY doc_id)
+SELECT total.doc_id, n_lines, n_lines - coalesce(k, 0) AS n_removed, coalesce(kept_lines, '') AS kept_lines
+FROM total LEFT JOIN kept ON total.doc_id = kept.doc_id
+"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return lines.count_lines(docs, "doc_id", "text", lines.kept_lines(docs))
+
+
+def language_model(docs: DataFrame) -> langid.Model | None:
+    return langid.train(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), "text", language_model(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+OP6_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM base WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 4) AS s(k) GROUP BY doc_id),
+lined AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') <> '') AS ls FROM base),
+stats AS (
+  SELECT base.doc_id, source, len(ws)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM base JOIN lined ON base.doc_id = lined.doc_id LEFT JOIN covered ON base.doc_id = covered.doc_id),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats),
+hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM judged GROUP BY source),
+spread AS (
+  SELECT count(*) AS h, sum(n) AS n_all, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk, sum(n * n) AS nn FROM hosts),
+extra AS (
+  SELECT *, mean * (1 - mean) AS chance,
+    CASE WHEN n_all - nn / n_all > 0 THEN (kk - n_all * mean * mean - (h - 1) * mean * (1 - mean)) / (n_all - nn / n_all) ELSE 0 END AS extra
+  FROM spread),
+prior AS (SELECT mean, CASE WHEN extra > 0 THEN greatest(1.0, chance / extra - 1) ELSE n_all / h END AS strength FROM extra),
+rates AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.judge(docs, "doc_id", "source", quality.base_rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+RULES = (
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+)
+
+
+@query("op7_url_filters")
+def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), "page_id", "url", RULES)
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return nearjoin.near_components(table(spark, sf, "documents"))
+
+
+OP9_SQL = r"""
+WITH lined AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+marked AS (
+  SELECT r, list_transform(ls, lambda x: regexp_extract(x, '^[ \t]*((?:>[ \t]*)+)', 1)) AS ms FROM lined)
+SELECT conv_id, turn, role,
+  regexp_replace(regexp_replace(text, '^\s*\n', ''), '\s+$', '') AS text,
+  len(list_filter(ms, lambda m: m <> ''))::BIGINT AS n_quoted,
+  NULL::BIGINT AS parent_turn, turn AS root_turn, 0::BIGINT AS depth
+FROM lined JOIN marked ON lined.r = marked.r
+"""
+
+
+@query("op9_chat_quotations", OP9_SQL)
+def op9_chat_quotations(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.reply_order(table(spark, sf, "conversations"))
+
+
+@query("op10_source_mixing")
+def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return mixing.mix(docs, "doc_id", "source", "text").select("doc_id", "source", "pass", "block", "place")
