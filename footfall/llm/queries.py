@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, urls
+from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, substrings, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -75,6 +75,12 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.count_lines(docs, "doc_id", "text", lines.kept_lines(docs))
 
 
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def language_model(docs: DataFrame) -> langid.Model | None:
     return langid.train(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
 
