@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, substrings, urls
+from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, substrings, topk, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -75,6 +75,23 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.count_lines(docs, "doc_id", "text", lines.kept_lines(docs))
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
+@query("op3_exact_topk", OP3_SQL)
+def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.search(table(spark, sf, "embeddings"), "vec_id", "embedding", 50, 5)
+
+
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
