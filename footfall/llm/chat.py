@@ -55,7 +55,8 @@ def passages(lines: Column) -> Column:
 
         return let(starts, cut)
 
-    return let(lines, runs)
+    none = F.array().cast("array<struct<level: int, text: string>>")
+    return let(lines, lambda x: F.when(F.size(x) > 0, runs(x)).otherwise(none))
 
 
 def own_text(lines: Column) -> Column:

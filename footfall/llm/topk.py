@@ -64,7 +64,7 @@ def choose_pivots(vectors: DataFrame) -> Pivots:
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     radius2 = float(vectors.agg(F.max(norm2)).first()[0] or 0.0)
     sample = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
-    rows = np.array([r.v for r in sample], "float64").reshape(len(sample), -1)
+    rows = np.array([r.v for r in sample] or np.zeros((0, 1)), "float64")
     lift = np.sqrt(np.maximum(radius2 - np.einsum("ij,ij->i", rows, rows), 0.0))
     whole = np.column_stack([rows, lift])
     picked = [0] if len(whole) else []
