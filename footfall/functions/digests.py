@@ -7,46 +7,18 @@ from pyspark.sql import functions as F
 
 # 9 words of 7 hex digits: a sum of 28-bit words cannot overflow a long below 2^35 rows.
 _WORDS, _WORD_HEX = 9, 7
-# Largest text the exact digest may gather in one row (published populations are far below).
-EXACT_BYTES = 256 * 1024 * 1024
-
-
-def _digest(df: DataFrame, line: Column, *more: Column) -> DataFrame:
-    """``n_lines, digest`` and further aggregates over ``_line`` in one pass."""
-    hashed = df.select(line.alias("_line"), F.sha2(line, 256).alias("h"))
-    word = lambda i: F.conv(F.substring("h", 1 + i * _WORD_HEX, _WORD_HEX), 16, 10).cast("bigint")
-    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"w{i}") for i in range(_WORDS)]
-    totals = hashed.agg(F.count(F.lit(1)).alias("n_lines"), *sums, *more)
-    joined = F.concat_ws("-", *[F.col(c).cast("string") for c in ["n_lines", *(f"w{i}" for i in range(_WORDS))]])
-    return totals.select("n_lines", F.sha2(joined, 256).alias("digest"), *totals.columns[1 + _WORDS :])
 
 
 def multiset_digest(df: DataFrame, line: Column) -> DataFrame:
     """One row ``n_lines, digest`` that depends on the lines and their multiplicity, not on order.
 
     Each line is hashed on its own and the words of the hashes are summed, so every task
-    contributes a handful of numbers whatever the size of the table.
-    """
-    return _digest(df, line)
-
-
-def fits_exact_digest(df: DataFrame, line: Column, limit: int = EXACT_BYTES) -> bool:
-    """Whether all lines together are small enough for one row."""
-    total = df.agg(F.sum(F.octet_length(line) + 1).alias("b")).first()["b"]
-    return (total or 0) <= limit
-
-
-def joined_lines(line: Column, separator: str) -> Column:
-    """All lines in sorted order as one string; only for tables that passed ``fits_exact_digest``."""
-    return F.array_join(F.sort_array(F.collect_list(line)), separator)
-
-
-def exact_digest(df: DataFrame, line: Column, limit: int = EXACT_BYTES) -> DataFrame:
-    """One row ``n_lines, digest, sha256``; the last is the hash of the sorted lines joined by line feeds.
-
-    That value is a single hash over one sorted text, which cannot be split between tasks, so
-    the size is checked first; beyond the limit use :func:`multiset_digest`.
+    contributes a handful of numbers whatever the size of the table. (A hash over one sorted
+    text cannot be split between tasks and is not offered.)
     """
-    if not fits_exact_digest(df, line, limit):
-        raise ValueError(f"lines exceed {limit} bytes: compare multiset_digest values instead")
-    return _digest(df, line, F.sha2(joined_lines(F.col("_line"), "\n"), 256).alias("sha256"))
+    hashed = df.select(F.sha2(line, 256).alias("h"))
+    word = lambda i: F.conv(F.substring("h", 1 + i * _WORD_HEX, _WORD_HEX), 16, 10).cast("bigint")
+    sums = [F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"w{i}") for i in range(_WORDS)]
+    totals = hashed.agg(F.count(F.lit(1)).alias("n_lines"), *sums)
+    joined = F.concat_ws("-", *[F.col(c).cast("string") for c in ["n_lines", *(f"w{i}" for i in range(_WORDS))]])
+    return totals.select("n_lines", F.sha2(joined, 256).alias("digest"))

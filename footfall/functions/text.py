@@ -99,7 +99,7 @@ def general_request(domain: str) -> str:
 
 def review_line(rating: Column, title: Column, text: Column) -> Column:
     return F.concat(
-        F.lit("("), rating.cast("double").cast("string"), F.lit("/5) "), or_empty(title), F.lit(" — "), or_empty(text)
+        F.lit("("), F.coalesce(rating.cast("double"), F.lit(0.0)).cast("string"), F.lit("/5) "), or_empty(title), F.lit(" — "), or_empty(text)
     )
 
 

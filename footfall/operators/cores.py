@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.plans.scratch import materialise, new_path
-from footfall.plans.selection import lowest_hashed
+from footfall.plans.selection import keep_one, lowest_hashed
 
 
 # Dropped keys of a k-core that are filtered on the fly before the pairs are written again.
@@ -111,6 +111,6 @@ def resampled_core(
     return core.restrict(rows), core.rounds
 
 
-def surviving_rows(wide: DataFrame, keys: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Wide rows whose key is among the light pass's survivors, one per key."""
-    return wide.join(keys.select(*columns).distinct(), list(columns), "left_semi").dropDuplicates(list(columns))
+def surviving_rows(wide: DataFrame, keys: DataFrame, columns: tuple[str, ...], row_id: str = "row_id") -> DataFrame:
+    """Wide rows whose key is among the light pass's survivors, of each key the one with the lowest ``row_id``."""
+    return keep_one(wide.join(keys.select(*columns).distinct(), list(columns), "left_semi"), columns, [row_id])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from footfall.functions import text as tx
 from footfall.plans.selection import top_n
@@ -106,35 +108,36 @@ def fallback_rate(df: DataFrame) -> DataFrame:
 
 
 def map_texts(
-    df: DataFrame, column: str, out: str, out_type: T.DataType, batch: Callable[[list[str]], list], batch_rows: int = BATCH_ROWS, retries: int = 2
+    df: DataFrame, column: str, out: str, out_type: T.DataType, batch: Callable[[list[str]], list], batch_rows: int = BATCH_ROWS,
+    retries: int = 2, retry_on: tuple[type[Exception], ...] = (OSError, RuntimeError), pause: float = 0.1,
 ) -> DataFrame:
     """Add ``out``: ``batch`` applied to lists of texts inside the tasks.
 
-    This is the extension point for an external text generator or encoder. A failing batch is
-    retried; ``batch`` may be called again for the same rows when a task is retried.
+    This is the extension point for an external text generator or encoder. Only the text column
+    goes to Python; the others stay as they are. A call that fails with one of ``retry_on`` is
+    repeated after a pause that doubles; ``batch`` may also be called again for the same rows
+    when a task is retried.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, out_type)])
 
     def call(texts: list[str]) -> list:
         for attempt in range(retries + 1):
             try:
                 answers = list(batch(texts))
                 break
-            except Exception:
+            except retry_on:
                 if attempt == retries:
                     raise
+                time.sleep(min(30.0, pause * 2**attempt))
         if len(answers) != len(texts):
             raise ValueError(f"{len(texts)} texts in, {len(answers)} results out")
         return answers
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch_rows):
-                piece = frame.iloc[start : start + batch_rows].copy()
-                piece[out] = call(piece[column].tolist())
-                yield piece
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            pieces = [call(texts.slice(i, batch_rows).to_pylist()) for i in range(0, len(texts), batch_rows)]
+            yield pa.array([answer for piece in pieces for answer in piece], to_arrow_type(out_type))
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, F.arrow_udf(run, out_type)(F.col(column)))
 
 
 def generate_queries(prompts: DataFrame, generator: Callable[[list[str]], list[str]], domain: str) -> DataFrame:

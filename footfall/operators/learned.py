@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 
 from footfall.functions.text import or_empty
 from footfall.functions.vectors import matrix
+from footfall.plans.scratch import materialise
+
+# Counted pairs of a factorisation block; the number of blocks follows the data.
+PAIRS_PER_BLOCK = 2_000_000
 
 
 def hashed_text_vectors(df: DataFrame, key: str, text: str, dimensions: int = 256, prefix: str = "") -> DataFrame:
@@ -38,8 +42,13 @@ def hashed_text_vectors(df: DataFrame, key: str, text: str, dimensions: int = 25
 def behaviour_vectors(df: DataFrame, rank: int = 32, iterations: int = 10, seed: int = 42, user: str = "uid", item: str = "iid") -> tuple[DataFrame, DataFrame]:
     """``iid, vec`` and ``uid, vec``: factors of implicit feedback, with repeats as strength."""
     counts = df.groupBy(user, item).agg(F.count(F.lit(1)).cast("float").alias("n"))
+    counts = materialise(counts, "als-counts")
+    facts = counts.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(user, item)).alias("top")).first()
+    if (facts["top"] or 0) >= 1 << 31:
+        raise ValueError("the factorisation takes ids below 2**31: number users and items densely first")
+    blocks = max(10, -(-facts["n"] // PAIRS_PER_BLOCK))
     counts = counts.select(F.col(user).cast("int").alias(user), F.col(item).cast("int").alias(item), "n")
-    als = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol=user, itemCol=item, ratingCol="n")
+    als = ALS(numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol=user, itemCol=item, ratingCol="n")
     model = als.fit(counts)
     pick = lambda factors, name: factors.select(F.col("id").cast("bigint").alias(name), F.col("features").alias("vec"))
     return pick(model.itemFactors, "iid"), pick(model.userFactors, "uid")

@@ -35,16 +35,16 @@ def first_reviews(df: DataFrame, review_key: str, n: int = FALLBACK_REVIEWS) ->
     )
 
 
-def leak_keys(manifest: DataFrame, scope: str = "eval") -> DataFrame:
+def leak_keys(manifest: DataFrame, kind: str = "eval") -> DataFrame:
     """Keys of held-out reviews: ``item_id, user_id, timestamp, review_hash``.
 
-    Works on a manifest or on an assigned interaction table; scopes other than ``eval`` and
+    Works on a manifest or on an assigned interaction table; kinds other than ``eval`` and
     ``valid_test`` give no keys.
     """
     keys = manifest.where(F.col("split").isin("valid", "test")).select(
         "item_id", "user_id", "timestamp", "review_hash"
     )
-    return (keys if scope in ("eval", "valid_test") else keys.where(F.lit(False))).distinct()
+    return (keys if kind in ("eval", "valid_test") else keys.where(F.lit(False))).distinct()
 
 
 def flag_held_out(reviews: DataFrame, keys: DataFrame) -> DataFrame:
@@ -62,8 +62,13 @@ def flag_held_out(reviews: DataFrame, keys: DataFrame) -> DataFrame:
     return flagged.withColumn("held_out", held).drop("_row", "_content")
 
 
+def _votes() -> Column:
+    """Votes; none where they are not known."""
+    return F.coalesce(F.col("helpful_vote"), F.lit(0))
+
+
 def _by_votes(review_key: str) -> list[Column]:
-    return [F.col("helpful_vote").desc(), F.col("timestamp").desc(), F.col(review_key).asc()]
+    return [_votes().desc(), F.col("timestamp").desc(), F.col(review_key).asc()]
 
 
 def review_pool(narrow: DataFrame, review_key: str, cap: int = POOL_CAP, item: str = "item_id") -> DataFrame:
@@ -99,7 +104,7 @@ def would_be_selected(kept_pool: DataFrame, excluded: DataFrame, review_key: str
         excluded.select(*columns, F.lit(1).alias("_late"))
     )
     both = both.join(excluded.select("item_id").distinct(), "item_id", "left_semi")
-    order = [(-F.col("helpful_vote")).alias("_v"), "_late", (-F.col("timestamp")).alias("_t"), review_key]
+    order = [(-_votes()).alias("_v"), "_late", (-F.col("timestamp")).alias("_t"), review_key]
     ranked = with_group_position(both, ["item_id"], order, "pool-union")
     taken = _half_top_half_strided(F.col("group_position"), F.col("group_size"), n) & (F.col("_late") == 1)
     return ranked.groupBy("item_id").agg(F.max(taken.cast("int")).alias("_t")).select(

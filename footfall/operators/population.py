@@ -29,26 +29,9 @@ def population_digest(instances: DataFrame) -> DataFrame:
     return digests.multiset_digest(instances, instance_line(instances))
 
 
-def population_sha256(instances: DataFrame, limit: int = digests.EXACT_BYTES) -> DataFrame:
-    """One row ``n_lines, digest, sha256``; the last is comparable with published values.
-
-    Refuses populations above ``limit`` bytes.
-    """
-    return digests.exact_digest(instances, instance_line(instances), limit)
-
-
-def check_population(
-    instances: DataFrame, expected_n: int | None = None, expected_sha256: str | None = None, expected_digest: str | None = None
-) -> DataFrame:
-    """One row with obtained and expected values and ``status``: PASS, FAIL or SKIP.
-
-    The exact hash is only computed when one is expected.
-    """
-    if expected_sha256 is not None:
-        obtained = population_sha256(instances)
-    else:
-        obtained = population_digest(instances).withColumn("sha256", F.lit(None).cast("string"))
-    expected = {"n_lines": expected_n, "sha256": expected_sha256, "digest": expected_digest}
+def check_population(instances: DataFrame, expected_n: int | None = None, expected_digest: str | None = None) -> DataFrame:
+    """One row with obtained and expected values and ``status``: PASS, FAIL or SKIP."""
+    expected = {"n_lines": expected_n, "digest": expected_digest}
     tests = [F.col(c) == F.lit(v) for c, v in expected.items() if v is not None]
     if tests:
         ok = tests[0]
@@ -57,19 +40,16 @@ def check_population(
         status = F.when(ok, "PASS").otherwise("FAIL")
     else:
         status = F.lit("SKIP")
-    return obtained.select(
+    return population_digest(instances).select(
         F.lit(expected_n).cast("bigint").alias("expected_n"),
         F.col("n_lines").alias("obtained_n"),
-        F.lit(expected_sha256).cast("string").alias("expected_sha256"),
-        F.col("sha256").alias("obtained_sha256"),
+        F.lit(expected_digest).cast("string").alias("expected_digest"),
         F.col("digest").alias("obtained_digest"),
         status.alias("status"),
     )
 
 
-def user_set_tag(users: DataFrame, user: str = "user_id", limit: int = digests.EXACT_BYTES) -> DataFrame:
-    """One row ``tag``: 8 hex digits over the sorted, comma-joined distinct users of a short list."""
+def user_set_tag(users: DataFrame, user: str = "user_id") -> DataFrame:
+    """One row ``tag``: 8 hex digits that depend on the set of distinct users, for lists of any length."""
     ids = users.select(F.col(user).cast("string").alias("u")).distinct()
-    if not digests.fits_exact_digest(ids, F.col("u"), limit):
-        raise ValueError(f"the list exceeds {limit} bytes: tag it with multiset_digest instead")
-    return ids.agg(F.substring(F.sha1(digests.joined_lines(F.col("u"), ",")), 1, 8).alias("tag"))
+    return digests.multiset_digest(ids, F.col("u")).select(F.substring("digest", 1, 8).alias("tag"))

@@ -29,6 +29,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 16_384
 # Instances scored at once inside a task, which bounds the score block to rows x tile size.
 _STEP = 512
+# Bytes of a score block: with a large catalog of narrow vectors fewer instances are scored at once.
+_SCORE_BYTES = 32 * 1024 * 1024
 
 
 def score_vector(behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> Column:
@@ -93,10 +95,11 @@ class _Catalog:
         self.ids, self.vectors = ids[order], vectors[order]
 
     def blocks(self, vectors: np.ndarray, masked: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """Rounded score blocks of up to ``_STEP`` instances; masked items score -inf."""
-        for start in range(0, len(vectors), _STEP):
-            scores = np.round(vectors[start : start + _STEP] @ self.vectors.T, DIGITS)
-            for row, hidden in enumerate(masked[start : start + _STEP]):
+        """Rounded score blocks of up to ``_STEP`` instances and ``_SCORE_BYTES``; masked items score -inf."""
+        step = max(1, min(_STEP, _SCORE_BYTES // (8 * max(1, len(self.ids)))))
+        for start in range(0, len(vectors), step):
+            scores = np.round(vectors[start : start + step] @ self.vectors.T, DIGITS)
+            for row, hidden in enumerate(masked[start : start + step]):
                 place = np.searchsorted(self.ids, hidden)
                 inside = place < len(self.ids)
                 place, hidden = place[inside], hidden[inside]

@@ -16,9 +16,18 @@ PATIENCE, RETAINED = 20, 3
 
 
 def flatten_log(log: DataFrame, run: Sequence[str], metrics: str = "valid_full", fallback: str | None = "valid") -> DataFrame:
-    """``run, epoch`` and the fields of the nested metrics struct; epochs without metrics are dropped."""
-    nested = F.col(metrics) if metrics in log.columns else F.col(fallback)
-    return log.where(nested.isNotNull()).select(*run, "epoch", nested.alias("_m")).select(*run, "epoch", "_m.*")
+    """``run, epoch`` and the fields of the nested metrics struct; epochs without metrics are dropped.
+
+    A run that has no ``metrics`` in any epoch is read from ``fallback``.
+    """
+    if metrics not in log.columns or fallback not in log.columns:
+        nested = F.col(metrics if metrics in log.columns else fallback)
+    else:
+        has = F.max(F.col(metrics).isNotNull()).over(Window.partitionBy(*run))
+        log = log.withColumn("_has", has)
+        nested = F.when(F.col("_has"), F.col(metrics)).otherwise(F.col(fallback))
+    rows = log.select(*run, "epoch", nested.alias("_m"))
+    return rows.where(F.col("_m").isNotNull()).select(*run, "epoch", "_m.*")
 
 
 def best_epochs(log: DataFrame, run: Sequence[str], metric: str, retained: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.text import single_line
@@ -46,28 +46,31 @@ def query_instances(df: DataFrame, splits: tuple[str, ...] = ("train", "valid",
 
     Expects ``uid, user_id, iid, item_id, timestamp, pos, split, query, is_c4_user`` with ``pos``
     from :func:`with_sequence_position`. History rows come from every split. A user's sequence
-    is cut into runs by ``pos``; the last rows of a run are also handed to the next run as
-    context, so no task holds more than ``_RUN + max_history`` rows of a user and the result is
-    the same as over the whole sequence. Targets without history are left out.
+    is cut into runs by ``pos``; the last rows of a run are also handed to as many following runs
+    as they can be history of, so no task holds more than ``_RUN + max_history`` rows of a user and
+    the result is the same as over the whole sequence. Targets without history are left out.
     """
-    if max_history > _RUN:
-        raise ValueError(f"max_history is limited to {_RUN}")
     wanted = F.col("split").isin(*splits)
     extra = [c for c in ("instance_id",) if c in df.columns]
     run = F.floor(F.col("pos") / _RUN)
-    carried = F.when(F.col("pos") % _RUN >= _RUN - max_history, F.array(run, run + 1)).otherwise(F.array(run))
-    # Only targets need their texts; context rows carry ids and times.
-    payload = F.when(wanted, F.struct(F.col("query"), F.col("is_c4_user"), F.col("split"), *extra))
+    reached = F.sequence(run, F.floor((F.col("pos") + max_history) / _RUN))
+    rows = df.withColumn("_run", F.explode(reached))
+    # Only targets in their own run need their texts; context rows carry ids and times.
+    payload = F.when(wanted & (F.col("_run") == run), F.struct(F.col("query"), F.col("is_c4_user"), F.col("split"), *extra))
     row = F.struct("pos", "iid", "item_id", "timestamp", payload.alias("target"))
-    runs = df.select("uid", "user_id", F.explode(carried).alias("_run"), row.alias("_row"))
-    grouped = runs.groupBy("uid", "user_id", "_run").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    each = grouped.select("uid", "user_id", "_run", "_rows", F.posexplode("_rows").alias("_i", "_t"))
-    targets = each.where(
-        F.col("_t.target").isNotNull() & (F.col("_i") > 0) & (F.floor(F.col("_t.pos") / _RUN) == F.col("_run"))
-    )
-    start = F.greatest(F.col("_i") - max_history, F.lit(0)) + 1
-    history = F.slice("_rows", start, F.least(F.col("_i"), F.lit(max_history)))
-    return targets.select("uid", "user_id", "_t", history.alias("_h")).select(
+    grouped = rows.groupBy("uid", "user_id", "_run").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    narrow = F.transform("_rows", lambda r: F.struct(r["iid"].alias("iid"), r["item_id"].alias("item_id"), r["timestamp"].alias("timestamp")))
+    grouped = grouped.withColumn("_past", narrow)
+
+    def with_history(r: Column, i: Column) -> Column:
+        start = F.greatest(i - max_history, F.lit(0)) + 1
+        past = F.slice("_past", start, F.least(i, F.lit(max_history)))
+        return F.when(r["target"].isNotNull() & (i > 0), F.struct(r.alias("t"), past.alias("h")))
+
+    made = F.filter(F.transform("_rows", with_history), lambda x: x.isNotNull())
+    targets = grouped.select("uid", "user_id", F.explode(made).alias("_x"))
+    targets = targets.select("uid", "user_id", F.col("_x.t").alias("_t"), F.col("_x.h").alias("_h"))
+    return targets.select(
         *[F.col(f"_t.target.{c}").alias(c) for c in extra],
         "uid",
         "user_id",

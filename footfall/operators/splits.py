@@ -14,13 +14,14 @@ from footfall.plans.selection import top_n
 MAX_HISTORY = 200
 
 
-def leave_last_out(df: DataFrame, max_history: int = MAX_HISTORY) -> DataFrame:
+def leave_last_out(df: DataFrame, max_history: int = MAX_HISTORY, tie_break: Sequence[str] = ()) -> DataFrame:
     """The last ``max_history + 2`` rows of every user with ``split``.
 
     The last row is ``test``, the one before ``valid``, the rest ``train``; users with fewer
-    than three rows are all ``train``. Order is (timestamp, item_id).
+    than three rows are all ``train``. Order is (timestamp, item_id), then ``tie_break``, then a hash
+    of the row, so that it does not depend on the tasks.
     """
-    recent = [F.col("timestamp").desc(), F.col("item_id").desc()]
+    recent = [*[F.col(c).desc() for c in ("timestamp", "item_id", *tie_break)], F.xxhash64(*df.columns).desc()]
     tail = top_n(df, ["user_id"], recent, max_history + 2, rank="_from_end")
     size = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     split = (

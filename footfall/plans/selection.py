@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.plans.scratch import materialise
+
 # Up to this n Spark prunes row_number() <= n per map task before the shuffle.
 _GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 _GROUP_LIMIT_DEFAULT = 1000
@@ -63,8 +65,12 @@ def keep_one(
     """
     narrow = prefer if prefer is not None else df.select(*keys, *row_key).withColumn("_class", F.lit(0))
     own = F.struct(*[F.col(c) for c in row_key])
+    winners = _winners(narrow, keys, row_key).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:  # null keys are keys too
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        df.join(_winners(narrow, keys, row_key), list(keys), "left")
+        df.join(winners, same, "left")
         .where(F.col("_winner").isNull() | own.eqNullSafe(F.col("_winner")))
         .select(*df.columns)
     )
@@ -94,7 +100,7 @@ def lowest_hashed(
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     late = F.lit(0) if priority is None else F.when(priority, 0).otherwise(buckets)
     slot = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") + late
-    hashed = ids.select(key, digest.alias("_digest"), slot.alias("_slot"))
+    hashed = materialise(ids.select(key, digest.alias("_digest"), slot.alias("_slot")), "hashed-keys")  # read three times
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         hashed.groupBy("_slot")

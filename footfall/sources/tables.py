@@ -68,9 +68,15 @@ def scan_with_row_id(spark: SparkSession, path: str) -> DataFrame:
 def scan_with_defaults(
     df: DataFrame, wanted: Sequence[str], defaults: Mapping[str, tuple[object, str]] = REVIEW_DEFAULTS
 ) -> DataFrame:
-    """The wanted columns; those the source lacks are filled with their default."""
-    filled = [F.col(c) if c in df.columns else F.lit(defaults[c][0]).cast(defaults[c][1]).alias(c) for c in wanted]
-    return df.select(*filled)
+    """The wanted columns; those the source lacks, and nulls in numeric ones it has, become their default."""
+
+    def filled(c: str) -> Column:
+        value = F.lit(defaults[c][0]).cast(defaults[c][1]) if c in defaults else None
+        if c not in df.columns:
+            return value.alias(c)
+        return F.coalesce(F.col(c), value).alias(c) if value is not None and defaults[c][1] != "string" else F.col(c)
+
+    return df.select(*[filled(c) for c in wanted])
 
 
 def flatten_nested(df: DataFrame, chars: int = FLAT_CHARS) -> DataFrame:
@@ -108,15 +114,17 @@ def reuse_or_build(
 ) -> DataFrame:
     """A table kept in ``folder`` under its name and a hash of its parameters; built when absent.
 
-    A build that was cut short leaves no committed files and is done again.
+    A finished build is recorded in a table beside it; one that was cut short is done again.
     """
     tag = hashlib.sha1(repr(sorted(parameters.items())).encode()).hexdigest()[:12]
     path = f"{folder.rstrip('/')}/{name}-{tag}"
+    done = f"{path}.done"
     try:
-        return spark.read.parquet(path)
+        spark.read.schema("id bigint").parquet(done).first()
     except AnalysisException:
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(done)
+    return spark.read.parquet(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

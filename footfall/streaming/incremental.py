@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators.reviews import require_integrity
-from footfall.plans.selection import keep_one
+from footfall.plans.scratch import materialise
 
 
 def done_keys(outputs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -24,17 +24,30 @@ def todo(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(done, list(keys), "left_anti")
 
 
-def merge_latest(versions: Sequence[DataFrame], keys: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """Union of the versions, oldest first; per key the row of the latest version.
+def merge_latest(
+    versions: Sequence[DataFrame], keys: Sequence[str], required: Sequence[str], order: str | None = None, sort: Sequence[str] = ()
+) -> DataFrame:
+    """Union of the versions, oldest first; per key the last row of the latest version that has it.
 
-    Key repeats inside one version must already be resolved. Missing columns become null.
+    ``order`` names the column that tells the order of rows inside a version (see
+    ``scan_with_row_id``); it is not returned. Without it, repeats of a key in one version are
+    settled by a hash of the row, the same on every run. Missing columns become null. ``sort`` gives
+    the order of the result.
     """
     merged = None
-    for age, version in enumerate(reversed(versions)):
+    for age, version in enumerate(versions):
         tagged = version.withColumn("_age", F.lit(age))
         merged = tagged if merged is None else merged.unionByName(tagged, allowMissingColumns=True)
-    latest = keep_one(merged, keys, ["_age"]).drop("_age")
-    return require_integrity(latest, required, keys)
+    own = [c for c in merged.columns if c not in ("_age", order)]
+    within = F.col(order) if order else F.lit(0)
+    merged = materialise(merged.select(*own, F.struct("_age", within.alias("_o"), F.xxhash64(*own).alias("_h")).alias("_mark")), "merge")
+    best = merged.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_mark").alias("_best"))
+    same = F.col("_mark") == F.col("_best")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    latest = materialise(merged.join(best, same).select(*own).dropDuplicates(list(keys)), "merged")
+    latest = require_integrity(latest, required, keys)
+    return latest.orderBy(*sort) if sort else latest
 
 
 def write_version(df: DataFrame, base: str, version: int) -> str:

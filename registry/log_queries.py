@@ -285,16 +285,17 @@ def resampled_kcore(spark, sf):
 
 
 @query("surviving_rows", sql("""
-    SELECT DISTINCT user_id, item_id, "timestamp"
-    FROM (SELECT o_custkey AS user_id, l_partkey AS item_id, epoch_us(o_orderdate) // 1000 AS "timestamp"
-          FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    JOIN c12 USING (user_id, item_id, "timestamp")""", extra=_CORE))
+    SELECT user_id, item_id, "timestamp", arg_min(p.quantity, row_id) AS quantity
+    FROM (SELECT o_custkey AS user_id, l_partkey AS item_id, epoch_us(o_orderdate) // 1000 AS "timestamp",
+                 l_quantity AS quantity, struct_pack(o := l_orderkey, l := l_linenumber, q := l_quantity) AS row_id
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey) p
+    JOIN c12 USING (user_id, item_id, "timestamp") GROUP BY user_id, item_id, "timestamp" """, extra=_CORE))
 def surviving_rows(spark, sf):
-    """Light pass on the keys, then the wide rows of the surviving keys, one per key."""
+    """Light pass on the keys, then the wide rows of the surviving keys, the first of each key."""
     keys = ("user_id", "item_id", "timestamp")
     log = v.purchases(spark, sf)
     light = cores.kcore(log, 20, 20).restrict(log)
-    return cores.surviving_rows(v.purchase_rows(spark, sf), light, keys).select(*keys)
+    return cores.surviving_rows(v.purchase_rows(spark, sf), light, keys).select(*keys, "quantity")
 
 
 # --- resumable runs ---------------------------------------------------------------------------

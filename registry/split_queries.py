@@ -55,15 +55,16 @@ def split_assign(spark, sf):
 
 @query("split_audit", sql("""
     SELECT m.split, count(*) AS n_manifest, count(d.event_id) AS n_matched, count(*) = count(d.event_id) AS complete
-    FROM fman m
-    LEFT JOIN (SELECT * FROM fdd WHERE "timestamp" >= (SELECT avg("timestamp") FROM fdd)) d
-    USING (user_id, item_id, "timestamp") GROUP BY m.split""", "fdd", "fman"))
+    FROM (SELECT user_id, item_id, "timestamp", split FROM fman
+          UNION ALL SELECT user_id, item_id, "timestamp" + 1, split FROM fman WHERE split = 'valid') m
+    LEFT JOIN fdd d USING (user_id, item_id, "timestamp") GROUP BY m.split""", "fdd", "fman"))
 def split_audit(spark, sf):
-    """The later half of the log only, so that some manifest keys are missing."""
+    """The whole log, and a manifest with planted keys that the log does not have."""
     log = v.visits_dedup(spark, sf, fine=True)
-    middle = log.agg(F.avg("timestamp").alias("m")).first()["m"]
     manifest = v.visits_manifest(spark, sf, fine=True)
-    return splits.split_audit(splits.assign_split(log.where(F.col("timestamp") >= middle), manifest), manifest)
+    planted = manifest.where(F.col("split") == "valid").withColumn("timestamp", F.col("timestamp") + 1)
+    manifest = manifest.unionByName(planted)
+    return splits.split_audit(splits.assign_split(log, manifest), manifest)
 
 
 @query("dense_ids", sql("""
@@ -180,12 +181,9 @@ def _leaked(spark, sf):
     return log.groupBy("uid").agg(F.max("value").alias("m")).where(F.col("m") >= 250).select("uid")
 
 
-@query("population_fingerprint", sql(f"""
-    SELECT d.n_lines, d.digest, (SELECT sha256(string_agg(line, chr(10) ORDER BY line)) FROM lines) AS sha256
-    FROM ({_DIGEST}) d""", extra=_LINES))
+@query("population_fingerprint", sql(_DIGEST, extra=_LINES))
 def population_fingerprint(spark, sf):
-    """The scalable digest, and beside it the exact hash of published populations (size-checked)."""
-    return population.population_sha256(v.instances(spark, sf, "test"))
+    return population.population_digest(v.instances(spark, sf, "test"))
 
 
 @query("population_check", sql(f"""
@@ -207,9 +205,8 @@ def leak_drop(spark, sf):
     return kept.select("instance_id", "uid", "split")
 
 
-@query("user_set_tag", sql("""
-    SELECT substr(sha1(string_agg(user_id, ',' ORDER BY user_id)), 1, 8) AS tag
-    FROM (SELECT DISTINCT user_id FROM ev)""", "ev"))
+@query("user_set_tag", sql(f"SELECT substr(digest, 1, 8) AS tag FROM ({_DIGEST})",
+                          "ev", extra={"lines": "SELECT DISTINCT user_id AS line FROM ev"}))
 def user_set_tag(spark, sf):
     return population.user_set_tag(v.visits(spark, sf))
 

@@ -10,7 +10,7 @@ from registry import views as v
 from registry.base import query
 from registry.views import sql, sql_norm, sql_strip
 
-_CAP = 30
+_CAP = pools.POOL_CAP
 CARD_TEMPLATE = "Describe the item in a short card.\n\n[METADATA]\n{meta}\n\n[REVIEWS]\n{reviews}"
 QUERY_TEMPLATE = "Rephrase the review as a request.\n\n[REVIEW]\n{review}"
 INSTRUCTION = "Represent this document for retrieval."
@@ -78,7 +78,7 @@ def leak_assert(spark, sf):
 
 @query("card_stats", sql("""
     SELECT count(*) AS n_items, count(*) FILTER (coalesce(p.n, 0) = 0) AS n_items_no_review,
-           count(*) FILTER (coalesce(p.n, 0) >= 30) AS n_items_pool_capped, count(s.taken) AS n_items_with_held_out,
+           count(*) FILTER (coalesce(p.n, 0) >= 2000) AS n_items_pool_capped, count(s.taken) AS n_items_with_held_out,
            avg(s.taken) AS held_out_selected_rate
     FROM (SELECT DISTINCT item_id FROM meta) i
     LEFT JOIN (SELECT item_id, count(*) AS n FROM pool GROUP BY 1) p USING (item_id)

@@ -248,13 +248,14 @@ def purchases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def purchase_rows(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey", "l_shipdate")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
         millis("o_orderdate").alias("timestamp"),
         F.col("l_quantity").alias("quantity"),
+        F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", "l_shipdate").alias("row_id"),
     )
 
 
@@ -343,7 +344,7 @@ REVIEW_CHAIN = {
     "pool": """
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY helpful_vote DESC, "timestamp" DESC, review_id)
                AS pool_rank
-        FROM flagged WHERE NOT held_out QUALIFY pool_rank <= 30""",
+        FROM flagged WHERE NOT held_out QUALIFY pool_rank <= 2000""",
     "sel": """
         SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS c FROM pool)
         WHERE pool_rank <= 4 OR ((pool_rank - 5) % greatest(1, (c - 4) // 4) = 0

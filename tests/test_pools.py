@@ -71,7 +71,7 @@ def test_planted_leak(spark):
         pools.require_no_leak(clean.union(spark.createDataFrame([("i", "h1")], clean.schema)), keys)
 
 
-def test_leak_key_scopes(spark):
+def test_leak_key_kinds(spark):
     manifest = spark.createDataFrame([("valid", "i", "a", 1, "h"), ("train", "i", "b", 2, "g")], "split string, item_id string, user_id string, timestamp long, review_hash string")
     assert pools.leak_keys(manifest).count() == pools.leak_keys(manifest, "valid_test").count() == 1
     assert pools.leak_keys(manifest, "none").count() == 0
@@ -115,8 +115,11 @@ def test_generation_retries_and_cleans(spark):
         return [f'Query: "{p[-6:]}"\nmore' if not p.endswith("3") else "" for p in prompts]
 
     prompts = enrich.query_prompts(df, "[REVIEW]\n{review}")
-    raw = enrich.map_texts(prompts, "prompt", "_raw", StringType(), flaky, batch_rows=3, retries=30)
-    assert raw.count() == 10
+    raw = enrich.map_texts(prompts, "prompt", "_raw", StringType(), flaky, batch_rows=3, retries=30, pause=0.001)
+    assert raw.where("_raw is not null").count() == 10
+    wide = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "id long, prompt string")
+    kept = enrich.map_texts(wide, "prompt", "_raw", StringType(), lambda texts: texts)
+    assert {(r["id"], r["_raw"]) for r in kept.collect()} == {(2**53 + 1, "a"), (None, "b")}
     out = enrich.generate_queries(prompts, lambda ps: [f"Query: {p[-6:]}\nmore" if not p.endswith("3") else "" for p in ps], "book")
     got = {r["k"]: (r["query"], r["is_fallback"]) for r in out.collect()}
     assert got[3] == ("general book recommendation", True) and got[4] == ("text 4", False)
@@ -140,6 +143,9 @@ def test_resume_and_merge(spark):
     assert {r["user_id"]: (r["query"], r["note"]) for r in merged.collect()} == {"a": ("new", "n"), "b": ("stays", None), "c": ("added", "n")}
     rows = spark.createDataFrame([("a", "i", 1), ("a", "i", 2)], "user_id string, item_id string, timestamp long")
     assert [r["timestamp"] for r in inc.todo(rows, inc.done_keys([old, new], KEYS), KEYS).collect()] == [2]
+    twice = spark.createDataFrame([("a", "i", 1, "q2", False, "f:2"), ("a", "i", 1, "q3", False, "f:3")], f"{OUT}, row_id string")
+    last = inc.merge_latest([old.withColumn("row_id", F.lit("f:0")), twice], KEYS, [*KEYS, "query"], order="row_id", sort=KEYS)
+    assert [(r["user_id"], r["query"]) for r in last.collect()] == [("a", "q3"), ("b", "stays")] and "row_id" not in last.columns
     with pytest.raises(ValueError, match="missing"):
         inc.merge_latest([old.drop("query")], KEYS, ["query"])
 

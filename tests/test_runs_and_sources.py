@@ -63,6 +63,10 @@ def test_nested_log(spark):
     rows = [{"run": "r", "epoch": 0, "valid_full": {"ndcg": 0.1}}, {"run": "r", "epoch": 1, "valid_full": None}]
     frame = spark.createDataFrame(rows, "run string, epoch int, valid_full struct<ndcg: double>")
     assert [tuple(r) for r in runs.flatten_log(frame, RUN).collect()] == [("r", 0, 0.1)]
+    both = frame.withColumn("valid", F.expr("named_struct('ndcg', 0.7D)"))
+    empty = both.withColumn("run", F.lit("s")).withColumn("valid_full", F.expr("cast(null as struct<ndcg: double>)"))
+    got = sorted(tuple(r) for r in runs.flatten_log(both.union(empty), RUN).collect())
+    assert got == [("r", 0, 0.1), ("s", 0, 0.7), ("s", 1, 0.7)]
 
 
 def test_seed_summary_of_published_results(spark):
