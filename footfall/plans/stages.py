@@ -111,7 +111,9 @@ def build_instances(
     if n_users > 0:
         sampled = cores.sample_users(log.select("user_id").distinct(), n_users, seed)
         log = cores.resampled_core(log, sampled, k_core, k_core)[0] if k_core > 0 else cores.rows_of(log, sampled)
-    ready = materialise(splits.prepare_log(log, manifest), "prepared")
+    # Dense uids and positions make a stable id of every row, and so of every instance.
+    placed = splits.prepare_log(log, manifest)
+    ready = materialise(placed.withColumn("instance_id", F.shiftleft("uid", 32) + F.col("pos")), "prepared")
     instances = materialise(sequences.query_instances(ready, max_history=max_history), "instances")
     faults = splits.verify_split(instances, manifest).first().asDict()
     if any(faults.values()):
@@ -125,6 +127,19 @@ def build_instances(
     )
 
 
+def require_vectors(instances: DataFrame, queries: DataFrame, items: DataFrame) -> None:
+    """Stops when an instance has no query vector, or its target or a history item no item vector.
+
+    Such instances would drop out of the joins without a word, and two models would be compared on
+    different users.
+    """
+    asked = instances.join(queries.select("instance_id"), "instance_id", "left_anti").count()
+    needed = instances.select(F.explode(F.concat(F.array("target_iid"), "history_iids")).alias("iid")).distinct()
+    unknown = needed.join(items.select("iid"), "iid", "left_anti").count()
+    if asked or unknown:
+        raise ValueError(f"{asked} instances without a query vector, {unknown} items without a vector")
+
+
 def evaluate(
     instances: DataFrame, queries: DataFrame, items: DataFrame, dropped: DataFrame | None = None,
     attention: str = "hard", fusion: str = "context", mode: str = "full",
@@ -132,7 +147,7 @@ def evaluate(
 ) -> DataFrame:
     """One row of metrics and rank percentiles of the usable instances over the whole catalog.
 
-    ``instances`` carry ``instance_id``; ``queries`` is ``instance_id, query_vec, attn_vec`` with
+    ``instances`` are as :func:`build_instances` leaves them; ``queries`` is ``instance_id, query_vec, attn_vec`` with
     the text vector and its projection into the behaviour space; ``items`` is ``iid, text_vec,
     behaviour_vec``. ``mode`` is ``full``, ``query_only`` or ``behaviour_only``; residual fusion
     has no semantic term.
@@ -141,6 +156,7 @@ def evaluate(
     if dropped is not None:
         usable = population.drop_listed(usable, dropped)
     usable = materialise(usable, "evaluated")
+    require_vectors(usable, queries, items)
     behaviour, semantic = mode != "query_only", mode != "behaviour_only" and not (mode == "full" and fusion == "residual")
     sides = queries.join(usable.select("instance_id"), "instance_id", "left_semi")
     if behaviour:

@@ -87,7 +87,8 @@ def test_disagreeing_manifest_is_refused(built):
 
 @pytest.mark.parametrize("mode,fusion", [("full", "context"), ("query_only", "context"), ("full", "residual")])
 def test_evaluation(spark, prepared, mode, fusion):
-    test = prepared.instances.where("split = 'test'").withColumn("instance_id", F.col("uid"))
+    test = prepared.instances.where("split = 'test'")
+    assert test.select("instance_id").distinct().count() == test.count()
     items, _ = learned.behaviour_vectors(prepared.log.where("split = 'train'"), rank=8, iterations=3)
     texts = learned.hashed_text_vectors(prepared.items(), "iid", "item_id", 32, tx.PASSAGE_PREFIX)
     catalog = texts.withColumnRenamed("vec", "text_vec").join(items.withColumnRenamed("vec", "behaviour_vec"), "iid")
@@ -95,6 +96,9 @@ def test_evaluation(spark, prepared, mode, fusion):
     weights = np.random.default_rng(0).normal(size=(32, 8))
     asked = learned.project(asked.withColumnRenamed("vec", "query_vec"), "query_vec", weights, "attn_vec")
     dropped = spark.createDataFrame([(1,), (2,)], "uid long")
+    with pytest.raises(ValueError, match="1 instances without a query vector"):
+        some = asked.where(asked["instance_id"] != test.agg(F.max("instance_id")).first()[0])
+        stages.evaluate(test, some, catalog, mode=mode, fusion=fusion)
     row = stages.evaluate(test, asked, catalog, dropped, mode=mode, fusion=fusion).first()
     assert row["n_eval"] == test.where("uid > 2").count()
     assert 0 <= row["hr_10"] <= row["hr_50"] <= 1 and 0 < row["mrr"] <= 1
