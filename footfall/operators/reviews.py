@@ -12,6 +12,7 @@ from footfall.plans.scratch import materialise
 from footfall.plans.selection import keep_one, losing_rows
 
 KEYS = ("user_id", "item_id", "timestamp")
+# Column names, required columns and types of the tables that are exchanged.
 _RENAMES = {"parent_asin": "item_id", "title": "review_title", "text": "review_text"}
 _REQUIRED = ("user_id", "item_id", "timestamp", "query")
 _CASTS = {

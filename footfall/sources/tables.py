@@ -25,9 +25,21 @@ REVIEW_SCHEMA = T.StructType(
     ]
 )
 MANIFEST_ROW = "user_id string, item_id string, timestamp bigint, review_hash string, history array<string>"
+_MANIFEST_ROWS = T.ArrayType(
+    T.StructType()
+    .add("user_id", T.StringType())
+    .add("item_id", T.StringType())
+    .add("timestamp", T.LongType())
+    .add("review_hash", T.StringType())
+    .add("history", T.ArrayType(T.StringType()))
+)
 MANIFEST_SCHEMA = (
-    f"dataset string, n_users bigint, n_items bigint, valid array<struct<{MANIFEST_ROW.replace(' ', ':').replace(',:', ',')}>>, "
-    f"test array<struct<{MANIFEST_ROW.replace(' ', ':').replace(',:', ',')}>>"
+    T.StructType()
+    .add("dataset", T.StringType())
+    .add("n_users", T.LongType())
+    .add("n_items", T.LongType())
+    .add("valid", _MANIFEST_ROWS)
+    .add("test", _MANIFEST_ROWS)
 )
 # What a review scan assumes for columns a file does not have.
 REVIEW_DEFAULTS: Mapping[str, tuple[object, str]] = {
