@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -213,7 +214,7 @@ CHAIN = {
 
 
 def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """``body`` with the named views, and everything they read, as common table expressions."""
+    """``body`` with the named views, those of ``extra`` it names, and all they read, as common table expressions."""
     pool = {**CHAIN, **REVIEW_CHAIN, **(extra or {})}
     needed: list[str] = []
 
@@ -225,7 +226,7 @@ def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
                 add(other)
         needed.append(name)
 
-    for name in [*names, *(extra or {})]:
+    for name in [*names, *(n for n in extra or {} if re.search(rf"\b{n}\b", body))]:
         add(name)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({pool[n]})" for n in needed)
     return f"WITH {ctes}\n{body}" if needed else body
