@@ -50,8 +50,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each component of near-duplicates."""
     found = nearjoin.near_components(docs)
-    gone = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")), "near-gone")
-    return docs.join(nearjoin.checked_broadcast(gone), docs["doc_id"] == gone["_id"], "left_anti")
+    gone = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")), "near-gone")
+    return docs.join(nearjoin.checked_broadcast(gone), docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
 @_shipped

@@ -149,7 +149,8 @@ def mix(
     narrow = docs.select(F.col(source).alias("_source"), F.col(key).alias("_id"), tokens.alias("_tokens"))
     passes = materialise(plan_passes(materialise(narrow, "mix-docs"), entropy_share, most_passes, budget), "mix-plan")
     passes = passes.select(F.col("_source").alias("_s"), "whole", "rest", "blocks", "cut", "last")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_id"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("pass", "block", "place")]  # replaced
+    wide = docs.select(F.struct(*own).alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_id"))
     wide = wide.join(passes, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("block", _block("blocks"))
     before = F.struct(*_place("block")) < F.struct(F.xxhash64(F.lit("block"), F.col("cut")).alias("a"), F.col("cut").alias("block"))
     at_cut = (F.col("block") == F.col("cut")) & (F.struct(*_place("_id")) <= F.col("last"))

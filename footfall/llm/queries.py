@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def token_digests(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Number of tokens of each text, and digests of its ids and of the bytes decoded from them."""
     spark = docs.sparkSession
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")  # replaced
     ids = docs.withColumn("_ids", bpe.encode(spark, F.coalesce("text", F.lit("")), ranks_path, pattern))
     return ids.withColumn("_bytes", bpe.decode(spark, F.col("_ids"), ranks_path)).select(
         "*",

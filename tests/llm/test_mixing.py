@@ -71,10 +71,10 @@ def test_blocks_nulls_and_empty_sources(spark, monkeypatch):
     rows = [(i, "hot", "word " * (i % 9 + 1)) for i in range(400)] + [(1000 + i, None, "word " * (i % 4 + 1)) for i in range(60)]
     rows += [(2000 + i, "small", "word word") for i in range(30)] + [(3000, "silent", None), (3001, "silent", "")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, pass string").repartition(6)
-    out = mixing.mix(frame.drop("pass"), "doc_id", "source", "text", 0.9, 3.0).collect()
+    out = mixing.mix(frame, "doc_id", "source", "text", 0.9, 3.0).collect()
     check(rows, [(r.doc_id, r["pass"]) for r in out], 0.9, 3.0)
-    again = mixing.mix(frame.drop("pass").coalesce(1), "doc_id", "source", "text", 0.9, 3.0).collect()
+    again = mixing.mix(frame.coalesce(1), "doc_id", "source", "text", 0.9, 3.0).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
-    assert mixing.mix(frame.drop("pass").limit(0), "doc_id", "source", "text").count() == 0
-    half = mixing.mix(frame.drop("pass"), "doc_id", "source", "text", None, None, budget=1000.0).collect()
+    assert mixing.mix(frame.limit(0), "doc_id", "source", "text").count() == 0
+    half = mixing.mix(frame, "doc_id", "source", "text", None, None, budget=1000.0).collect()
     assert 900 <= sum(len(brute.words(r.text)) for r in half) <= 1001 and all(r["pass"] == 0 for r in half)
