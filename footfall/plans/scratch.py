@@ -29,9 +29,22 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/footfall/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the scratch folder that no other table uses."""
-    return f"{scratch_root(spark).rstrip('/')}/footfall/{tag}-{uuid.uuid4().hex}"
+    """A path in the application's scratch folder that no other table uses."""
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete all intermediates of this application.
+
+    Call it when the results are written: frames that read an intermediate cannot be used afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.plans import positions, selection
+from footfall.plans import positions, scratch, selection
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,12 @@ def test_lowest_hashed_is_exact(spark, n):
     early = selection.lowest_hashed(ids, "u", n, 42, priority=F.col("u") < 50)
     order.sort(key=lambda u: u >= 50)
     assert {r["u"] for r in early.collect()} == set(order[:n])
+
+
+def test_intermediates_are_removed_on_demand(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "_own_folder", lambda _: str(tmp_path / "own"))
+    stored = scratch.materialise(spark.range(5), "kept")
+    assert stored.count() == 5 and (tmp_path / "own").exists()
+    scratch.remove_intermediates(spark)
+    assert not (tmp_path / "own").exists()
+    scratch.remove_intermediates(spark)
