@@ -22,7 +22,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers; chunks of a slice of texts, and new ones among them.
-REMEMBERED, SLICE, NEW = 300_000, 800_000, 60_000
+REMEMBERED, SLICE, NEW = 220_000, 200_000, 60_000
 #: A merge with fewer positions than this is applied one by one.
 FEW = 48
 
