@@ -3,11 +3,11 @@
 A text is its set of word shingles; equal sets are collapsed first. In each of several independent
 trees a set walks from the root by minwise tokens: the node picks one of the set's minwise values,
 and sets with the same value go on together. Two sets of similarity s stay together at a step with
-probability s, so most unlike sets part within two steps, where the trees begin. In every node all
-sets are compared with a pivot, small nodes are compared exhaustively, and large nodes that still
-hold several components branch on. A bit sketch and the set sizes filter candidates; links are
-confirmed on the full sets, recomputed from the texts. Pairs inside a known component are not
-compared again, so a group of near copies costs linear work.
+probability s, so most unlike sets part within two steps, where the trees begin. Nodes of a few sets
+give pairs, which a bit sketch and the set sizes filter and the full sets confirm. Nodes of bounded
+size are compared exhaustively inside a task on their full sets, and return no more than one link per
+set. Larger nodes first compare all sets with a pivot; those that still hold several components
+branch on. So a group of near copies of any size costs little more than linear work.
 
 At similarity s and depth d a tree keeps a pair with probability s**d; with the default twelve
 trees a pair at 0.85 is missed once in about four million at depth two, once in 90,000 at three.
@@ -28,9 +28,11 @@ from footfall.llm.small import checked_broadcast
 from footfall.llm.wordhash import WordHashes, grams, mixed, raw_texts
 from footfall.plans.scratch import materialise
 
-#: Minwise values of a set, independent trees, sets of a node that are compared exhaustively, and the
-#: depth from which even larger nodes are.
-VALUES, TREES, LEAF, DEEPEST = 128, 12, 16, 24
+#: Minwise values of a set and independent trees.
+VALUES, TREES = 128, 12
+#: Sets of a node that gives pairs; sets and shingles of a node that one task compares; the depth at
+#: which what is left gives pairs too.
+LEAF, NODE, NODE_SHINGLES, DEEPEST = 12, 2048, 3_000_000, 24
 
 
 def shingle_set(raw: bytes, n: int, words: WordHashes) -> np.ndarray:
@@ -118,50 +120,111 @@ def confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: i
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Rows ``path, x`` (a set's id, size and sketch) of nodes with two sets or more, with ``size`` and a pivot."""
+    """Rows ``path, x`` (a set's id, size and sketch) of nodes with two sets or more, with ``size``, ``weight`` and a pivot."""
     order = F.xxhash64("path", "x.id")
-    sized = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(order.alias("o"), "x")).alias("p"))
-    sized = sized.where(F.col("size") > 1).select("path", "size", F.col("p.x").alias("pivot"))
+    sized = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("x.n").alias("weight"), F.min(F.struct(order.alias("o"), "x")).alias("p")
+    )
+    sized = sized.where(F.col("size") > 1).select("path", "size", "weight", F.col("p.x").alias("pivot"))
     return materialise(rows.join(sized, "path"), "near-nodes")
 
 
+def linked_in_node(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect the components of a node's sets: each later member with the first one."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(shingle, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(shingle[order]) != 0)), len(order))
+    shared = np.zeros((m, m), "int32")
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            own = owner[order[a:b]]
+            shared[np.ix_(own, own)] += 1
+    linked = 100 * shared.astype("int64") >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    linked &= shared > 0
+    first = np.full(m, -1)
+    for start in range(m):
+        if first[start] < 0:
+            front = np.array([start])
+            while len(front):
+                first[front] = start
+                front = np.flatnonzero(linked[front].any(axis=0) & (first < 0))
+    return [(int(f), i) for i, f in enumerate(first) if f != i]
+
+
+def exhaustive(docs: DataFrame, key: str, text: str, nodes: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links ``a, b`` that connect what is similar within each node of ``path, x``; a node is one task's work."""
+    kind = docs.schema[key].dataType.simpleString()
+    nodes = nodes.select("path", F.col("x.id").alias("_id"))
+    ends = materialise(nodes.select(F.col("_id").alias("_end")).distinct(), "near-ends")
+    wide = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(checked_broadcast(ends), F.col("id") == F.col("_end"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(raw, n, words).view("int64") for raw in raw_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    sets = materialise(wide.select("id", "t").dropDuplicates(["id"]).mapInArrow(shingles, f"id {kind}, s array<bigint>"), "near-full")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, ids, members = None, [], []
+
+        def solved() -> pa.RecordBatch:
+            found = linked_in_node(members, percent) if len(members) > 1 else []
+            columns = [pa.array([ids[p[k]] for p in found], ends_type) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        for batch in batches:
+            ends_type, column = batch.schema.field("id").type, batch.column(2)
+            for i, at in enumerate(batch.column(0).to_pylist()):
+                if at != path:
+                    if ids:
+                        yield solved()
+                    path, ids, members = at, [], []
+                ids.append(batch.column(1)[i].as_py())
+                members.append(column[i].values.to_numpy(zero_copy_only=False))
+        if ids:
+            yield solved()
+
+    full = nodes.join(sets, F.col("_id") == F.col("id")).select("path", "id", "s")
+    found = full.repartition("path").sortWithinPartitions("path", "id").mapInArrow(compare, f"a {kind}, b {kind}")
+    return materialise(found.distinct(), "near-links")
+
+
 def near_links(docs: DataFrame, key: str, text: str, sets: DataFrame, percent: int, n: int) -> DataFrame:
-    """Confirmed links ``a, b`` between distinct sets (``id, n, values, b1, b2``), enough to connect each component."""
+    """Links ``a, b`` between distinct sets (``id, n, values, b1, b2``) that connect each component."""
     x = F.struct("id", "n", "b1", "b2").alias("x")
     root = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: _step(_step(F.xxhash64(t), "values"), "values"))
     nodes = _nodes(sets.select(x, F.explode(root).alias("path")))
     a, b, pivot = F.col("x"), F.col("y"), F.col("pivot")
-    links, known = None, None
-
-    def add(found: DataFrame) -> None:
-        nonlocal links, known
-        links = found if links is None else materialise(links.union(found).distinct(), "near-links")
-        known = components(links)
+    fits = (F.col("size") <= NODE) & (F.col("weight") <= NODE_SHINGLES)
+    links, pairs, whole, depth = None, None, None, 2
 
-    def component(rows: DataFrame, column: str, name: str) -> DataFrame:
-        c = known.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
-        return rows.join(c, F.col(f"{column}.id") == F.col("_i"), "left").withColumn(name, F.coalesce("_c", f"{column}.id")).drop("_i", "_c")
+    def more(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if old is None else old.union(new)
 
-    depth = 2
     while True:
-        stars = nodes.where((a["id"] != pivot["id"]) & _alike(a, pivot, percent))
-        if known is not None:
-            stars = component(component(stars, "x", "cx"), "pivot", "cp").where(F.col("cx") != F.col("cp"))
-        add(confirmed(docs, key, text, stars.select(a["id"].alias("a"), pivot["id"].alias("b")), percent, n))
-        nodes = component(nodes, "x", "c")
-        several = nodes.groupBy("path").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
-        nodes = materialise(nodes.join(several.select("path"), "path", "left_semi"), "near-mixed")
-        small = nodes if depth >= DEEPEST else nodes.where(F.col("size") <= LEAF)
-        pairs = small.select("path", "x", "c").join(small.select("path", F.col("x").alias("y"), F.col("c").alias("d")), "path")
-        pairs = pairs.where((F.col("c") < F.col("d")) & _alike(a, b, percent))
-        add(confirmed(docs, key, text, pairs.select(a["id"].alias("a"), b["id"].alias("b")), percent, n))
-        large = nodes.where(F.col("size") > LEAF)
+        small = nodes.where(F.col("size") <= LEAF)
+        if depth >= DEEPEST:
+            small = small.union(nodes.where(~fits))
+        met = small.select("path", "x").join(small.select("path", F.col("x").alias("y")), "path").where(a["id"] < b["id"])
+        pairs = more(pairs, met.where(_alike(a, b, percent)).select(a["id"].alias("a"), b["id"].alias("b")))
+        whole = more(whole, nodes.where(fits & (F.col("size") > LEAF)).select("path", "x"))
+        large = nodes.where(~fits & (F.col("size") > LEAF))
         if depth >= DEEPEST or not large.limit(1).count():
-            return links
-        walking = large.select(F.col("x.id").alias("_id"), "x", "path")
+            break
+        stars = large.where((a["id"] != pivot["id"]) & _alike(a, pivot, percent))
+        links = more(links, confirmed(docs, key, text, stars.select(a["id"].alias("a"), pivot["id"].alias("b")), percent, n))
+        known = components(links).select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+        large = large.join(known, F.col("x.id") == F.col("_i"), "left").withColumn("c", F.coalesce("_c", "x.id"))
+        several = large.groupBy("path").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
+        walking = large.join(several.select("path"), "path", "left_semi").select(F.col("x.id").alias("_id"), "x", "path")
         steps = sets.select("id", "values").join(walking, F.col("id") == F.col("_id"))
         nodes = _nodes(steps.select("x", _step(F.col("path"), "values").alias("path")))
         depth += 1
+    links = more(links, exhaustive(docs, key, text, whole, percent, n))
+    return more(links, confirmed(docs, key, text, pairs, percent, n))
 
 
 def near_components(
