@@ -22,17 +22,22 @@ from footfall.llm.quality import SPACE, _BLANKS, words_of
 from footfall.llm.small import checked_broadcast
 from footfall.plans.scratch import materialise
 
-#: Hash buckets whose word counts make the rarity classes; a fixed number, so they fit the driver.
-BUCKETS = 1 << 15
+#: Hash buckets whose word counts make the rarity classes, one byte each; a fixed number, so they
+#: fit the driver. They arrive there as strings of ROW classes.
+BUCKETS, ROW = 1 << 18, 1 << 10
 
 
-def rarity_classes(docs: DataFrame, text: str) -> list[int]:
-    """A class 0..124 for each hash bucket: quarter steps of the logarithm of its words' count in all texts."""
+def rarity_classes(docs: DataFrame, text: str) -> bytearray:
+    """A class 1..125 for each hash bucket: quarter steps of the logarithm of its words' count in all texts."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), SPACE + "+")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
-    classes = [0] * BUCKETS
-    for b, n in counts.collect():  # at most BUCKETS rows
-        classes[b] = min(124, int(4 * math.log2(n + 1)))
+    letter = F.char(F.least(F.lit(125), F.floor(F.log2(F.col("count") + 1) * 4) + 1))
+    place = F.struct((F.col("b") % ROW).alias("i"), letter.alias("c"))
+    rows = counts.groupBy(F.floor(F.col("b") / ROW).cast("int").alias("r")).agg(F.collect_list(place).alias("l"))
+    classes = bytearray(b"\1" * BUCKETS)
+    for row in rows.select("r", F.transform("l", lambda x: x["i"]).alias("i"), F.array_join(F.transform("l", lambda x: x["c"]), "").alias("c")).toLocalIterator():
+        for i, c in zip(row["i"], row["c"], strict=True):
+            classes[row["r"] * ROW + i] = ord(c)
     return classes
 
 
@@ -40,17 +45,19 @@ def _bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def line_sets(docs: DataFrame, key: str, text: str, classes: list[int]) -> DataFrame:
+def line_sets(docs: DataFrame, key: str, text: str, classes: bytearray) -> DataFrame:
     """``id, line, keys``: each line with words, and its words as numbers in the order of rarity."""
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a constant
+    table = F.lit(classes)
 
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(table, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        rarity = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint")
+        return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
-    keys = F.sort_array(F.array_distinct(F.transform(words_of(F.col("body")), number)))
-    return lines.select("id", "line", keys.alias("keys")).where(F.size("keys") > 0)
+    body = F.btrim("body", F.lit(_BLANKS))
+    keys = F.sort_array(F.array_distinct(F.transform(F.split(body, SPACE + "+"), number)))
+    return lines.where(body != "").select("id", "line", keys.alias("keys"))
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -107,14 +114,14 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
     wide = docs.select(F.col(key).alias("_k"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("body"))
     found = wide.join(checked_broadcast(wanted, "at"), F.col("_k").eqNullSafe(F.col("id")))
     found = found.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("body", i).alias("t")))).alias("x"))
-    words = found.select("id", "x.line", F.array_distinct(words_of(F.col("x.t"))).alias("w")).dropDuplicates(["id", "line"])
-    words = materialise(words, "line-words")
+    words = materialise(found.select("id", "x.line", F.col("x.t").alias("w")).dropDuplicates(["id", "line"]), "line-words")
     other = words.select(F.col("id").alias("_i"), F.col("line").alias("_l"), F.col("w").alias("v"))
     both = pairs.alias("p").join(words.alias("a"), F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.line") == F.col("a.line")))
     both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w")
     both = both.join(other, F.col("o_id").eqNullSafe(F.col("_i")) & (F.col("o_line") == F.col("_l")))
-    shared = F.size(F.array_intersect("w", "v"))
-    alike = both.withColumn("s", shared).where(F.col("s") * 100 >= (F.size("w") + F.size("v") - F.col("s")) * percent)
+    sets = both.select("id", "line", F.array_distinct(words_of(F.col("w"))).alias("w"), F.array_distinct(words_of(F.col("v"))).alias("v"))
+    sizes = sets.select("id", "line", F.size(F.array_intersect("w", "v")).alias("s"), (F.size("w") + F.size("v")).alias("n"))
+    alike = sizes.where(F.col("s") * 100 >= (F.col("n") - F.col("s")) * percent)
     return alike.select("id", "line").distinct()
 
 
@@ -157,8 +164,8 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
 def _with_kept(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` beside their lines and the numbers of those that stay."""
-    kept = checked_broadcast(kept, "kept").withColumnsRenamed({"id": "_id", "kept": "_kept"})
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = checked_broadcast(kept, "kept").withColumnsRenamed({"id": "_line_id", "kept": "_line_kept"})
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_line_id")), "left").drop("_line_id")
 
 
 def _worded(body: Column) -> Column:
@@ -169,7 +176,7 @@ def count_lines(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFr
     """``key, n_lines, n_removed, kept_lines``: lines with words, those removed, and the numbers of those that stay."""
     lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _worded))
     found = _with_kept(docs.select(F.col(key), lines.cast("bigint").alias("n_lines")), key, kept)
-    left = F.coalesce(F.col("_kept"), F.array().cast("array<int>"))
+    left = F.coalesce(F.col("_line_kept"), F.array().cast("array<int>"))
     return found.select(
         key, "n_lines", (F.col("n_lines") - F.size(left)).alias("n_removed"), F.array_join(left.cast("array<string>"), ",").alias("kept_lines")
     )
@@ -180,10 +187,10 @@ def remove_lines(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataF
 
     Lines without words stay where they are, and so do documents that have none but such lines.
     """
-    wide = _with_kept(docs, key, kept).withColumn("_lines", F.split(F.col(text), "\n"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~_worded(F.get("_lines", i)))
-    wide = wide.withColumn("_blank", F.when(F.col(text).isNotNull(), blank))
-    wide = wide.where(F.col("_kept").isNotNull() | F.col(text).isNull() | (F.size("_blank") == F.size("_lines")))
-    stay = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), F.col("_blank")))
-    body = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    wide = _with_kept(docs, key, kept).withColumn("_line_list", F.split(F.col(text), "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("_line_list") - 1), lambda i: ~_worded(F.get("_line_list", i)))
+    wide = wide.withColumn("_line_blank", F.when(F.col(text).isNotNull(), blank))
+    wide = wide.where(F.col("_line_kept").isNotNull() | F.col(text).isNull() | (F.size("_line_blank") == F.size("_line_list")))
+    stay = F.array_sort(F.concat(F.coalesce("_line_kept", F.array().cast("array<int>")), F.col("_line_blank")))
+    body = F.array_join(F.transform(stay, lambda i: F.get("_line_list", i)), "\n")
     return wide.withColumn(text, F.when(F.col(text).isNotNull(), body)).select(*docs.columns)

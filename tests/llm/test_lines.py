@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.llm import lines
 from tests.llm import brute
@@ -35,7 +36,7 @@ def test_order_ties_blank_lines_and_nulls(spark):
     rows = [
         (1, "a b c\n\n  \na c b\nx", "p"), (2, None, "q"), (3, "", "r"), (4, "x\nx", None), (5, "y\n\nz", "s"), (None, "z\ny", "t"), (6, "\n \n", "u"),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("_id", F.lit(1)).withColumn("id", F.lit(2))
     found = lines.kept_lines(docs)
     assert {r.id: r.kept for r in found.collect()} == {None: [0, 1], 1: [0, 4]}
     left = {r.doc_id: (r.text, r.kept) for r in lines.remove_lines(docs, "doc_id", "text", found).collect()}
