@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.quality import SPACE, _BLANKS, words_of
+from footfall.llm.quality import _BLANKS, SPACE
 from footfall.llm.small import checked_broadcast
 from footfall.plans.scratch import materialise
 
@@ -119,7 +119,8 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
     both = pairs.alias("p").join(words.alias("a"), F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.line") == F.col("a.line")))
     both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w")
     both = both.join(other, F.col("o_id").eqNullSafe(F.col("_i")) & (F.col("o_line") == F.col("_l")))
-    sets = both.select("id", "line", F.array_distinct(words_of(F.col("w"))).alias("w"), F.array_distinct(words_of(F.col("v"))).alias("v"))
+    words = lambda body: F.array_distinct(F.split(F.btrim(body, F.lit(_BLANKS)), SPACE + "+"))
+    sets = both.select("id", "line", words("w").alias("w"), words("v").alias("v"))
     sizes = sets.select("id", "line", F.size(F.array_intersect("w", "v")).alias("s"), (F.size("w") + F.size("v")).alias("n"))
     alike = sizes.where(F.col("s") * 100 >= (F.col("n") - F.col("s")) * percent)
     return alike.select("id", "line").distinct()
@@ -174,7 +175,8 @@ def _worded(body: Column) -> Column:
 
 def count_lines(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFrame:
     """``key, n_lines, n_removed, kept_lines``: lines with words, those removed, and the numbers of those that stay."""
-    lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _worded))
+    # One match for each line with words: from its first sign that is no white space to its end.
+    lines = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D][^\\n]*"))
     found = _with_kept(docs.select(F.col(key), lines.cast("bigint").alias("n_lines")), key, kept)
     left = F.coalesce(F.col("_line_kept"), F.array().cast("array<int>"))
     return found.select(
