@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.quality import words_of
@@ -28,8 +28,8 @@ from footfall.llm.wordhash import WordHashes, grams, mixed, raw_texts
 from footfall.plans.scratch import materialise
 
 #: Words of an anchor, windows of a segment at most, words of an automaton (about), and contents of an
-#: anchor from which its windows are counted one by one.
-ANCHOR, RUN, SHARD_WORDS, CROWDED = 8, 60, 30_000, 1000
+#: anchor from which it is split by what stands beside it, and then counted window by window.
+ANCHOR, RUN, SHARD_WORDS, CROWDED = 8, 60, 30_000, 3000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -48,9 +48,9 @@ def _leftmost_minima(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Start, number of windows, anchor and content of the segments of a text's word hashes."""
+    """Start, number of windows, place of the anchor from the start, anchor and content of a text's segments."""
     if len(hashes) < window:
-        return (np.zeros(0, "int32"),) * 2 + (np.zeros(0, "int64"),) * 2
+        return (np.zeros(0, "int32"),) * 3 + (np.zeros(0, "int64"),) * 2
     k = min(ANCHOR, window)
     g = grams(hashes, k)
     at = _leftmost_minima(g, window - k + 1)
@@ -61,13 +61,14 @@ def segments_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _BACK)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes) * powers[:-1])])
     content = mixed((sums[start + count + window - 1] - sums[start]) * back[start] + count.astype("uint64"))
-    return start.astype("int32"), count.astype("int32"), g[at[start]].view("int64"), content.view("int64")
+    place = (at[start] - start).astype("int32")
+    return start.astype("int32"), count.astype("int32"), place, g[at[start]].view("int64"), content.view("int64")
 
 
 def segments(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """``id, start, n, anchor, content`` of every segment of the whole texts."""
+    """``id, start, n, at, anchor, content`` of every segment of the whole texts."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["id", "start", "n", "anchor", "content"]
+    names = ["id", "start", "n", "at", "anchor", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -78,7 +79,7 @@ def segments(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, start int, n int, anchor bigint, content bigint")
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, start int, n int, at int, anchor bigint, content bigint")
 
 
 def with_shared_anchor(found: DataFrame) -> DataFrame:
@@ -174,35 +175,62 @@ class Automaton:
 
 
 def _shard_masks(rows: DataFrame, window: int) -> DataFrame:
-    """``anchor, content, mask`` of the references ``anchor, content, times, body``, shard by shard."""
+    """``anchor, content, mask`` of the references ``shard, anchor, content, first, times, body``, shard by shard.
+
+    ``first`` is the place of the body's first window in the reference.
+    """
     names = ["anchor", "content", "mask"]
 
-    def solve(shard: list[tuple]) -> pa.RecordBatch:
+    def solve(part: list[tuple]) -> pa.RecordBatch:
         numbers: dict[bytes, int] = {}
         automaton = Automaton()
-        coded = [[numbers.setdefault(w, len(numbers)) for w in body.split(b" ")] for *_, body in shard]
-        for (_, _, times, _), words in zip(shard, coded, strict=True):
-            automaton.add(words, times)
+        coded = [[numbers.setdefault(w, len(numbers)) for w in row[5].split(b" ")] for row in part]
+        for row, words in zip(part, coded, strict=True):
+            automaton.add(words, row[4])
         automaton.close()
-        masks = [automaton.repeats(words, window) for words in coded]
-        columns = [pa.array([r[i] for r in shard], pa.int64()) for i in (0, 1)]
+        masks = [automaton.repeats(words, window) << row[3] for row, words in zip(part, coded, strict=True)]
+        columns = [pa.array([row[i] for row in part], pa.int64()) for i in (1, 2)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = [], 0
+        part, size = [], 0
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:3]]
-            for row in zip(*columns, raw_texts(batch.column(3)), strict=True):
-                if size >= SHARD_WORDS and row[0] != shard[-1][0]:
-                    yield solve(shard)
-                    shard, size = [], 0
-                shard.append(row)
-                size += row[3].count(b" ") + 1
-        if shard:
-            yield solve(shard)
+            columns = [c.to_pylist() for c in batch.columns[:5]]
+            for row in zip(*columns, raw_texts(batch.column(5)), strict=True):
+                if size >= SHARD_WORDS and row[0] != part[-1][0]:
+                    yield solve(part)
+                    part, size = [], 0
+                part.append(row)
+                size += row[5].count(b" ") + 1
+        if part:
+            yield solve(part)
+
+    dealt = rows.select("shard", "anchor", "content", "first", F.least("times", F.lit(2)).alias("times"), "body").repartition("shard")
+    return dealt.sortWithinPartitions("shard", "anchor", "content").mapInArrow(run, "anchor bigint, content bigint, mask bigint")
+
+
+def _halves(crowded: DataFrame, window: int) -> DataFrame:
+    """References of crowded anchors in two parts, each dealt by the anchor and what all its windows hold beside it.
 
-    dealt = rows.select("anchor", "content", F.least("times", F.lit(2)).alias("times"), "body").repartition("anchor")
-    return dealt.sortWithinPartitions("anchor", "content").mapInArrow(run, "anchor bigint, content bigint, mask bigint")
+    A window has more words either before or behind its anchor, and so holds at least the nearer half
+    of what can stand there. Equal windows are in parts of the same shard.
+    """
+    k = min(ANCHOR, window)
+    half = (window - k) // 2 + 1
+    w, n, at = F.col("w"), F.col("n"), F.col("at")
+
+    def part(first: Column, last: Column, start: Column, words: int) -> Column:
+        beside = F.array_join(F.slice(w, start + 1, F.lit(words)), " ")
+        return F.when(last >= first, F.struct(
+            first.alias("first"),
+            F.xxhash64("anchor", F.lit(words), beside).alias("shard"),
+            F.array_join(F.slice(w, first + 1, last - first + window), " ").alias("body"),
+        ))
+
+    before = part(F.lit(0), F.least(n - 1, at - half), at - half, half)
+    behind = part(F.greatest(F.lit(0), at - half + 1), n - 1, at + k, window - k - half + 1)
+    rows = crowded.withColumn("w", F.split("body", " ")).select("anchor", "content", "times", F.explode(F.array_compact(F.array(before, behind))).alias("p"))
+    return rows.select("p.shard", "anchor", "content", "p.first", "times", "p.body")
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) -> DataFrame:
@@ -210,28 +238,32 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) ->
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     found = materialise(segments(docs, "id", "t", window), "segments")
     shared = materialise(with_shared_anchor(found), "segments-shared")
-    contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "n")).alias("r"))
+    contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "n", "at")).alias("r"))
     contents = materialise(contents, "segment-contents")
     copies = contents.where(F.col("times") > 1).select("anchor", "content", F.expr("shiftleft(1L, r.n) - 1").alias("mask"))
 
     many = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
     refs = contents.join(many, "anchor").select("anchor", "content", "times", "k", "r.*")
-    wanted = refs.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "times", "k", "start", "n")).alias("refs"))
+    wanted = refs.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "times", "k", "start", "n", "at")).alias("refs"))
     wanted = materialise(wanted, "segment-wanted").withColumnRenamed("id", "_id")
     wide = docs.join(checked_broadcast(wanted, "refs"), F.col("id").eqNullSafe(F.col("_id")))
     # Rows that share a key: each reference is taken from the row whose words hash to its content.
     wide = wide.select(words_of(F.col("t")).alias("w"), "refs")
     cut = F.transform("refs", lambda r: F.struct(
-        r["anchor"].alias("anchor"), r["content"].alias("content"), r["times"].alias("times"), r["k"].alias("k"), r["n"].alias("n"),
+        r["anchor"].alias("anchor"), r["content"].alias("content"), r["times"].alias("times"), r["k"].alias("k"), r["n"].alias("n"), r["at"].alias("at"),
         F.array_join(F.slice(F.col("w"), r["start"] + 1, r["n"] + (window - 1)), " ").alias("body"),
     ))
     bodies = wide.select(F.explode(cut).alias("r")).select("r.*").dropDuplicates(["anchor", "content"])
     bodies = materialise(bodies, "segment-bodies")
-    masks = _shard_masks(bodies.where(F.col("k") <= CROWDED), window)
-
-    crowded = bodies.where(F.col("k") > CROWDED).select("anchor", "content", "times", F.split("body", " ").alias("w"), "n")
-    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i + 1, F.lit(window)), " ").alias("v")))
-    crowded = crowded.select("anchor", "content", "times", F.explode(each).alias("x")).select("anchor", "content", "times", "x.i", "x.v")
+    plain = bodies.where(F.col("k") <= CROWDED).select(F.col("anchor").alias("shard"), "anchor", "content", F.lit(0).alias("first"), "times", "body")
+    halves = materialise(_halves(bodies.where(F.col("k") > CROWDED), window), "segment-halves")
+    busy = halves.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWDED).select("shard")
+    masks = _shard_masks(plain.union(halves.join(busy, "shard", "left_anti")), window)
+
+    busy = halves.join(busy, "shard", "left_semi").withColumn("w", F.split("body", " "))
+    at = F.sequence(F.lit(0), F.size("w") - window)
+    each = F.transform(at, lambda i: F.struct((F.col("first") + i).alias("i"), F.array_join(F.slice("w", i + 1, F.lit(window)), " ").alias("v")))
+    crowded = busy.select("anchor", "content", "times", F.explode(each).alias("x")).select("anchor", "content", "times", "x.i", "x.v")
     twice = crowded.groupBy("v").agg(F.sum("times").alias("s")).where(F.col("s") > 1).select("v")
     alone = crowded.join(twice, "v", "left_semi").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
 
@@ -259,8 +291,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     empty kept text. Every row stays, repeated rows too (their texts repeat each other). Rows that
     share a key are told apart by the places of their words only, so keys should be unique.
     """
-    spans = repeated_windows(docs, key, text, window).withColumnRenamed("id", "_id")
-    wide = docs.join(checked_broadcast(spans, "spans"), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    spans = repeated_windows(docs, key, text, window).withColumnsRenamed({"id": "_span_id", "spans": "_spans"})
+    wide = docs.join(spans, F.col(key).eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -280,6 +312,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 ["n_words", "n_removed", "kept_text"],
             )
 
-    out = wide.withColumn("_r", F.arrow_udf(run, "n_words bigint, n_removed bigint, kept_text string")(text, "spans"))
+    out = wide.withColumn("_span_r", F.arrow_udf(run, "n_words bigint, n_removed bigint, kept_text string")(text, "_spans"))
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    return out.select(*own, "_r.n_words", "_r.n_removed", "_r.kept_text")
+    return out.select(*own, "_span_r.n_words", "_span_r.n_removed", "_span_r.kept_text")

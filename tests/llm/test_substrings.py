@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.llm import substrings
 from footfall.llm.queries import op4_substring_dedup, table
@@ -43,7 +44,7 @@ def test_planted_passages(spark, monkeypatch, window, crowded, shard):
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None, 0), (2, "", 1), (3, "a b", 2), (4, long, 3), (5, long + " end", None), (6, "a b", 4), (6, "a b", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int").withColumns({"_id": F.lit(1), "spans": F.lit("x"), "id": F.lit(2)})
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect())
     assert got == [
         (1, 0, 0, ""), (2, 0, 0, ""), (3, 2, 0, "a b"), (4, 40_000, 40_000, ""), (5, 40_001, 40_000, "end"), (6, 2, 0, "a b"), (6, 2, 0, "a b"),
@@ -54,9 +55,9 @@ def test_odd_rows(spark):
 def test_every_window_is_in_one_segment():
     rnd = np.random.default_rng(3)
     for size, window in ((34, 35), (35, 35), (500, 35), (300, 100), (50, 2)):
-        start, count, anchor, content = substrings.segments_of(rnd.integers(0, 5, size).astype("uint64"), window)
+        start, count, place, anchor, content = substrings.segments_of(rnd.integers(0, 5, size).astype("uint64"), window)
         at = [s + i for s, n in zip(start, count, strict=True) for i in range(n)]
-        assert at == list(range(max(0, size - window + 1))) and len(anchor) == len(content) == len(start)
+        assert at == list(range(max(0, size - window + 1))) and len(anchor) == len(content) == len(place) == len(start)
 
 
 def test_automaton_counts_all_substrings():
