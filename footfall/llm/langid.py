@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A word's features are its whole form and its character n-grams, hashed into a fixed number of rows
-of an embedding table. A text is the mean of the rows of all its subwords, classified by a linear
+A word's features are the byte n-grams of its marked letters, hashed into a fixed number of rows of
+an embedding table. A text is the mean of the rows of all its subwords, classified by a linear
 softmax. Embeddings and classifier are trained together by stochastic gradient descent in numpy on
 a bounded number of labelled texts per language; the features of those are counted on the executors,
 so a text of any length reaches the driver as at most ``buckets`` counts. A temperature and a
@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from footfall.llm.wordhash import mixed, raw_texts
+
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile(r"[^\w\n]|[\d_]")  # all but letters and the ends of tokens
 
 
 @dataclass(frozen=True)
@@ -32,10 +34,10 @@ class Settings:
     buckets: int = 1 << 15
     dims: int = 16
     shortest: int = 1
-    longest: int = 4
+    longest: int = 5
     per_label: int = 700
     calibration: float = 0.25
-    epochs: int = 6
+    steps: int = 12_000
     rate: float = 0.4
     lost: float = 0.001  # share of right answers that the rejection may cost
     surely: float = 0.5  # an answer of this probability is never rejected
@@ -52,20 +54,29 @@ class Model:
     settings: Settings
 
 
-def subwords(token: str, s: Settings) -> list[int]:
-    """Buckets of a token's subwords; only its letters count."""
-    out = []
-    for word in _LETTERS.findall(token.lower()):
-        marked = f"<{word}>"
-        grams = [marked] + [
-            marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)
-        ]
-        out.extend(zlib.crc32(g.encode()) % s.buckets for g in grams)
-    return out
-
+def subwords(tokens: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all tokens, and the place of the token that each belongs to.
 
-def _as_bytes(column: pa.Array) -> Iterator[bytes]:
-    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+    A token's letters are lower-cased and put between marks; its subwords are the runs of
+    ``shortest`` to ``longest`` bytes of that. A token without letters has none.
+    """
+    text = _OTHER.sub("", b"\n".join(tokens).decode().lower())
+    raw = np.frombuffer(("<" + text.replace("\n", ">\n<") + ">").encode(), "uint8").astype("uint64")
+    ends = raw == 10
+    token = np.cumsum(ends)
+    lengths = np.bincount(token, minlength=len(tokens)) - np.append(0, np.ones(len(tokens) - 1, "int64"))
+    usable = ~ends & (lengths[token] > 2)
+    buckets, owners, h = [], [], np.zeros(len(raw), "uint64")
+    for n in range(1, s.longest + 1):
+        size = len(raw) - n + 1
+        if size <= 0:
+            break
+        h = h[:size] * np.uint64(0x9E3779B97F4A7C15) + raw[n - 1 :] + np.uint64(1)
+        if n >= s.shortest:
+            inside = usable[:size] & (token[:size] == token[n - 1 :]) & usable[n - 1 :]
+            buckets.append((mixed(h[inside] + np.uint64(n)) % np.uint64(s.buckets)).astype("int64"))
+            owners.append(token[:size][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def feature_counts(docs: DataFrame, text: str, keep: list[str], s: Settings) -> DataFrame:
@@ -76,10 +87,11 @@ def feature_counts(docs: DataFrame, text: str, keep: list[str], s: Settings) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets, counts = [], []
-            for raw in _as_bytes(batch.column(0)):
-                seen = np.zeros(s.buckets, "int32")
-                for token, n in Counter(raw.split()).items():
-                    np.add.at(seen, subwords(token.decode(), s), n)
+            for raw in raw_texts(batch.column(0)):
+                words = Counter(raw.split()) or Counter({b"": 1})
+                own, owner = subwords(list(words), s)
+                times = np.fromiter(words.values(), "float64", len(words))[owner]
+                seen = np.bincount(own, weights=times, minlength=s.buckets).astype("int32")
                 buckets.append(np.flatnonzero(seen))
                 counts.append(seen[buckets[-1]])
             arrays = [batch.column(i + 1) for i in range(len(fields))]
@@ -99,9 +111,9 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s: Se
     rnd = np.random.default_rng(7)
     table = rnd.normal(0, 0.1, (s.buckets, s.dims))
     weights, bias = np.zeros((s.dims, n_labels)), np.zeros(n_labels)
-    total, done = max(1, s.epochs * len(rows)), 0
-    for _ in range(s.epochs):
-        for k in rnd.permutation(len(rows)):
+    total, done = s.steps, 0
+    while rows and done < total:
+        for k in rnd.permutation(len(rows))[: total - done]:
             buckets, share, label = rows[k]
             rate = s.rate * (1 - done / total)
             done += 1
@@ -154,7 +166,7 @@ def train(labelled: DataFrame, key: str, text: str, label: str, s: Settings | No
 class _Words:
     """Sums of class scores and numbers of subwords of the tokens a worker has met; bounded."""
 
-    most = 200_000
+    most = 300_000
 
     def __init__(self, model: Model):
         self.model, self.scores = model, model.embeddings.astype("float64") @ model.weights
@@ -162,23 +174,42 @@ class _Words:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(self.model.labels) + 1))
+        self.rows = np.zeros((0, len(self.model.labels) + 1))
+
+    def learn(self, tokens: list[bytes]) -> None:
+        buckets, owner = subwords(tokens, self.model.settings)
+        columns = [np.bincount(owner, weights=x, minlength=len(tokens)) for x in self.scores[buckets].T]
+        columns.append(np.bincount(owner, minlength=len(tokens)))
+        self.rows = np.concatenate([self.rows, np.column_stack(columns)])
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        """Class scores summed over the subwords of the tokens, and their number."""
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text, class scores summed over the subwords of its tokens, and their number."""
         if len(self.place) > self.most:
             self.clear()
-        counted = Counter(tokens)
-        for token in counted:
-            if token not in self.place:
-                at = self.place[token] = len(self.place)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                own = subwords(token.decode(), self.model.settings)
-                self.rows[at, :-1] = self.scores[own].sum(axis=0)
-                self.rows[at, -1] = len(own)
-        at = np.fromiter(map(self.place.__getitem__, counted), "int64", len(counted))
-        return np.fromiter(counted.values(), "float64", len(counted)) @ self.rows[at]
+        counted = [Counter(raw.split()) for raw in texts]
+        known = len(self.place)
+        for words in counted:
+            for token in words.keys() - self.place.keys():
+                self.place[token] = len(self.place)
+        if len(self.place) > known:
+            self.learn(list(self.place)[known:])
+        out = []
+        for words in counted:
+            at = np.fromiter(map(self.place.__getitem__, words), "int64", len(words))
+            out.append(np.fromiter(words.values(), "float64", len(words)) @ self.rows[at] if words else np.zeros(self.rows.shape[1]))
+        return out
+
+
+def _sums(batch: pa.Array, words: _Words | None) -> Iterator[np.ndarray]:
+    """The sums of each text; texts are taken some 2 MB at a time."""
+    part, size = [], 0
+    for raw in raw_texts(batch):
+        part.append(raw)
+        size += len(raw)
+        if size > 2_000_000:
+            yield from words.of(part) if words else [np.zeros(1)] * len(part)
+            part, size = [], 0
+    yield from words.of(part) if words else [np.zeros(1)] * len(part)
 
 
 def predict(docs: DataFrame, text: str, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -195,8 +226,7 @@ def predict(docs: DataFrame, text: str, model: Model | None, lang: str = "lang_p
         words = _Words(model) if model else None
         for batch in batches:
             langs, scores = [], []
-            for raw in _as_bytes(batch):
-                sums = words.of(raw.split()) if words else np.zeros(1)
+            for sums in _sums(batch, words):
                 if sums[-1]:
                     p = _softmax((sums[:-1] / sums[-1] + model.bias) / model.temperature)
                     langs.append(model.labels[int(p.argmax())])
