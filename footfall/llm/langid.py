@@ -35,7 +35,7 @@ class Settings:
     dims: int = 16
     shortest: int = 1
     longest: int = 5
-    per_label: int = 700
+    per_label: int = 400
     calibration: float = 0.25
     steps: int = 12_000
     rate: float = 0.4
@@ -140,15 +140,16 @@ def train(labelled: DataFrame, key: str, text: str, label: str, s: Settings | No
     order = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key")
     chosen = known.select("_key", "_label").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.per_label)
     chosen = known.join(F.broadcast(chosen.select("_key").distinct()), "_key", "left_semi")  # labels x per_label keys
-    rows = feature_counts(chosen, "_text", ["_key", "_label"], s).collect()
-    rows = sorted((r for r in rows if r.buckets), key=lambda r: (r._label, zlib.crc32(str(r._key).encode()), str(r._key)))
-    if not rows:
+    found = feature_counts(chosen, "_text", ["_key", "_label"], s).toArrow()  # bounded; compact beside rows of Python lists
+    keys, names = found["_key"].to_pylist(), found["_label"].to_pylist()
+    labels, data = sorted(set(names)), []
+    for i in sorted(range(len(keys)), key=lambda i: (names[i], zlib.crc32(str(keys[i]).encode()), str(keys[i]))):
+        counts = found["counts"][i].values.to_numpy(zero_copy_only=False).astype("float32")
+        if len(counts):
+            buckets = found["buckets"][i].values.to_numpy(zero_copy_only=False)
+            data.append((buckets, counts / counts.sum(), labels.index(names[i])))
+    if not data:
         return None
-    labels = sorted({r._label for r in rows})
-    data = []
-    for r in rows:
-        counts = np.array(r.counts, "float64")
-        data.append((np.array(r.buckets), counts / counts.sum(), labels.index(r._label)))
     held = np.arange(len(data)) % round(1 / s.calibration) == 0
     table, weights, bias = descend([d for d, h in zip(data, held, strict=True) if not h], len(labels), s)
     check = [d for d, h in zip(data, held, strict=True) if h] or data
