@@ -190,8 +190,9 @@ class _Words:
         counted = [Counter(raw.split()) for raw in texts]
         known = len(self.place)
         for words in counted:
-            for token in words.keys() - self.place.keys():
-                self.place[token] = len(self.place)
+            for token in words:
+                if token not in self.place:
+                    self.place[token] = len(self.place)
         if len(self.place) > known:
             self.learn(list(self.place)[known:])
         out = []
