@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.llm import nearjoin
 from footfall.llm.queries import op8_near_dedup, table
@@ -61,3 +62,26 @@ def test_comparison_inside_a_node():
     sets = [np.array(x, "int64") for x in ([1, 2, 3, 4], [1, 2, 3, 4], [5, 6], [1, 2, 3, 4, 9], [5, 6, 7])]
     assert nearjoin.linked_in_node(sets, 80) == [(0, 1), (0, 3)]
     assert nearjoin.linked_in_node(sets, 60) == [(0, 1), (0, 3), (2, 4)]
+
+
+def test_pairs_at_the_threshold_stay_together_in_deep_nodes(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):  # as in a template group: 109 of 128 values agree
+        a = [rnd.randrange(2**31) for _ in range(nearjoin.VALUES)]
+        differ = set(rnd.sample(range(nearjoin.VALUES), 19))
+        rows.append((i, a, [rnd.randrange(2**31) if k in differ else x for k, x in enumerate(a)]))
+    pairs = spark.createDataFrame(rows, "id int, a array<int>, b array<int>").repartition(8)
+
+    def apart(walk):
+        """Walked to depth ten in all trees, how many pairs share no node."""
+        def leaves(values):
+            at = F.transform(F.sequence(F.lit(1), F.lit(nearjoin.TREES)), lambda t: nearjoin._step(nearjoin._step(F.xxhash64(t), values), values))
+            for first in [True] + 7 * [False]:
+                at = F.flatten(F.transform(at, lambda path: walk(values, first, path)))
+            return at
+
+        return pairs.where(~F.arrays_overlap(leaves("a"), leaves("b"))).count()
+
+    assert apart(lambda values, first, path: F.array(nearjoin._step(path, values))) > 10
+    assert apart(lambda values, first, path: nearjoin._children(path, values, first, 85)) == 0
