@@ -2,7 +2,7 @@
 
 The trees are Spark ML's. They learn from labelled URLs, at most ``Settings.rows`` of them in the
 order of a hash, and see length, depth, digit ratio, entropy, parameters and what share of the
-labelled URLs under the same host suffixes is blocked.
+labelled URLs under the same host suffixes is blocked. Those shares are counted over all labelled URLs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.small import checked_broadcast
 from footfall.plans.scratch import materialise
 
 FEATURES = (
@@ -38,7 +39,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled URLs that are learned from."""
+    """``rows`` bounds the labelled URLs that the trees are fitted to, not those that are counted."""
 
     rows: int = 20_000
     trees: int = 12
@@ -120,7 +121,7 @@ def _with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float, own: bool,
     """Smoothed blocked share under the last one and two labels of the host; ``own`` leaves the row's label out."""
     for labels in (1, 2):
         part = suffixes.where(F.col("labels") == labels).select(F.col("suffix").alias("_s"), "n", "k")
-        rows = rows.join(F.broadcast(part), suffix(F.col("_host"), labels) == F.col("_s"), "left")  # at most Settings.rows
+        rows = rows.join(checked_broadcast(part), suffix(F.col("_host"), labels) == F.col("_s"), "left")
         n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
         if own:
             n, k = n - 1, k - F.col("_label")
@@ -132,22 +133,22 @@ def _with_suffixes(rows: DataFrame, suffixes: DataFrame, rate: float, own: bool,
 def train(labelled: DataFrame, settings: Settings | None = None) -> UrlModel:
     """Fit to rows with ``_id, _url, _host, _path, _label`` (1: blocked).
 
-    Without rows, or with labels of one kind only, there are no trees: everything then gets the
-    share of blocked labels (0 without rows).
+    Without rows, or with labels of one kind only among those fitted to, there are no trees:
+    everything then gets the share of blocked labels (0 without rows).
     """
     s = settings or Settings()
     sample = labelled.orderBy(F.xxhash64("_url", "_id"), "_id", "_url").limit(s.rows)
     sample = materialise(lexical_features(sample), "url-sample")
     counts = [
-        sample.groupBy(F.lit(n).alias("labels"), suffix(F.col("_host"), n).alias("suffix"))
+        labelled.groupBy(F.lit(n).alias("labels"), suffix(F.col("_host"), n).alias("suffix"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("k"))
         for n in (1, 2)
     ]
     suffixes = materialise(counts[0].union(counts[1]), "url-suffixes")
-    seen = sample.agg(F.avg("_label").alias("rate")).first()
+    seen = suffixes.where("labels = 1").agg((F.sum("k") / F.sum("n")).alias("rate")).first()
     rate = float(seen["rate"] or 0.0)
     trees = None
-    if 0.0 < rate < 1.0:
+    if sample.select("_label").distinct().count() == 2:
         ready = _with_suffixes(sample, suffixes, rate, True, s)
         ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(ready).select("_x", "_label")
         ready = materialise(ready.withColumn("_label", F.col("_label").cast("double")), "url-features")

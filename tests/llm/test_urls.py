@@ -65,6 +65,21 @@ def test_trees_on_held_out_urls(spark):
     assert sum((r.blocked_score >= 0.5) == bool(r._label) for r in held) >= 0.97 * len(held)
 
 
+def test_suffixes_are_counted_over_all_labelled_urls(spark):
+    rows = [(i, f"http://a{i % 7}.s{i % 30}.{'biz' if i % 3 else 'org'}/{i}", int(i % 4 == 0)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "_id long, _url string, _label int")
+    frame = frame.select("*", urls.host_of(F.col("_url")).alias("_host"), urls.path_of(F.col("_url")).alias("_path"))
+    model = urls.train(frame, urls.Settings(rows=40))
+    want = {}
+    for _, url, label in rows:
+        parts = url.split("/")[2].split(".")
+        for n in (1, 2):
+            at = want.setdefault((n, ".".join(parts[-n:])), [0, 0])
+            at[0], at[1] = at[0] + 1, at[1] + label
+    assert {(r["labels"], r["suffix"]): [r["n"], r["k"]] for r in model.suffixes.collect()} == want
+    assert model.rate == 0.25 and model.trees is not None
+
+
 def test_without_labels_or_with_one_kind(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(pages, "page_id", "url", RULES).collect()] == ["allow", "allow"]
