@@ -41,6 +41,16 @@ def test_stages(spark, sf, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(cut[r.doc_id].encode()).hexdigest()
 
 
+def test_near_copies_of_a_similarity_above_four_fifths(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"e{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(other)}
+    assert all(stays for _, _, stays in brute.near_components(texts, 85).values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert left == {k for k, (_, _, stays) in brute.near_components(texts, 80).items() if stays} == {1}
+
+
 def test_run_and_odd_documents(spark, tmp_path):
     rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "123 456", None, "a", 7), (4, "the and of with this", "en", "a", 20)]
     rows += [(5, "the and of with this", "en", None, 20), (5, "the and of with this", "en", None, 20), (6, "by for not all\n\nthe and", None, "b", 9)]
