@@ -7,10 +7,10 @@ in ``tests/llm`` against brute force instead.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, chat, langid, lines, mixing, nearjoin, quality, substrings, topk, urls
+from footfall.llm import bpe, chat, langid, lines, merkle, mixing, nearjoin, quality, substrings, topk, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -192,3 +192,89 @@ def op9_chat_quotations(spark: SparkSession, sf: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return mixing.mix(docs, "doc_id", "source", "text").select("doc_id", "source", "pass", "block", "place")
+
+
+#: Levels that the SQL of op12 spells out: enough for 16 ** 7 leaves of a source.
+_SQL_LEVELS = 7
+
+
+def _sql_tree(name: str, nodes: str, tree: str) -> str:
+    """CTEs with all levels of the trees over ``nodes`` (tree, place, size, digest), runs of 16."""
+    parts = [f"{name}_0 AS (SELECT {tree} AS tree, place, size, digest FROM {nodes})"]
+    for k in range(1, _SQL_LEVELS + 1):
+        parts.append(
+            f"{name}_{k} AS (SELECT tree, place // 16 AS place, (size + 15) // 16 AS size, "
+            f"sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {name}_{k - 1} WHERE size > 1 GROUP BY tree, place // 16, size)"
+        )
+    tops = " UNION ALL ".join(f"SELECT tree, digest FROM {name}_{k} WHERE size = 1" for k in range(_SQL_LEVELS + 1))
+    return ",\n".join([*parts, f"{name}_top AS ({tops})"])
+
+
+def _sql_walk(name: str, leaves: str, columns: str) -> str:
+    """CTEs that walk from the leaves to their trees' tops and collect siblings, the fold of ``other`` among them."""
+    parts = []
+    for k in range(_SQL_LEVELS):
+        before = leaves if k == 0 else f"{name}_walk_{k - 1}"
+        parts.append(
+            f"{name}_runs_{k} AS (SELECT tree, place // 16 AS run, list(digest ORDER BY place) AS ds FROM {name}_{k} WHERE size > 1 GROUP BY ALL),\n"
+            f"{name}_walk_{k} AS (SELECT {columns}, w.tree, w.place // 16 AS place, "
+            "siblings || coalesce(array_to_string(ds[: w.place % 16] || ds[w.place % 16 + 2 :], ''), '') AS siblings, "
+            "CASE WHEN ds IS NULL THEN other ELSE sha256(coalesce(array_to_string(ds[: w.place % 16], ''), '') || other || "
+            "coalesce(array_to_string(ds[w.place % 16 + 2 :], ''), '')) END AS other "
+            f"FROM {before} w LEFT JOIN {name}_runs_{k} r ON r.tree = w.tree AND r.run = w.place // 16)"
+        )
+    return ",\n".join(parts)
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+_SQL_CRC = (
+    "xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), "
+    "lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT), 4294967295)"
+)
+_SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [_sql_field(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+OP12_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, source, coalesce('1' || source, '0') AS tree, {_sql_leaf("text")} AS digest,
+    CASE WHEN {_SQL_CRC} % 5 = 0 THEN {_sql_leaf(_SQL_LOWER)} END AS changed FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, digest) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+{_sql_tree("own", "placed", "tree")},
+over_groups AS (SELECT tree AS own_tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM own_top),
+{_sql_tree("high", "over_groups", "1")},
+started AS (SELECT doc_id, tree, place, digest AS leaf, '' AS siblings, coalesce(changed, digest) AS other FROM placed),
+{_sql_walk("own", "started", "w.doc_id, w.leaf")},
+crossed AS (
+  SELECT doc_id, leaf, g.digest AS subroot, 1 AS tree, g.place, siblings, other
+  FROM own_walk_{_SQL_LEVELS - 1} w JOIN over_groups g ON g.own_tree = w.tree),
+{_sql_walk("high", "crossed", "w.doc_id, w.leaf, w.subroot")}
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(siblings) AS proof_sha256, other AS folded_root, other = t.digest AS verified
+FROM high_walk_{_SQL_LEVELS - 1}, high_top t
+"""
+
+
+def _doc_leaf(text: Column) -> Column:
+    return merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = F.when(tampered, _doc_leaf(F.translate("text", upper, lower))).alias("changed")
+    found = merkle.proofs(merkle.build(docs, "doc_id", "source", _doc_leaf(F.col("text")), [changed]))
+    root = merkle.folded(F.coalesce("changed", "leaf"), F.col("proof"))
+    out = found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
