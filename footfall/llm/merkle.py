@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.plans.positions import with_global_position, with_group_position
+from footfall.llm.small import checked_broadcast
+from footfall.plans.positions import with_global_position
 from footfall.plans.scratch import materialise
 
 #: Nodes of a run, and levels from one stored level to the next.
@@ -142,8 +143,10 @@ def build(docs: DataFrame, key: str, group: str, leaf: Column, carried: Sequence
         leaf.alias("digest"), F.struct(F.col(key).alias("key"), F.col(group).alias("group"), *carried).alias("row"),
     )
     order = [F.col("row.key"), F.col("digest"), F.col("row")]
-    placed = with_group_position(rows, TREE, order, "merkle-leaves")
-    nodes = placed.withColumnsRenamed({"group_position": "place", "group_size": "size"})
+    placed = with_global_position(rows, [*TREE, *order], "merkle-leaves")
+    heads = placed.groupBy(*TREE).agg(F.min("position").alias("head"), F.count(F.lit(1)).alias("size"))
+    # One row per group; broadcast while few, so that the leaves of a hot group stay where they are.
+    nodes = placed.join(checked_broadcast(materialise(heads, "merkle-heads")), TREE).withColumn("place", F.col("position") - F.col("head"))
     levels, roots = _climb(nodes, "groups")
     # The roots become the leaves of one more tree; their own tree's name travels in the row.
     over = with_global_position(roots, TREE, "merkle-roots").select(
