@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, chat, langid, lines, merkle, mixing, nearjoin, quality, substrings, topk, urls
+from footfall.llm import align, bpe, chat, langid, lines, merkle, mixing, nearjoin, quality, substrings, topk, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -278,3 +278,14 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root")
     )
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+TOKENIZER_A, TOKENIZER_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = align.align(table(spark, sf, "documents"), ["doc_id"], "text", TOKENIZER_A, TOKENIZER_B)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups_text", 256)).otherwise("").alias("groups_sha256")
+    counted = align.with_link_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
