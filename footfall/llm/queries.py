@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import align, bpe, chat, langid, lines, merkle, mixing, nearjoin, quality, substrings, topk, urls
+from footfall.llm import align, bpe, bytespans, chat, langid, lines, merkle, mixing, nearjoin, quality, substrings, topk, urls
 from registry.base import query
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -194,6 +194,15 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "source", "text").select("doc_id", "source", "pass", "block", "place")
 
 
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = bytespans.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", bytespans.removed_bytes(F.col("removed")).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 #: Levels that the SQL of op12 spells out: enough for 16 ** 7 leaves of a source.
 _SQL_LEVELS = 7
 
