@@ -32,6 +32,8 @@ from footfall.plans.scratch import materialise
 #: Bytes of an anchor; windows that are cut into segments at once; bytes of a suffix array (about);
 #: references of an anchor from which it is split, and the places of an anchor that are dealt together then.
 ANCHOR, BLOCK, SHARD, CROWDED, WIDTHS = 48, 1 << 20, 3 << 20, 2000, (24, 1)
+#: Fields of a reference whose bytes are fetched.
+REFERENCE = ("shard", "content", "times", "crowded", "start", "n", "at")
 #: Stands between references; not found in UTF-8.
 SEPARATOR = b"\xff"
 
@@ -165,8 +167,8 @@ def _with_holders(references: DataFrame) -> DataFrame:
     return references.join(many, "shard").where((F.col("k") > 1) | (F.col("times") > 1))
 
 
-def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
-    """``id, th, spans``: from and to of the runs of repeated windows of each text ``id, th, t`` that has any."""
+def repeated_runs(docs: DataFrame, window: int = 200) -> DataFrame:
+    """``id, th, runs``: starts and ends, in turn, of the runs of bytes under repeated windows of each text ``id, th, t`` that has any."""
     found = materialise(segments(docs, window), "byte-segments")
     shared = materialise(with_shared_anchor(found), "byte-segments-shared")
     row = F.struct("id", "th", "start", "n", "at")
@@ -176,22 +178,22 @@ def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
         F.col("shard").alias("anchor"), F.col("content").alias("whole"), F.array(F.lit(0), F.col("r.n")).alias("ranges")
     )
 
-    each = F.struct("shard", "content", "times", "k", "r.start", "r.n", "r.at")
+    few = F.least("times", F.lit(2)).cast("tinyint").alias("times")
+    each = F.struct("shard", "content", few, (F.col("k") > CROWDED).alias("crowded"), "r.start", "r.n", "r.at")
     wanted = references.where(F.col("k") > 1).groupBy("r.id", "r.th").agg(F.collect_list(each).alias("refs"))
-    wanted = materialise(wanted, "byte-wanted").withColumnsRenamed({"id": "_id", "th": "_th"})
+    # One array a field instead of structs: less than half the bytes.
+    fields = [F.col(f"refs.{f}").alias(f) for f in REFERENCE]
+    wanted = materialise(wanted.select(F.col("id").alias("_id"), F.col("th").alias("_th"), *fields), "byte-wanted")
     wide = docs.join(
-        bounded_broadcast(wanted, 64 + 48 * F.size("refs")), F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
+        bounded_broadcast(wanted, 96 + 30 * F.size("shard")), F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
     )
-    wide = wide.dropDuplicates(["id", "th"]).withColumn("t", F.col("t").cast("binary"))
-    cut = F.transform("refs", lambda r: F.struct(
-        r["shard"].alias("shard"), r["content"].alias("content"), r["times"].alias("times"), r["k"].alias("k"), r["n"].alias("n"), r["at"].alias("at"),
-        F.substring(F.col("t"), r["start"] + 1, r["n"] + (window - 1)).alias("body"),
-    ))
-    bodies = materialise(wide.select(F.explode(cut).alias("r")).select("r.*"), "byte-bodies")
-    solved = _shard_ranges(bodies.where(F.col("k") <= CROWDED), window)
+    wide = wide.dropDuplicates(["id", "th"]).select(F.col("t").cast("binary").alias("t"), F.explode(F.arrays_zip(*REFERENCE)).alias("r"))
+    body = F.substring("t", F.col("r.start") + 1, F.col("r.n") + (window - 1)).alias("body")
+    bodies = materialise(wide.select("r.shard", "r.content", "r.times", "r.crowded", "r.n", "r.at", body), "byte-bodies")
+    solved = _shard_ranges(bodies.where(~F.col("crowded")), window)
     parts = [copies, solved.select(F.col("shard").alias("anchor"), F.col("content").alias("whole"), "ranges")]
 
-    crowded = bodies.where(F.col("k") > CROWDED)
+    crowded = bodies.where("crowded")
     if not crowded.isEmpty():
         pieces = crowded.select(F.col("shard").alias("anchor"), F.col("content").alias("whole"), F.lit(0).alias("first"), "n", "at", "times", "body")
         for width in WIDTHS:
@@ -210,16 +212,28 @@ def repeated_windows(docs: DataFrame, window: int = 200) -> DataFrame:
     ranges = ranges.where(F.size("ranges") > 0).groupBy("anchor", "whole").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     ranges = materialise(ranges.withColumnRenamed("whole", "content"), "byte-ranges")
     hits = shared.join(ranges, ["anchor", "content"]).select("id", "th", F.transform("ranges", lambda x: x + F.col("start")).alias("ranges"))
-    return materialise(hits.groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("spans")), "byte-spans")
+    return materialise(_merged(hits.groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("spans")), window), "byte-runs")
 
 
-def removed_runs(spans: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes under the windows of the given ranges."""
-    both = np.array(spans, "int64").reshape(-1, 2)
+def removed_runs(spans: list[int], window: int) -> np.ndarray:
+    """Starts and ends, in turn, of the maximal runs of bytes under the windows of the given ranges."""
+    both = np.array(spans, "int32").reshape(-1, 2)
     both = both[np.argsort(both[:, 0], kind="stable")]
-    start, end = both[:, 0], np.maximum.accumulate(both[:, 1] + window - 1)
+    start, end = both[:, 0], np.maximum.accumulate(both[:, 1] + np.int32(window - 1))
     fresh = np.append(True, start[1:] > end[:-1])
-    return start[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
+    ends = end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
+    return np.stack([start[fresh], ends], 1).ravel()
+
+
+def _merged(spans: DataFrame, window: int) -> DataFrame:
+    """``id, th, runs`` from ``id, th, spans``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [removed_runs(x.values.to_numpy(), window) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, pa.list_(pa.int32()))], names=["id", "th", "runs"])
+
+    return spans.mapInArrow(run, f"id {spans.schema['id'].dataType.simpleString()}, th bigint, runs array<int>")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 200) -> DataFrame:
@@ -232,20 +246,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     names = ("n_bytes", "removed", "kept_bytes")
     base = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    spans = repeated_windows(base, window).withColumnsRenamed({"id": "_span_id", "th": "_span_th", "spans": "_spans"})
-    near = bounded_broadcast(spans, 64 + 4 * F.size("_spans"))
-    wide = docs.join(near, F.col(key).eqNullSafe(F.col("_span_id")) & F.xxhash64(text).eqNullSafe(F.col("_span_th")), "left")
+    runs = repeated_runs(base, window).withColumnsRenamed({"id": "_run_id", "th": "_run_th", "runs": "_runs"})
+    near = bounded_broadcast(runs, 64 + 4 * F.size("_runs"))
+    wide = docs.join(near, F.col(key).eqNullSafe(F.col("_run_id")) & F.xxhash64(text).eqNullSafe(F.col("_run_th")), "left")
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         run_type = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        for texts, spans in batches:
+        for texts, found in batches:
             total, removed, kept = [], [], []
-            for raw, found in zip(raw_texts(texts), spans, strict=True):
-                found = found.as_py()
+            for raw, edges in zip(raw_texts(texts), found, strict=True):
+                edges = edges.as_py()
                 runs: list[dict] = []
                 total.append(len(raw))
-                if found:
-                    starts, ends = (x.tolist() for x in removed_runs(found, window))
+                if edges:
+                    starts, ends = edges[::2], edges[1::2]
                     runs = [{"start": x, "end": y} for x, y in zip(starts, ends, strict=True)]
                     raw = b"".join(raw[x:y] for x, y in zip([0, *ends], [*starts, len(raw)], strict=True))
                 removed.append(runs)
@@ -253,8 +267,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.list_(run_type)), pa.array(kept, pa.binary())], list(names))
 
     kind = "n_bytes bigint, removed array<struct<start:int,end:int>>, kept_bytes binary"
-    out = wide.withColumn("_span_r", F.arrow_udf(run, kind)(text, "_spans"))
-    return out.select(*[c for c in docs.columns if c not in names], *[f"_span_r.{n}" for n in names])
+    out = wide.withColumn("_run_r", F.arrow_udf(run, kind)(text, "_runs"))
+    return out.select(*[c for c in docs.columns if c not in names], *[f"_run_r.{n}" for n in names])
 
 
 def removed_bytes(removed: Column) -> Column:
