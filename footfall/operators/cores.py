@@ -3,75 +3,154 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from footfall.plans.scratch import materialise, new_path
 from footfall.plans.selection import keep_one, lowest_hashed
 
-
-# Dropped keys of a k-core that are filtered on the fly before the pairs are written again.
-REWRITE_ABOVE = 200_000
+# Edges of an adjacency bucket (about); a round reads only buckets with dropped keys.
+BUCKET_EDGES = 4_000_000
+# Most buckets, each a folder a side.
+MOST_BUCKETS = 4096
+# Files that the keys of a bucket are dealt to.
+FILES = 8
+# Surviving users and items up to which wide rows are filtered by two broadcast lists instead of by pairs.
+SHORT_LIST = 500_000
 
 
 @dataclass(frozen=True)
 class Core:
-    """Surviving (user, item) pairs of a k-core, and the rounds it took."""
+    """Surviving (user, item) pairs of a k-core, and per round the keys dropped and the edges read for it."""
 
     pairs: DataFrame
-    rounds: int
     user: str
     item: str
+    dropped: tuple[int, ...]
+    edges_read: tuple[int, ...]
+
+    @property
+    def rounds(self) -> int:
+        """Rounds, with the last one, which drops nothing."""
+        return len(self.dropped)
 
     def users(self) -> DataFrame:
         return self.pairs.select(self.user).distinct()
 
     def restrict(self, df: DataFrame) -> DataFrame:
-        """Rows of ``df`` between surviving users and items, with all their columns."""
-        return df.join(self.pairs.select(self.user, self.item), [self.user, self.item], "left_semi")
+        """Rows of ``df`` between surviving users and items, with all their columns.
+
+        ``df`` has no pairs but those the core was made from. Wide rows stay where they are while the
+        lists of survivors are short (their length is checked); beyond that they meet the pairs.
+        """
+        columns, ends = df.columns, [self.user, self.item]
+        ones = self.pairs.groupingSets([[c] for c in ends], *ends).agg(F.count(F.lit(1)).alias("_n"))
+        keys, facts = _written(ones, "core-keys", keys=F.count(F.lit(1)))
+        if facts["keys"] > SHORT_LIST:
+            return df.join(self.pairs.select(*ends), ends, "left_semi").select(*columns)
+        for key in ends:
+            df = df.join(F.broadcast(keys.select(key).where(F.col(key).isNotNull())), key, "left_semi")
+        return df.select(*columns)
 
 
-def _without_keys(pairs: DataFrame, dropped: list[str], columns: tuple[str, str]) -> DataFrame:
-    """Pairs none of whose endpoints is among the dropped keys, which lie in one table per round."""
-    if dropped:
-        every = pairs.sparkSession.read.schema(pairs.select(*columns).schema).parquet(*dropped)
-        for key in columns:
-            pairs = pairs.join(every.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    return pairs
+def _written(df: DataFrame, tag: str, *partitions: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a written table and facts about its rows, observed while it is written."""
+    seen, path = Observation(), new_path(df.sparkSession, tag)
+    observed = df.observe(seen, *[fact.alias(name) for name, fact in facts.items()])
+    observed.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
 def kcore(
-    df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id", rewrite_above: int = REWRITE_ABOVE
+    df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id", bucket_edges: int = BUCKET_EDGES
 ) -> Core:
     """Drop users below ``ku`` rows and items below ``ki`` rows until nothing changes.
 
-    Both degrees of a round come from the same snapshot, in one aggregation over counted pairs.
-    A round writes only the keys it drops: as long as these are few they are broadcast against
-    the pairs, which are neither shuffled for the filter nor written again. Above
-    ``rewrite_above`` keys the surviving pairs are written once and the list starts anew.
-    ``rounds`` includes the last round, which drops nothing.
+    Degrees are counted once. The edges are stored twice, by user and by item, in hash buckets and
+    sorted by key, each with the degree of its other end. A round takes the keys dropped by the
+    round before (the frontier), reads their edges only, and subtracts them from the degrees of
+    the other ends; a key's degree is the smallest one written for it so far. The keys that fall
+    below their limit are the next frontier. So a late round that drops few keys reads the few
+    buckets that hold them, not all pairs, and writes a row per touched key. All keys of a round
+    are dropped at once, as if both degrees came from the same snapshot.
     """
     columns = (user, item)
     present = df.where(F.col(user).isNotNull() & F.col(item).isNotNull())
-    pairs = materialise(present.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "core-pairs")
-    dropped: list[str] = []
-    pending = rounds = 0
+    counted = present.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    pairs, facts = _written(counted, "core-pairs", edges=F.count(F.lit(1)))
+    buckets = min(MOST_BUCKETS, max(1, ceil(facts["edges"] / bucket_edges)))
+    is_user = F.col(user).isNotNull()
+    limit = F.when(F.col("_side") == 0, ku).otherwise(ki)
+
+    def bucket(side: Column, key: Column) -> Column:
+        return F.pmod(F.xxhash64(side, key), F.lit(buckets)).cast("int").alias("_bucket")
+
+    # A node is its side (0: user, 1: item) and its key as text, so that both sides take one join.
+    sums = pairs.groupingSets([[user], [item]], user, item).agg(F.sum("_n").alias("_d"))
+    key = F.when(is_user, F.col(user).cast("string")).otherwise(F.col(item).cast("string")).alias("_key")
+    nodes = sums.select(F.when(is_user, 0).otherwise(1).alias("_side"), key, "_d")
+    nodes = nodes.select("*", bucket(F.col("_side"), F.col("_key")))
+    low = F.col("_d") < limit
+    # Facts of a frontier: its size, and the buckets that hold it (at most two times MOST_BUCKETS numbers).
+    of_frontier = {"low": F.count_if(low), "buckets": F.collect_set(F.when(low, F.col("_side") * buckets + F.col("_bucket")))}
+    degrees, facts = _written(nodes, "core-degrees", **of_frontier)
+    dropped, edges_read = [facts["low"]], [0]
+    if not dropped[0]:
+        return Core(pairs, user, item, (0,), (0,))
+
+    both = pairs.select(F.col(user).cast("string").alias("_u"), F.col(item).cast("string").alias("_i"), "_n")
+    for side, name in enumerate(("_u", "_i")):
+        own = degrees.where(F.col("_side") == side).select(F.col("_key").alias(name), F.col("_d").alias(f"_d{name}"))
+        both = both.join(own, name)
+
+    def directed(side: int, near: str, far: str) -> Column:
+        # The edges of a key of very high degree are dealt to several tasks.
+        parts = F.ceil(F.col(f"_d{near}") / bucket_edges)
+        return F.struct(
+            F.lit(side).alias("_side"), bucket(F.lit(side), F.col(near)),
+            F.struct(F.pmod(F.xxhash64(near), F.lit(FILES)), F.pmod(F.xxhash64(far), parts)).alias("_part"),
+            F.col(near).alias("_key"), F.col(far).alias("_far"), F.col("_n"), F.col(f"_d{far}").alias("_end"),
+        )
+
+    edges = both.select(F.inline(F.array(directed(0, "_u", "_i"), directed(1, "_i", "_u"))))
+    edges = edges.repartition("_side", "_bucket", "_part").sortWithinPartitions("_side", "_bucket", "_key").drop("_part")
+    edges, _ = _written(edges, "core-edges", "_side", "_bucket", edges=F.count(F.lit(1)))
+
+    tables: list[DataFrame] = []
+    frontier = degrees.where(low).select("_side", "_bucket", "_key")
+    gone = [frontier]
     while True:
-        rounds += 1
-        alive = _without_keys(pairs, dropped, columns)
-        degrees = alive.groupingSets([[user], [item]], user, item).agg(F.sum("_n").alias("_d"))
-        low = degrees.where(F.col("_d") < F.when(F.col(user).isNotNull(), ku).otherwise(ki))
-        path = new_path(df.sparkSession, "core-low")
-        low.select(*columns).write.parquet(path)
-        n_low = df.sparkSession.read.schema(low.select(*columns).schema).parquet(path).count()
-        if not n_low:
-            return Core(alive, rounds, user, item)
-        dropped.append(path)
-        pending += n_low
-        if pending > rewrite_above:
-            pairs = materialise(_without_keys(pairs, dropped, columns), "core-pairs")
-            dropped, pending = [], 0
+        held = [[b % buckets for b in facts["buckets"] if b // buckets == side] for side in (0, 1)]
+        pruned = edges.where(" or ".join(f"_side = {side} and _bucket in ({', '.join(map(str, bs))})" for side, bs in enumerate(held) if bs))
+        met = pruned.join(frontier, ["_side", "_bucket", "_key"])
+        lost = met.groupBy((1 - F.col("_side")).alias("_side"), F.col("_far").alias("_key")).agg(
+            F.sum("_n").alias("_lost"), F.max("_end").alias("_end"), F.count(F.lit(1)).alias("_edges")
+        )
+        if tables:
+            earlier = reduce(DataFrame.union, tables)
+            lost = lost.join(earlier.groupBy("_side", "_key").agg(F.min("_d").alias("_least")), ["_side", "_key"], "left")
+            lost = lost.withColumn("_end", F.coalesce("_least", "_end"))
+        alive = lost.where((F.col("_end") >= limit) & (F.col("_end") > F.col("_lost")))  # a key without edges is gone already
+        now = alive.select(
+            "_side", "_key", bucket(F.col("_side"), F.col("_key")), F.col("_end").alias("_before"), (F.col("_end") - F.col("_lost")).alias("_d"), "_edges"
+        )
+        touched, facts = _written(now, "core-touched", **of_frontier, edges=F.coalesce(F.sum("_edges"), F.lit(0)))
+        tables.append(touched)
+        dropped.append(facts["low"])
+        edges_read.append(facts["edges"])
+        if not dropped[-1]:
+            break
+        frontier = touched.where(low).select("_side", "_bucket", "_key")
+        gone.append(frontier)
+    lists = materialise(reduce(DataFrame.union, gone).select("_side", "_key"), "core-dropped")
+    alive = pairs
+    for side, name in enumerate(columns):
+        keys = lists.where(F.col("_side") == side).select(F.col("_key").cast(df.schema[name].dataType).alias(name))
+        alive = alive.join(keys, name, "left_anti")
+    return Core(alive.select(*columns, "_n"), user, item, tuple(dropped), tuple(edges_read))
 
 
 def priority_users(df: DataFrame, predicate: Column, ku: int, ki: int, user: str = "user_id", item: str = "item_id") -> DataFrame:

@@ -22,19 +22,45 @@ def brute_core(rows, ku, ki):
         rows = kept
 
 
-@pytest.mark.parametrize("seed,rewrite_above", [(1, 10**6), (2, 3), (3, 10**6)])
-def test_core_is_the_fixed_point(spark, seed, rewrite_above):
+@pytest.mark.parametrize("seed,bucket_edges", [(1, 10**6), (2, 3), (3, 60)])
+def test_core_is_the_fixed_point(spark, seed, bucket_edges):
     rng = random.Random(seed)
     rows = [(f"u{int(40 * rng.random() ** 2)}", f"i{int(30 * rng.random() ** 2)}") for _ in range(260)]
     df = spark.createDataFrame(rows, "user_id string, item_id string")
     want, rounds = brute_core(rows, 5, 6)
-    core = cores.kcore(df, 5, 6, rewrite_above=rewrite_above)
+    core = cores.kcore(df, 5, 6, bucket_edges=bucket_edges)
     assert core.rounds == rounds
     assert sorted(map(tuple, core.restrict(df).collect())) == want
     again = cores.kcore(core.restrict(df), 5, 6)
     assert again.rounds == 1
 
 
+def test_a_round_reads_the_edges_of_dropped_keys_only(spark):
+    # A path whose end falls off round by round, beside a block that stays.
+    path = [(f"u{i}", f"i{i + d}") for i in range(5) for d in (0, 1)]
+    block = [(f"b{u}", f"c{i}") for u in range(20) for i in range(20)]
+    core = cores.kcore(spark.createDataFrame(path + block, "user_id string, item_id string"), 2, 2, bucket_edges=10)
+    want, rounds = brute_core(path + block, 2, 2)
+    assert (core.rounds, core.pairs.count()) == (rounds, len(want)) == (6, 400)
+    assert core.dropped == (2, 2, 2, 2, 2, 0) and max(core.edges_read) <= 4
+
+
+def test_core_counts_rows_and_skips_nulls(spark):
+    rows = [("a", 1)] * 3 + [("b", 1), ("a", 2), ("a", 2), (None, 1), ("c", None), ("b", 2)]
+    core = cores.kcore(spark.createDataFrame(rows, "user_id string, item_id int"), 3, 3)
+    assert core.rounds == 3 and sorted(map(tuple, core.pairs.collect())) == [("a", 1, 3)]
+    assert cores.kcore(spark.createDataFrame([], "user_id string, item_id int"), 2, 2).rounds == 1
+
+
+def test_restrict_by_pairs_and_by_lists(spark, monkeypatch):
+    rows = [(u, i) for u in range(6) for i in range(4)] + [(9, 0), (None, 1), (8, None)]
+    df = spark.createDataFrame(rows, "user_id int, item_id int")
+    core = cores.kcore(df, 2, 3)
+    short = sorted(map(tuple, core.restrict(df).collect()))
+    monkeypatch.setattr(cores, "SHORT_LIST", 0)
+    assert short == sorted(map(tuple, core.restrict(df).collect())) == rows[:24]
+
+
 @pytest.mark.parametrize("k,want", [((20, 20), (4790, 135, 180, 6)), ((5, 5), (5382, None, None, 1)), ((25, 24), (0, 0, 0, 6))])
 def test_core_facts(spark, sf, k, want):
     core = cores.kcore(views.purchases(spark, sf), *k)
