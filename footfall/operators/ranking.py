@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
 from footfall.plans.scratch import materialise
+from footfall.plans.tiles import store
 from footfall.plans.selection import top_n
 
 DIGITS = 9
@@ -53,9 +54,12 @@ def score_vectors(vectors: DataFrame, key: str, behaviour: str | None, semantic:
 
 
 def pair_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: DataFrame, item: str, out: str) -> DataFrame:
-    """Add ``out``: the score of ``(instance_id, item)`` pairs; vectors are joined last and dropped."""
+    """Add ``out``: the score of ``(instance_id, item)`` pairs; vectors are joined last and dropped.
+
+    A small catalog (its bytes are checked) is broadcast, so that pairs move only to the instances' vectors.
+    """
     left = instance_vectors.select("instance_id", F.col("vec").alias("_u"))
-    right = item_vectors.select(F.col("iid").alias(item), F.col("vec").alias("_e"))
+    right = store(item_vectors, "vec").beside().select(F.col("iid").alias(item), F.col("vec").alias("_e"))
     joined = pairs.join(right, item).join(left, "instance_id")
     return joined.withColumn(out, vx.dot("_u", "_e")).select(*pairs.columns, out)
 
@@ -65,11 +69,13 @@ def training_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors:
 
     ``pairs`` is ``instance_id, target_iid, negative_iid``; both vector frames hold ``vec`` for
     the joint score and ``act_vec`` for the attention-only one. Each frame is joined once per
-    role and all four products are taken in one pass.
+    role (a small catalog by broadcast) and all four products are taken in one pass.
     """
 
+    catalog = store(item_vectors, "vec", "act_vec").beside()
+
     def side(item: str, prefix: str) -> DataFrame:
-        return item_vectors.select(
+        return catalog.select(
             F.col("iid").alias(item), F.col("vec").alias(f"_{prefix}"), F.col("act_vec").alias(f"_{prefix}_act")
         )
 

@@ -161,7 +161,7 @@ def evaluate(
     sides = queries.join(usable.select("instance_id"), "instance_id", "left_semi")
     if behaviour:
         asked = queries.select("instance_id", F.col("attn_vec").alias("query_vec"))
-        attended = att.attend(att.gather_histories(usable, items, "behaviour_vec", "behaviour_vec"), asked, attention)
+        attended = att.attend(usable, items, asked, attention, key="behaviour_vec", value="behaviour_vec")
         last = att.last_vectors(usable, items, "behaviour_vec")
         sides = sides.join(att.user_vectors(attended.select("instance_id", "context_vec"), last, asked, fusion), "instance_id")
     left = ranking.score_vectors(

@@ -20,9 +20,16 @@ def r6(column, name=None):
     return F.round(F.col(column), 6).alias(name or column)
 
 
-def by_dim(df, key, vector):
-    """A vector per row as ``key, dim, value`` rows, so that results compare as plain values."""
-    return df.select(key, F.posexplode(vector).alias("dim", "value")).select(key, "dim", F.round("value", 6).alias("value"))
+def vector_sums(df, vector):
+    """Two sums over each instance's vector, so that vectors of all instances compare as plain values."""
+    weighted = F.transform(vector, lambda x, i: x * (i + 1))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    return df.select("instance_id", F.round(total(F.col(vector)), 6).alias("total"), F.round(total(weighted), 6).alias("weighted"))
+
+
+def everyone(spark, sf):
+    """The instances of all splits; only ranking and evaluation leave those of train out."""
+    return v.instances(spark, sf, "train", "valid", "test")
 
 
 # --- SQL views --------------------------------------------------------------------------------
@@ -58,26 +65,34 @@ def _attention_sql(source: str) -> dict[str, str]:
                 FROM (SELECT instance_id, weight, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM soft)
                 GROUP BY 1, 2)
             GROUP BY 1""",
+        "ctxd": """
+            SELECT instance_id, dim, sum(weight * x) AS c
+            FROM (SELECT instance_id, weight, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM soft)
+            GROUP BY 1, 2""",
+        "qd": "SELECT instance_id, unnest(q) AS q, generate_subscripts(q, 1) AS dim FROM qv",
+        "lastd": f"""
+            SELECT instance_id, unnest(vec) AS l, generate_subscripts(vec, 1) AS dim
+            FROM {source} JOIN it ON it.iid = history_iids[-1]""",
+        "goald": f"""
+            SELECT instance_id, target_iid, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim
+            FROM {source} JOIN it ON it.iid = target_iid""",
         "uv": """
             SELECT instance_id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS u
             FROM ctx""",
-        "lastv": f"""
-            SELECT instance_id, vec AS l FROM {source} JOIN it ON it.iid = history_iids[-1]""",
     }
 
 
+_ALL = _attention_sql("inst")
 _EVAL = _attention_sql("eval")
 _FIT = _attention_sql("fit")
 
 
-def _unit_sql(x: str) -> str:
-    return f"list_transform({x}, lambda y: y / greatest(sqrt(list_dot_product({x}, {x})), 1e-12))"
-
-
-def _dims_sql(source: str, vector: str) -> str:
+def _sums_sql(source: str, m: str) -> str:
+    """The sums of :func:`vector_sums` over unit vectors, from one row per dimension."""
+    length = f"greatest(sqrt(sum(({m}) * ({m}))), 1e-12)"
     return (
-        f"SELECT instance_id, (generate_subscripts(x, 1) - 1)::INTEGER AS dim, round(unnest(x), 6) AS value "
-        f"FROM (SELECT instance_id, {vector} AS x FROM {source})"
+        f"SELECT instance_id, round(sum({m}) / {length}, 6) AS total, round(sum(dim * ({m})) / {length}, 6) AS weighted "
+        f"FROM {source} GROUP BY instance_id"
     )
 
 
@@ -137,8 +152,7 @@ def _queries(spark, sf, some):
 
 
 def _attend(spark, sf, some, mode="soft"):
-    histories = att.gather_histories(some, v.catalog(spark, sf), "vec", "vec")
-    return att.attend(histories, _queries(spark, sf, some), mode)
+    return att.attend(some, v.catalog(spark, sf), _queries(spark, sf, some), mode, key="vec", value="vec")
 
 
 def _context(spark, sf, some, mode="soft"):
@@ -147,28 +161,28 @@ def _context(spark, sf, some, mode="soft"):
 
 @query("attention_logits", sql("""
     SELECT instance_id, position, iid, round(similarity, 6) AS similarity, round(logit, 6) AS logit FROM lg
-    """, extra={k: _EVAL[k] for k in ("qv", "hr", "lg")}))
+    """, extra={k: _ALL[k] for k in ("qv", "hr", "lg")}))
 def attention_logits(spark, sf):
-    return att.attention_rows(_attend(spark, sf, v.instances(spark, sf))).select(
+    return att.attention_rows(_attend(spark, sf, everyone(spark, sf))).select(
         "instance_id", "position", "iid", r6("similarity"), r6("logit")
     )
 
 
 def _weight_query(mode):
-    return lambda spark, sf: att.attention_rows(_attend(spark, sf, v.instances(spark, sf), mode)).select(
+    return lambda spark, sf: att.attention_rows(_attend(spark, sf, everyone(spark, sf), mode)).select(
         "instance_id", "position", r6("weight")
     )
 
 
 query("attention_soft", sql(
     "SELECT instance_id, position, round(weight, 6) AS weight FROM soft",
-    extra={k: _EVAL[k] for k in ("qv", "hr", "lg", "soft")}))(_weight_query("soft"))
+    extra={k: _ALL[k] for k in ("qv", "hr", "lg", "soft")}))(_weight_query("soft"))
 query("attention_hard", sql(
     "SELECT instance_id, position, round(weight, 6) AS weight FROM hard",
-    extra={k: _EVAL[k] for k in ("qv", "hr", "lg", "hard")}))(_weight_query("hard"))
+    extra={k: _ALL[k] for k in ("qv", "hr", "lg", "hard")}))(_weight_query("hard"))
 query("attention_mean", sql(
     "SELECT instance_id, position, round(1.0 / count(*) OVER (PARTITION BY instance_id), 6) AS weight FROM hr",
-    extra={"hr": _EVAL["hr"]}))(_weight_query("mean"))
+    extra={"hr": _ALL["hr"]}))(_weight_query("mean"))
 
 
 @query("attention_diag", sql("""
@@ -178,43 +192,38 @@ query("attention_mean", sql(
     FROM (SELECT instance_id, -sum(greatest(weight, 1e-12) * ln(greatest(weight, 1e-12))) AS entropy,
                  list(weight ORDER BY weight DESC, position) AS w, list(position ORDER BY weight DESC, position) AS p,
                  arg_max(similarity, position) AS sim_last, max(similarity) AS sim_max
-          FROM hard GROUP BY instance_id)""", extra={k: _EVAL[k] for k in ("qv", "hr", "lg", "hard")}))
+          FROM hard GROUP BY instance_id)""", extra={k: _ALL[k] for k in ("qv", "hr", "lg", "hard")}))
 def attention_diag(spark, sf):
-    diag = att.attention_diagnostics(_attend(spark, sf, v.instances(spark, sf), "hard"))
+    diag = att.attention_diagnostics(_attend(spark, sf, everyone(spark, sf), "hard"))
     return diag.select(
         "instance_id", r6("entropy"), r6("effective_n"), r6("top1_mass"), r6("top1_top2_margin"),
         v.joined("top_positions"), r6("sim_last"), r6("sim_max"),
     )
 
 
-@query("user_vector", sql(_dims_sql("uv", "u"), extra=_EVAL))
+@query("user_vector", sql(_sums_sql("ctxd", "c"), extra=_ALL))
 def user_vector(spark, sf):
-    some = v.instances(spark, sf)
-    return by_dim(att.user_vectors(_context(spark, sf, some)), "instance_id", "user_vec")
+    return vector_sums(att.user_vectors(_context(spark, sf, everyone(spark, sf))), "user_vec")
 
 
-@query("user_vector_last", sql(_dims_sql("lastv", _unit_sql("l")), extra={"lastv": _EVAL["lastv"]}))
+@query("user_vector_last", sql(_sums_sql("lastd", "l"), extra=_ALL))
 def user_vector_last(spark, sf):
-    last = att.last_vectors(v.instances(spark, sf), v.catalog(spark, sf))
-    return by_dim(att.user_vectors(None, last=last, mode="last"), "instance_id", "user_vec")
+    last = att.last_vectors(everyone(spark, sf), v.catalog(spark, sf))
+    return vector_sums(att.user_vectors(None, last=last, mode="last"), "user_vec")
 
 
-@query("user_vector_gated", sql(
-    _dims_sql(f"(SELECT instance_id, {_unit_sql('m')} AS n FROM (SELECT instance_id, list_transform(list_zip(l, c), "
-              f"lambda z: 0.3 * z[1] + (1.0 - 0.3) * z[2]) AS m FROM ctx JOIN lastv USING (instance_id)))", "n"), extra=_EVAL))
+@query("user_vector_gated", sql(_sums_sql("ctxd JOIN lastd USING (instance_id, dim)", "0.3 * l + 0.7 * c"), extra=_ALL))
 def user_vector_gated(spark, sf):
-    some = v.instances(spark, sf)
+    some = everyone(spark, sf)
     last = att.last_vectors(some, v.catalog(spark, sf))
-    return by_dim(att.user_vectors(_context(spark, sf, some), last=last, mode="gated", gate=0.3), "instance_id", "user_vec")
+    return vector_sums(att.user_vectors(_context(spark, sf, some), last=last, mode="gated", gate=0.3), "user_vec")
 
 
-@query("user_vector_residual", sql(
-    _dims_sql(f"(SELECT instance_id, {_unit_sql('m')} AS n FROM (SELECT instance_id, list_transform(list_zip(q, c), "
-              f"lambda z: z[1] + 0.4 * z[2]) AS m FROM ctx JOIN qv USING (instance_id)))", "n"), extra=_EVAL))
+@query("user_vector_residual", sql(_sums_sql("ctxd JOIN qd USING (instance_id, dim)", "q + 0.4 * c"), extra=_ALL))
 def user_vector_residual(spark, sf):
-    some = v.instances(spark, sf)
+    some = everyone(spark, sf)
     fused = att.user_vectors(_context(spark, sf, some), queries=_queries(spark, sf, some), mode="residual")
-    return by_dim(fused, "instance_id", "user_vec")
+    return vector_sums(fused, "user_vec")
 
 
 # --- scores and ranks -------------------------------------------------------------------------
@@ -233,21 +242,21 @@ def _sides(spark, sf, some, mode, user_mode="soft"):
 
 
 @query("semantic_score", sql(f"""
-    SELECT instance_id, target_iid, round({TAU_SEM} * {_COS}, 6) AS score
-    FROM eval JOIN qv USING (instance_id) JOIN it ON it.iid = target_iid""",
-    "eval", "it", extra={"qv": _EVAL["qv"]}))
+    SELECT instance_id, target_iid, round({TAU_SEM} * sum(q * x) / (sqrt(sum(q * q)) * sqrt(sum(x * x))), 6) AS score
+    FROM goald JOIN qd USING (instance_id, dim) GROUP BY instance_id, target_iid""", extra=_ALL))
 def semantic_score(spark, sf):
-    some = v.instances(spark, sf)
+    some = everyone(spark, sf)
     left, right = _sides(spark, sf, some, "query")
     scored = ranking.pair_scores(some.select("instance_id", "target_iid"), left, right, "target_iid", "score")
     return scored.select("instance_id", "target_iid", r6("score"))
 
 
 @query("dual_score", sql(f"""
-    SELECT instance_id, target_iid, round({_DUAL}, 6) AS score
-    FROM eval JOIN qv USING (instance_id) JOIN uv USING (instance_id) JOIN it ON it.iid = target_iid""", "eval", extra=_EVAL))
+    SELECT instance_id, target_iid, round({TAU_BEH} * sum(c * x) / greatest(sqrt(sum(c * c)), 1e-12)
+           + {TAU_SEM} * sum(q * x) / (sqrt(sum(q * q)) * sqrt(sum(x * x))), 6) AS score
+    FROM goald JOIN qd USING (instance_id, dim) JOIN ctxd USING (instance_id, dim) GROUP BY instance_id, target_iid""", extra=_ALL))
 def dual_score(spark, sf):
-    some = v.instances(spark, sf)
+    some = everyone(spark, sf)
     left, right = _sides(spark, sf, some, "dual")
     scored = ranking.pair_scores(some.select("instance_id", "target_iid"), left, right, "target_iid", "score")
     return scored.select("instance_id", "target_iid", r6("score"))

@@ -51,9 +51,11 @@ def plain_attention(i, mode, gamma, k, tau):
 
 
 @pytest.mark.parametrize("mode", ["soft", "mean", "hard"])
-def test_attention(frames, mode):
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 3}, {"broadcast_bytes": 0, "tile_rows": 1000}])
+def test_attention(frames, monkeypatch, mode, sizes):
+    monkeypatch.setattr(att, "_CELLS", 30)
     inst, items, queries = frames
-    out = att.attend(att.gather_histories(inst, items), queries, mode, gamma=0.3, k=3, tau=0.7)
+    out = att.attend(inst, items, queries, mode, gamma=0.3, k=3, tau=0.7, **sizes)
     contexts = {r["instance_id"]: r["context_vec"] for r in out.collect()}
     rows = {}
     for r in att.attention_rows(out).collect():
@@ -69,23 +71,34 @@ def test_attention(frames, mode):
 
 def test_one_vector_as_key_and_value(frames):
     inst, items, queries = frames
-    one = att.attend(att.gather_histories(inst, items, "value_vec", "value_vec"), queries, "soft")
-    two = att.attend(att.gather_histories(inst, items.withColumn("key_vec", F.col("value_vec"))), queries, "soft")
+    one = att.attend(inst, items, queries, "soft", key="value_vec", value="value_vec")
+    two = att.attend(inst, items.withColumn("key_vec", F.col("value_vec")), queries, "soft")
     a, b = ({r["instance_id"]: r["context_vec"] for r in d.collect()} for d in (one, two))
     assert all(np.allclose(a[i], b[i]) for i in a) and len(a) == len(b) == N_INST
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 4}])
+def test_unknown_items_and_missing_queries(frames, sizes):
+    inst, items, queries = frames
+    few, some = items.where("iid > 5"), queries.where("instance_id > 2")
+    out = att.attend(inst, few, some, "soft", **sizes).collect()
+    known = {i: [x for x in HISTORY[i] if x > 5] for i in range(3, N_INST)}
+    assert {r["instance_id"]: r["iids"] for r in out} == {i: xs for i, xs in known.items() if xs}
+    facts = att.unmatched(inst, few, some).first()
+    assert tuple(facts) == (3, sum(x <= 5 for xs in HISTORY for x in xs))
+
+
 def test_unknown_modes(frames):
     inst, items, queries = frames
     with pytest.raises(ValueError):
-        att.attend(att.gather_histories(inst, items), queries, "sharp")
+        att.attend(inst, items, queries, "sharp")
     with pytest.raises(ValueError):
         att.user_vectors(queries, mode="sum")
 
 
 def test_fusion_modes(frames):
     inst, items, queries = frames
-    context = att.attend(att.gather_histories(inst, items), queries, "soft").select("instance_id", "context_vec")
+    context = att.attend(inst, items, queries, "soft").select("instance_id", "context_vec")
     last = att.last_vectors(inst, items, "value_vec")
     got = lambda df: {r["instance_id"]: np.array(r["user_vec"]) for r in df.collect()}
     unit = lambda x: x / np.linalg.norm(x)
