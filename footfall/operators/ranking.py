@@ -4,34 +4,38 @@ A dual score ``tau_beh * u.e + tau_sem * cos(q, i)`` is one inner product of con
 vectors, so ranking only ever sees one vector per instance and one per item.
 
 No score matrix is stored or shuffled and nothing is sorted: an item's rank is one plus the
-number of items that beat it. Scores are rounded to ``DIGITS`` before they are compared, since
-a matrix product and a single inner product differ in their last bits.
+number of items that beat it. The catalog is walked in blocks of falling norm. No score exceeds the
+product of both norms, so a block none of whose items can beat an instance's target (or its k-th best
+item so far) is counted as zero without a product. Scores are rounded to ``DIGITS`` before
+they are compared, since a matrix product and a single inner product differ in their last bits.
+
+A small catalog (its bytes are checked) is broadcast and instances stay where they are. For a larger
+one instances are dealt once, into slices of instances that need about the same norm to be beaten, and a block
+travels only to the slices that it can change; no instance is ever repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
+from footfall.plans.positions import with_global_position
 from footfall.plans.scratch import materialise
-from footfall.plans.tiles import store
 from footfall.plans.selection import top_n
+from footfall.plans.tiles import BROADCAST_BYTES, TILE_ROWS, StoredCatalog, runs, store, unpacked
 
 DIGITS = 9
-# A catalog up to this many bytes (float64) is broadcast; a larger one is cut into tiles.
-BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows per tile side: two 16,384 x 256 float64 tiles are 64 MB.
-TILE_ROWS = 16_384
-# Instances scored at once inside a task, which bounds the score block to rows x tile size.
-_STEP = 512
-# Bytes of a score block: with a large catalog of narrow vectors fewer instances are scored at once.
+# Items of a block, and instances whose bounds are looked at together.
+BLOCK_ROWS = 1024
+# Bytes of a score block: with more items fewer instances are scored at once.
 _SCORE_BYTES = 32 * 1024 * 1024
+# Rounding of scores and of the bound.
+_SLACK = 1e-8
 
 
 def score_vector(behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> Column:
@@ -93,144 +97,227 @@ def training_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors:
     )
 
 
-class _Catalog:
-    """Item ids in ascending order with their vectors."""
+class _Block:
+    """Items of a catalog with their largest norm."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.norm = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
+
+    def scores(self, walk: _Walk, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Instances and their rounded scores of all items, some at a time; masked items score -inf."""
+        step = max(1, _SCORE_BYTES // (8 * len(self.ids)))
+        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+            scores = np.round(walk.vectors[part] @ self.vectors.T, DIGITS)
+            sizes = walk.ends[part + 1] - walk.ends[part]
+            own = np.repeat(np.arange(len(part)), sizes)
+            hidden = walk.hidden[np.repeat(walk.ends[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+            place = np.minimum(np.searchsorted(self.ids, hidden), len(self.ids) - 1)
+            there = self.ids[place] == hidden
+            scores[own[there], place[there]] = -np.inf
+            yield part, scores
+
+
+class _Walk:
+    """Instances of a batch on their way through the blocks of a catalog, in any order.
+
+    ``hidden`` lists the items that an instance does not meet, from ``ends[i]`` to ``ends[i + 1]``.
+    """
 
-    def blocks(self, vectors: np.ndarray, masked: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """Rounded score blocks of up to ``_STEP`` instances and ``_SCORE_BYTES``; masked items score -inf."""
-        step = max(1, min(_STEP, _SCORE_BYTES // (8 * max(1, len(self.ids)))))
-        for start in range(0, len(vectors), step):
-            scores = np.round(vectors[start : start + step] @ self.vectors.T, DIGITS)
-            for row, hidden in enumerate(masked[start : start + step]):
-                place = np.searchsorted(self.ids, hidden)
-                inside = place < len(self.ids)
-                place, hidden = place[inside], hidden[inside]
-                scores[row, place[self.ids[place] == hidden]] = -np.inf
-            yield start, scores
-
-
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """A list column as one array of ids per row."""
-    column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    return np.split(flat, np.cumsum(sizes)[:-1])
-
-
-def _count_better(catalog: _Catalog, part: pa.Table) -> pa.Table:
-    """Per instance: catalog items that rank before the target."""
-    better = np.zeros(part.num_rows, np.int64)
-    if part.num_rows and len(catalog.ids):
-        target = part["target_iid"].to_numpy()
-        goal = part["target_score"].to_numpy()
-        hidden = [np.append(h, t) for h, t in zip(_lists(part["seen_iids"]), target)]
-        for start, scores in catalog.blocks(vx.matrix(part["vec"]), hidden):
-            here = slice(start, start + len(scores))
-            level = goal[here, None]
-            lower = catalog.ids[None, :] < target[here, None]
-            better[here] = (scores > level).sum(1) + ((scores == level) & lower).sum(1)
-    return pa.table({"instance_id": part["instance_id"], "n_better": better})
-
-
-def _best(catalog: _Catalog, part: pa.Table, k: int) -> pa.Table:
-    """Per instance: the k best items of this catalog part, lower id first among equals."""
-    instances = part["instance_id"].to_numpy()
-    hidden = [h[h != t] for h, t in zip(_lists(part["seen_iids"]), part["target_iid"].to_numpy())] if part.num_rows else []
-    out_i, out_item, out_score = [], [], []
-    if part.num_rows and len(catalog.ids):
-        for start, scores in catalog.blocks(vx.matrix(part["vec"]), hidden):
-            keep = min(k, scores.shape[1])
-            # The k-th largest score of each row bounds the candidates; ties are kept for the sort.
-            bound = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-            for row, line in enumerate(scores):
-                places = np.flatnonzero((line >= bound[row]) & np.isfinite(line))
-                places = places[np.argsort(-line[places], kind="stable")][:keep]
-                out_i.append(np.full(len(places), instances[start + row]))
-                out_item.append(catalog.ids[places])
-                out_score.append(line[places])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return pa.table(
-        {"instance_id": join(out_i, np.int64), "iid": join(out_item, np.int64), "score": join(out_score, np.float64)}
+    def __init__(self, part: pa.Table, hide_target: bool):
+        self.ids, self.vectors = part["instance_id"].to_numpy(), vx.matrix(part["vec"])
+        self.target = part["target_iid"].to_numpy()
+        seen = part["seen_iids"].combine_chunks()
+        sizes = seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        hidden = seen.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        if hide_target:  # the target does not beat itself
+            hidden, own = np.append(hidden, self.target), np.append(own, np.arange(len(sizes)))
+            order = np.argsort(own, kind="stable")
+            hidden, own = hidden[order], own[order]
+        else:  # the target is never masked
+            stays = hidden != self.target[own]
+            hidden, own = hidden[stays], own[stays]
+        self.hidden, self.ends = hidden, np.searchsorted(own, np.arange(len(sizes) + 1))
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors)) if len(self.ids) else np.zeros(0)
+        self.visited = np.zeros(len(self.ids), np.int64)
+
+    def open(self, block: _Block, level: np.ndarray) -> np.ndarray:
+        """The instances whose level an item of the block may reach."""
+        rows = np.flatnonzero(self.norms * block.norm * (1 + 1e-12) + _SLACK >= level)
+        self.visited[rows] += 1
+        return rows
+
+
+class _Counting(_Walk):
+    """How many items rank before the target."""
+
+    schema = "instance_id bigint, target_iid bigint, n_better bigint, n_blocks bigint"
+
+    def __init__(self, part: pa.Table, goals: np.ndarray):
+        super().__init__(part, hide_target=True)
+        self.goals, self.better = goals, np.zeros(len(self.ids), np.int64)
+
+    def visit(self, block: _Block) -> None:
+        for rows, scores in block.scores(self, self.open(block, self.goals)):
+            level, lower = self.goals[rows, None], block.ids[None, :] < self.target[rows, None]
+            self.better[rows] += (scores > level).sum(1) + ((scores == level) & lower).sum(1)
+
+    def result(self) -> pa.Table:
+        return pa.table({"instance_id": self.ids, "target_iid": self.target, "n_better": self.better, "n_blocks": self.visited})
+
+
+class _Best(_Walk):
+    """The k best items so far, lower id first among equals."""
+
+    schema = "instance_id bigint, iid bigint, score double, n_blocks bigint"
+
+    def __init__(self, part: pa.Table, k: int):
+        super().__init__(part, hide_target=False)
+        self.found = np.zeros((len(self.ids), k), np.int64)
+        self.best = np.full((len(self.ids), k), -np.inf)
+
+    def visit(self, block: _Block) -> None:
+        k = self.best.shape[1]
+        for rows, scores in block.scores(self, self.open(block, self.best[:, -1])):
+            both = np.concatenate([self.best[rows], scores], 1)
+            ids = np.concatenate([self.found[rows], np.broadcast_to(block.ids, scores.shape)], 1)
+            # The k-th largest score bounds the candidates of a row; among them, score and then id decide.
+            bound = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
+            own, at = np.nonzero((both >= bound) & np.isfinite(both))
+            order = np.lexsort((ids[own, at], -both[own, at], own))
+            own, at = own[order], at[order]
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            own, at, place = own[place < k], at[place < k], place[place < k]
+            found, best = np.zeros((len(rows), k), np.int64), np.full((len(rows), k), -np.inf)
+            found[own, place], best[own, place] = ids[own, at], both[own, at]
+            self.found[rows], self.best[rows] = found, best
+
+    def result(self) -> pa.Table:
+        own, at = np.nonzero(np.isfinite(self.best))
+        return pa.table({"instance_id": self.ids[own], "iid": self.found[own, at], "score": self.best[own, at], "n_blocks": self.visited[own]})
+
+
+def _by_broadcast(instances: DataFrame, catalog: StoredCatalog, schema: str, start: Callable) -> DataFrame:
+    """Every batch of instances walks through the whole broadcast catalog."""
+    shared = catalog.shared()
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, (vectors,) = shared.value
+        order = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable") if len(ids) else np.zeros(0, np.int64)
+        blocks = [_Block(ids[order[i : i + BLOCK_ROWS]], vectors[order[i : i + BLOCK_ROWS]]) for i in range(0, len(ids), BLOCK_ROWS)]
+        for batch in batches:
+            if batch.num_rows:
+                walk = start(pa.Table.from_batches([batch]), (ids, vectors))
+                if walk is not None:
+                    for block in blocks:
+                        walk.visit(block)
+                    yield from walk.result().to_batches()
+
+    return instances.mapInArrow(stream, schema)
+
+
+def _by_slices(instances: DataFrame, catalog: StoredCatalog, schema: str, start: Callable, least: Column, tile_rows: int) -> DataFrame:
+    """Instances in slices by ``least``, the norm an item needs to matter to them; blocks go to the slices they can change."""
+    kept = with_global_position(instances.withColumn("_least", least), ["_least", "instance_id"], "rank-instances")
+    left = materialise(kept.withColumn("slice", F.floor(F.col("position") / tile_rows)).drop("position"), "rank-slices")
+    norm = vx.norm(F.col("vec"))
+    placed = with_global_position(catalog.table.withColumn("_norm", norm), [F.col("_norm").desc(), "iid"], "rank-items")
+    right = materialise(placed.withColumn("tile", F.floor(F.col("position") / BLOCK_ROWS)).drop("position"), "rank-blocks")
+    # One row per slice and per block: slices in order of their least norm, and for every block how many come before it.
+    slices = left.groupBy("slice").agg(F.min("_least").alias("level")).select("level", F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("tile"))
+    blocks = right.groupBy("tile").agg(F.max("_norm").alias("level")).select("level", F.lit(0).alias("n"), "tile")
+    before = Window.orderBy("level", F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = slices.union(blocks).withColumn("reached", F.sum("n").over(before)).where(F.col("tile").isNotNull() & (F.col("reached") > 0))
+    reach = F.broadcast(materialise(reach.select("tile", "reached"), "rank-reach"))
+    right = right.join(reach, "tile").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("reached") - 1)))
+    item, row = F.struct("iid", "vec"), F.struct(*instances.columns)
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    both = left.select("slice", F.lit(-1).cast("bigint").alias("tile"), none(right, item).alias("item"), row.alias("row")).union(
+        right.select("slice", "tile", item.alias("item"), none(left, row).alias("row"))
     )
 
-
-def _over_catalog(instances: DataFrame, catalog: DataFrame, schema: str, work, broadcast_bytes: int, tile_rows: int) -> DataFrame:
-    """``work(catalog part, instance part)`` for all pairs of parts, as tasks of bounded size."""
-    spark = instances.sparkSession
-    stored = materialise(catalog.select("iid", "vec"), "catalog")
-    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_items, width = facts["n"], facts["d"] or 0
-
-    if n_items * (width + 1) * 8 <= broadcast_bytes:
-        # Checked size: collected like any broadcast side, and the instances are not shuffled.
-        table = stored.toArrow()
-        shared = spark.sparkContext.broadcast((table["iid"].to_numpy(), vx.matrix(table["vec"])))
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = _Catalog(*shared.value)
-            for batch in batches:
-                yield from work(items, pa.Table.from_batches([batch])).to_batches()
-
-        return instances.mapInArrow(stream, schema)
-
-    # Tiles: every instance meets every item tile once. Tile sizes are bounded because ids are
-    # unique and hashed; rows repeat once per tile of the other side, scores never travel.
-    kept = materialise(instances, "rank-instances")
-    item_tiles = ceil(n_items / tile_rows)
-    instance_tiles = max(1, ceil(kept.count() / tile_rows))
-
-    def tiled(df: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
-        tile = F.pmod(F.xxhash64(key), F.lit(own)).cast("int")
-        return df.withColumn(mine, tile).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = tiled(kept, "instance_id", "_a", instance_tiles, "_b", item_tiles)
-    right = tiled(stored, "iid", "_b", item_tiles, "_a", instance_tiles)
-
-    def tile(part: pa.Table, items: pa.Table) -> pa.Table:
-        if not items.num_rows or not part.num_rows:
-            return work(_Catalog(np.empty(0, np.int64), np.empty((0, width))), part)
-        return work(_Catalog(items["iid"].to_numpy(), vx.matrix(items["vec"])), part)
-
-    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(tile, schema)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, walk = None, [], None
+        for (part, tile), batch in runs(batches, "slice", "tile"):
+            if now != part:
+                if parts:
+                    walk = start(pa.Table.from_batches(parts), None)
+                if walk is not None:
+                    yield from walk.result().to_batches()
+                now, parts, walk = part, [], None
+            if tile < 0:
+                parts.append(unpacked(batch, "row"))
+                continue
+            if parts:
+                walk, parts = start(pa.Table.from_batches(parts), None), []
+            items = unpacked(batch, "item")
+            walk.visit(_Block(items.column("iid").to_numpy(), vx.matrix(items.column("vec"))))
+        if parts:
+            walk = start(pa.Table.from_batches(parts), None)
+        if walk is not None:
+            yield from walk.result().to_batches()
+
+    return both.repartition("slice").sortWithinPartitions("slice", "tile").mapInArrow(stream, schema)
 
 
 def target_ranks(
     instances: DataFrame, instance_vectors: DataFrame, catalog: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS, report: bool = False,
 ) -> DataFrame:
     """``instance_id, target_iid, rank`` of each target among all catalog items.
 
     ``instances`` is ``instance_id, target_iid, history_iids``; items of the (truncated) history
-    are masked unless they are the target. Equal scores rank the lower id first.
+    are masked unless they are the target. Equal scores rank the lower id first. Instances without a
+    vector or with a target outside the catalog are left out. ``report`` adds ``n_blocks``, the
+    blocks of items that were multiplied with the instance's vector.
     """
     base = instances.select("instance_id", "target_iid", F.col("history_iids").alias("seen_iids"))
-    goals = catalog.select(F.col("iid").alias("target_iid"), F.col("vec").alias("_goal"))
-    ready = (
-        base.join(goals, "target_iid")
-        .join(instance_vectors.select("instance_id", "vec"), "instance_id")
-        .select("instance_id", "target_iid", "seen_iids", "vec", F.round(vx.dot("vec", "_goal"), DIGITS).alias("target_score"))
-    )
-    counts = _over_catalog(
-        ready, catalog, "instance_id bigint, n_better bigint", _count_better, broadcast_bytes, tile_rows
-    )
-    ranks = counts.groupBy("instance_id").agg((F.sum("n_better") + 1).alias("rank"))
-    return base.select("instance_id", "target_iid").join(ranks, "instance_id")
+    ready = base.join(instance_vectors.select("instance_id", "vec"), "instance_id")
+    stored = store(catalog, "vec")
+    if stored.fits(broadcast_bytes):
+
+        def start(part: pa.Table, items: tuple) -> _Counting | None:
+            ids, vectors = items
+            order = np.argsort(ids, kind="stable")
+            place = np.searchsorted(ids, part["target_iid"].to_numpy(), sorter=order)
+            known = place < len(ids)
+            place = order[np.where(known, place, 0)] if len(ids) else place
+            known &= (ids[place] == part["target_iid"].to_numpy()) if len(ids) else False
+            part, place = part.filter(pa.array(known)), place[known]
+            if not part.num_rows:
+                return None
+            return _Counting(part, np.round(np.einsum("ij,ij->i", vx.matrix(part["vec"]), vectors[place]), DIGITS))
+
+        counts = _by_broadcast(ready, stored, _Counting.schema, start)
+    else:
+        goals = stored.table.select(F.col("iid").alias("target_iid"), F.col("vec").alias("_goal"))
+        ready = ready.join(goals, "target_iid").select(
+            "instance_id", "target_iid", "seen_iids", "vec", F.round(vx.dot("vec", "_goal"), DIGITS).alias("target_score")
+        )
+        own = vx.norm(F.col("vec"))
+        least = F.when(F.col("target_score") <= _SLACK, 0.0).when(own > 0, (F.col("target_score") - _SLACK) / own * (1 - 1e-12)).otherwise(F.lit(float("inf")))
+        start = lambda part, _: _Counting(part, part["target_score"].to_numpy())
+        counts = _by_slices(ready, stored, _Counting.schema, start, least, tile_rows)
+    return counts.select("instance_id", "target_iid", (F.col("n_better") + 1).alias("rank"), *(["n_blocks"] if report else []))
 
 
 def top_items(
     instances: DataFrame, instance_vectors: DataFrame, catalog: DataFrame, k: int,
-    broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS, report: bool = False,
 ) -> DataFrame:
-    """``instance_id, place, iid, score``: the first ``k`` items of each instance's ranking."""
+    """``instance_id, place, iid, score``: the first ``k`` items of each instance's ranking.
+
+    ``report`` adds ``n_blocks`` as in :func:`target_ranks`.
+    """
     base = instances.select("instance_id", "target_iid", F.col("history_iids").alias("seen_iids"))
     ready = base.join(instance_vectors.select("instance_id", "vec"), "instance_id")
-    work = lambda items, part: _best(items, part, k)
-    best = _over_catalog(
-        ready, catalog, "instance_id bigint, iid bigint, score double", work, broadcast_bytes, tile_rows
-    )
-    # Each catalog part contributed at most k rows per instance.
-    return top_n(best, ["instance_id"], [F.col("score").desc(), F.col("iid").asc()], k, rank="place")
+    stored = store(catalog, "vec")
+    start = lambda part, _: _Best(part, k)
+    if stored.fits(broadcast_bytes):
+        best = _by_broadcast(ready, stored, _Best.schema, start)
+    else:
+        best = _by_slices(ready, stored, _Best.schema, start, F.lit(0.0), tile_rows)
+    ranked = top_n(best, ["instance_id"], [F.col("score").desc(), F.col("iid").asc()], k, rank="place")
+    return ranked if report else ranked.drop("n_blocks")

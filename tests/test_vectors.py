@@ -3,12 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
 from footfall.operators import attention as att
 from footfall.operators import learned, metrics, ranking
+from footfall.plans import tiles
 
 RNG = np.random.default_rng(11)
 D, N_ITEMS, N_INST, DAY = 6, 40, 25, 86_400_000
@@ -52,8 +54,7 @@ def plain_attention(i, mode, gamma, k, tau):
 
 @pytest.mark.parametrize("mode", ["soft", "mean", "hard"])
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 3}, {"broadcast_bytes": 0, "tile_rows": 1000}])
-def test_attention(frames, monkeypatch, mode, sizes):
-    monkeypatch.setattr(att, "_CELLS", 30)
+def test_attention(frames, mode, sizes):
     inst, items, queries = frames
     out = att.attend(inst, items, queries, mode, gamma=0.3, k=3, tau=0.7, **sizes)
     contexts = {r["instance_id"]: r["context_vec"] for r in out.collect()}
@@ -156,6 +157,50 @@ def test_ranks_equal_sorting(frames, plan, mode):
         assert lists[i] == order
 
 
+@pytest.mark.parametrize("plan", [dict(), dict(broadcast_bytes=0, tile_rows=9), dict(broadcast_bytes=0, tile_rows=1000)])
+def test_blocks_that_cannot_matter_are_not_multiplied(spark, monkeypatch, plan):
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 10)
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(200, 4)) * np.exp(-np.arange(200) / 25)[:, None]
+    items[3] *= 30  # a long vector, the target of the first instances
+    users = rng.normal(size=(30, 4))
+    users[:10] = items[3] + 0.1 * users[:10]
+    targets = [4] * 10 + [int(t) for t in rng.integers(1, 201, size=18)] + [999, 5]
+    seen = [[int(x) for x in rng.integers(1, 201, size=rng.integers(0, 5))] for _ in users]
+    inst = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(targets, seen))], "instance_id long, target_iid long, history_iids array<long>")
+    vecs = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(users[:29])], "instance_id long, vec array<double>")
+    catalog = spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(items)], "iid long, vec array<double>")
+    scores = np.round(users @ items.T, ranking.DIGITS)
+    got = {r["instance_id"]: r for r in ranking.target_ranks(inst, vecs, catalog, report=True, **plan).collect()}
+    assert sorted(got) == list(range(28))  # no vector for the last, no such target for the one before
+    for i, r in got.items():
+        s = scores[i].copy()
+        s[[h - 1 for h in seen[i] if h != targets[i]]] = -np.inf
+        assert r["rank"] == 1 + sum(s > s[targets[i] - 1]) + sum(s[: targets[i] - 1] == s[targets[i] - 1])
+    assert all(got[i]["n_blocks"] <= 1 for i in range(10)) and max(r["n_blocks"] for r in got.values()) == 20
+    best = ranking.top_items(inst, vecs, catalog, 3, report=True, **plan).collect()
+    assert len(best) == 29 * 3 and min(r["n_blocks"] for r in best) < 20
+    for r in best:
+        s = scores[r["instance_id"]].copy()
+        s[[h - 1 for h in seen[r["instance_id"]] if h != targets[r["instance_id"]]]] = -np.inf
+        assert np.argsort(-s, kind="stable")[r["place"] - 1] == r["iid"] - 1
+
+
+def test_gathered_vectors_are_bounded(monkeypatch):
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(5)), pa.array(QUERIES[:5].tolist()), pa.array([list(range(len(h))) for h in HISTORY[:5]]), pa.array(HISTORY[:5]),
+         pa.array([[1.0] * len(h) for h in HISTORY[:5]])], names=["instance_id", "query_vec", "positions", "iids", "deltas"],
+    )
+    vectors = tiles.Vectors(np.arange(1, N_ITEMS + 1), [KEYS.astype(float), ITEMS.astype(float)])
+    for mode in ("soft", "hard", "mean"):
+        (whole,) = att._partial(batch, vectors, mode, 0.3, 3)
+        monkeypatch.setattr(att, "_CELLS", 1)
+        parts = list(att._partial(batch, vectors, mode, 0.3, 3))
+        monkeypatch.setattr(att, "_CELLS", 4_000_000)
+        assert len(parts) == 5 and np.allclose(np.concatenate([p.sums for p in parts]), whole.sums)
+        assert np.allclose(np.concatenate([p.best_logits for p in parts]), whole.best_logits)
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1, 2, 3]), ([0.0, 0.0], [])], "v array<double>, h array<long>")
     rows = df.select(vx.unit(F.col("v")), vx.pad_left(F.col("h"), 2), vx.softmax(F.col("v"))).collect()
