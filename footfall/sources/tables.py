@@ -121,20 +121,26 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+def kept_path(folder: str, name: str, parameters: Mapping[str, object]) -> str:
+    """Where :func:`reuse_or_build` keeps a table: its name and a hash of its parameters."""
+    tag = hashlib.sha1(repr(sorted(parameters.items())).encode()).hexdigest()[:12]
+    return f"{folder.rstrip('/')}/{name}-{tag}"
+
+
 def reuse_or_build(
-    spark: SparkSession, folder: str, name: str, parameters: Mapping[str, object], build: Callable[[], DataFrame]
+    spark: SparkSession, folder: str, name: str, parameters: Mapping[str, object], build: Callable[[], DataFrame], rows_per_file: int = 0
 ) -> DataFrame:
     """A table kept in ``folder`` under its name and a hash of its parameters; built when absent.
 
     A finished build is recorded in a table beside it; one that was cut short is done again.
+    ``rows_per_file`` bounds the files of a table, 0 leaves them as they come.
     """
-    tag = hashlib.sha1(repr(sorted(parameters.items())).encode()).hexdigest()[:12]
-    path = f"{folder.rstrip('/')}/{name}-{tag}"
+    path = kept_path(folder, name, parameters)
     done = f"{path}.done"
     try:
         spark.read.schema("id bigint").parquet(done).first()
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
         spark.range(1).write.mode("overwrite").parquet(done)
     return spark.read.parquet(path)
 
