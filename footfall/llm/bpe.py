@@ -17,12 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers; chunks of a slice of texts, and new ones among them.
 REMEMBERED, SLICE, NEW = 220_000, 200_000, 60_000
+#: Rows decoded at once.
+DECODED = 500
 #: A merge with fewer positions than this is applied one by one.
 FEW = 48
 
@@ -274,18 +277,29 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
 
 def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     """The bytes (``binary``) that token ids stand for; null for null, for a null id and for an unknown id."""
-    shared = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
+    ranks = read_ranks(ranks_path)
+    by_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    size = np.array([-1 if t is None else len(t) for t in by_id] or [-1], "int32")  # -1: no such id
+    flat = np.frombuffer(b"".join(t or b"" for t in by_id), "uint8")
+    shared = spark.sparkContext.broadcast((flat, size))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = shared.value
-
-        def joined(row: list[int | None] | None) -> bytes | None:
-            try:
-                return None if row is None else b"".join(map(tokens.__getitem__, row))
-            except KeyError:
-                return None
-
+        flat, size = shared.value
+        starts = np.append(0, np.cumsum(np.maximum(size, 0)))
         for batch in batches:
-            yield pa.array((joined(row.as_py()) for row in batch), pa.binary())
+            for rows in (batch.slice(i, DECODED) for i in range(0, len(batch), DECODED)):
+                own = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                counts = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                known = (own >= 0) & (own < len(size))
+                known[known] = size[own[known]] >= 0
+                bad = np.add.reduceat(np.append(~known, False), np.cumsum(counts) - counts) > 0 if len(rows) else np.zeros(0, bool)
+                own = np.where(known, own, 0)
+                bounds = np.append(0, np.cumsum(np.maximum(size, 0)[own]))[np.append(0, np.cumsum(counts))]
+                joined = pa.py_buffer(gather(flat, starts, own))
+                whole = pa.BinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.astype("int64")), joined]).cast(pa.binary())
+                none = rows.is_null().to_numpy(zero_copy_only=False) | (bad & (counts > 0))
+                yield pa.compute.if_else(pa.array(none), pa.scalar(None, pa.binary()), whole)
 
     return F.arrow_udf(run, "binary")(ids)
