@@ -147,13 +147,17 @@ def review_piece(title: Column, text: Column, chars: int = PIECE_CHARS) -> Colum
 def as_list(value: Column, is_array: bool) -> Column:
     """A list column whatever came in: null and blank text become empty, text becomes one entry."""
     empty = F.array().cast("array<string>")
+    value = value if is_array else value.cast("string")
     return F.coalesce(value, empty) if is_array else F.when(is_blank(value), empty).otherwise(F.array(value))
 
 
-def pool_text(titles: Column, texts: Column, reviews: int = 5, chars: int = PIECE_CHARS) -> Column:
-    """The first ``reviews`` entries of two parallel lists as pieces; empty when none has content."""
-    entries = F.slice(as_list(texts, True), 1, reviews)
-    pieces = F.transform(entries, lambda text, i: review_piece(F.get(titles, i), text, chars))
+def pool_text(titles: Column, texts: Column, reviews: int = 5, chars: int = PIECE_CHARS, lists: tuple[bool, bool] = (True, True)) -> Column:
+    """The first ``reviews`` entries of two parallel lists as pieces; empty when none has content.
+
+    ``lists`` says which of the two columns are lists; one text instead counts as a list of it.
+    """
+    titles, texts = (as_list(c, is_array) for c, is_array in zip((titles, texts), lists, strict=True))
+    pieces = F.transform(F.slice(texts, 1, reviews), lambda text, i: review_piece(F.get(titles, i), text, chars))
     return F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n\n")
 
 

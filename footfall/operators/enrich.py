@@ -63,7 +63,8 @@ def item_texts(
     ``catalog`` is ``iid, item_id``; ``pool`` is ``iid, review_titles, review_texts``; ``cards``
     is ``item_id, card``.
     """
-    pooled = pool.select("iid", tx.pool_text(F.col("review_titles"), F.col("review_texts"), reviews, chars).alias("_pool"))
+    lists = tuple(isinstance(pool.schema[c].dataType, T.ArrayType) for c in ("review_titles", "review_texts"))
+    pooled = pool.select("iid", tx.pool_text(F.col("review_titles"), F.col("review_texts"), reviews, chars, lists).alias("_pool"))
     joined = catalog.select("iid", "item_id").join(pooled, "iid", "left")
     if cards is None:
         joined = joined.withColumn("_card", F.lit(""))

@@ -65,6 +65,20 @@ def dedup_user_item_protected(df: DataFrame, targets: DataFrame, row_key: Sequen
     return keep_one(df, ["user_id", "item_id"], row_key, prefer=narrow)
 
 
+def protected_counts(before: DataFrame, after: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: rows and protected rows (evaluation targets) before and after a protected dedup.
+
+    The difference of the protected ones had more than one target per (user, item).
+    """
+    flags = targets.select(*KEYS).distinct().withColumn("_p", F.lit(1))
+
+    def counts(df: DataFrame, when: str) -> DataFrame:
+        flagged = df.select(*KEYS).join(flags, list(KEYS), "left")
+        return flagged.agg(F.count(F.lit(1)).alias(f"n_{when}"), F.count("_p").alias(f"n_protected_{when}"))
+
+    return counts(before, "before").join(F.broadcast(counts(after, "after")))
+
+
 def with_review_hash(df: DataFrame, title: str = "title", text: str = "text", out: str = "review_hash") -> DataFrame:
     return df.withColumn(out, tx.review_hash(F.col(title), F.col(text)))
 

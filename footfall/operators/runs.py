@@ -5,7 +5,7 @@ A run log has one row per (run, epoch); a run has at most a few hundred epochs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,18 +104,35 @@ def early_stop(log: DataFrame, run: Sequence[str], metric: str, patience: int =
     )
 
 
-def seed_summary(results: DataFrame, dataset: str, seed: str, metrics: Sequence[str], expected_n: int | None = None) -> DataFrame:
+def run_results(nested: DataFrame, metrics: Mapping[str, str], *keep: str) -> DataFrame:
+    """One flat row per result document: ``seed``, ``best_epoch``, ``n_eval`` and the named test metrics.
+
+    A document holds ``args.seed``, ``best_epoch`` and a struct ``test`` with ``n_eval`` and metrics;
+    ``metrics`` maps their names to column names, ``keep`` lists further top-level columns. Only these fields are read.
+    """
+    values = [F.col(f"test.`{name}`").alias(out) for name, out in metrics.items()]
+    return nested.select(*keep, F.col("args.seed").alias("seed"), "best_epoch", F.col("test.n_eval").alias("n_eval"), *values)
+
+
+def seed_summary(
+    results: DataFrame, dataset: str, seed: str, metrics: Sequence[str], expected_n: int | None = None, epoch: str | None = None
+) -> DataFrame:
     """Per dataset: seeds, mean and sample standard deviation of each metric, agreement on ``n_eval``.
 
-    Metrics are rounded to 6 digits before and after averaging; one seed has deviation 0.
+    Metrics are rounded to 6 digits before and after averaging; one seed has deviation 0. ``epoch`` names
+    the column of best epochs and adds ``seeds`` and ``best_epochs``, two parallel lists in the order of seeds.
     """
-    rounded = results.select(dataset, seed, "n_eval", *[F.round(m, 6).alias(m) for m in metrics])
+    rounded = results.select(dataset, seed, "n_eval", *([epoch] if epoch else []), *[F.round(m, 6).alias(m) for m in metrics])
     stats = []
     for m in metrics:
         stats.append(F.round(F.avg(m), 6).alias(f"{m}_mean"))
         stats.append(F.round(F.coalesce(F.stddev_samp(m), F.lit(0.0)), 6).alias(f"{m}_std"))
     same = F.min("n_eval") == F.max("n_eval")
     expected = F.lit(None).cast("boolean") if expected_n is None else same & (F.min("n_eval") == expected_n)
-    return rounded.groupBy(dataset).agg(
-        F.count(F.lit(1)).alias("n_seeds"), *stats, same.alias("n_eval_agrees"), expected.alias("n_eval_expected")
+    runs = [F.sort_array(F.collect_list(F.struct(F.col(seed).alias("s"), F.col(epoch).alias("e")))).alias("_runs")] if epoch else []
+    found = rounded.groupBy(dataset).agg(
+        F.count(F.lit(1)).alias("n_seeds"), *stats, same.alias("n_eval_agrees"), expected.alias("n_eval_expected"), *runs
     )
+    if not epoch:
+        return found
+    return found.withColumns({"seeds": F.col("_runs.s"), "best_epochs": F.col("_runs.e")}).drop("_runs")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,22 +52,61 @@ def merge_latest(
     return latest.orderBy(*sort) if sort else latest
 
 
-def write_version(df: DataFrame, base: str, version: int) -> str:
-    """Write a complete new version beside the old ones; readers switch when it is listed as done."""
-    path = f"{base.rstrip('/')}/version={version}"
+class VersionTaken(RuntimeError):
+    """Another writer committed this version first."""
+
+
+def _pointers(spark: SparkSession, base: str):  # noqa: ANN202
+    """The folder of version pointers and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/versions")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def newest_version(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """Number and folder of the newest committed version; (0, None) before the first.
+
+    A pointer that is still empty belongs to a commit under way and does not count.
+    """
+    folder, files = _pointers(spark, base)
+    if not files.exists(folder):
+        return 0, None
+    for status in sorted(files.listStatus(folder), key=lambda s: s.getPath().getName(), reverse=True):
+        if status.getLen():
+            name = status.getPath().getName()
+            return int(name), spark.read.text(status.getPath().toString()).first()["value"]
+    return 0, None
+
+
+def write_version(df: DataFrame, base: str) -> str:
+    """Write rows into a folder of their own, which no reader sees before :func:`commit_version`."""
+    path = f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
-def record_version(spark: SparkSession, base: str, version: int) -> None:
-    """Append ``version`` to the table of finished versions: the switch readers see."""
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(
-        f"{base.rstrip('/')}/finished"
-    )
+def commit_version(spark: SparkSession, base: str, version: int, path: str) -> None:
+    """Make the rows in ``path`` version ``version``, one more than the version they were made from.
+
+    The pointer file of a number is created only if it is not there, in one step of the file system, so of two writers that
+    started from the same version one gets :class:`VersionTaken`: it reads the newest version and tries again.
+    """
+    if version != newest_version(spark, base)[0] + 1:
+        raise VersionTaken(f"version {version} does not follow the newest one")
+    folder, files = _pointers(spark, base)
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{version:012}")
+    try:
+        out = files.create(pointer, False)
+    except Py4JJavaError as error:
+        if not files.exists(pointer):
+            raise
+        raise VersionTaken(f"version {version} exists") from error
+    out.write(bytearray(path.encode()))
+    out.close()
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest finished version."""
-    root = base.rstrip("/")
-    newest = spark.read.schema("version int").parquet(f"{root}/finished").agg(F.max("version").alias("v")).first()["v"]
-    return spark.read.parquet(f"{root}/version={newest}")
+    """The newest committed version, whole."""
+    version, path = newest_version(spark, base)
+    if path is None:
+        raise FileNotFoundError(f"no version in {base}")
+    return spark.read.parquet(path)

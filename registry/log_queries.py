@@ -162,12 +162,24 @@ def dedup_user_item(spark, sf):
             ORDER BY (t.user_id IS NULL)::INT, e."timestamp", e.event_id) = 1""", "ev"))
 def dedup_protected(spark, sf):
     """Each user's last visit of an item is its target, so it must beat the earlier ones."""
-    log = v.visits(spark, sf)
-    targets = log.groupBy("user_id", "item_id").agg(F.max("timestamp").alias("timestamp"))
-    kept = rev.dedup_user_item_protected(log, targets, ["timestamp", "event_id"])
+    kept = rev.dedup_user_item_protected(v.visits(spark, sf), _late_targets(spark, sf), ["timestamp", "event_id"])
     return kept.select("event_id", "user_id", "item_id", "timestamp")
 
 
+def _late_targets(spark, sf):
+    return v.visits(spark, sf).groupBy("user_id", "item_id").agg(F.max("timestamp").alias("timestamp"))
+
+
+@query("dedup_protected_counts", sql("""
+    SELECT count(*) AS n_before, count(*) FILTER (last) AS n_protected_before,
+           count(DISTINCT (user_id, item_id)) AS n_after, count(DISTINCT (user_id, item_id)) AS n_protected_after
+    FROM (SELECT *, "timestamp" = max("timestamp") OVER (PARTITION BY user_id, item_id) AS last FROM ev)""", "ev"))
+def dedup_protected_counts(spark, sf):
+    log, targets = v.visits(spark, sf), _late_targets(spark, sf)
+    kept = rev.dedup_user_item_protected(log, targets, ["timestamp", "event_id"])
+    return rev.protected_counts(log, kept, targets)
+
+
 @query("dedup_content", sql("""
     SELECT review_id, user_id, title AS item_id, "timestamp" FROM rv
     QUALIFY row_number() OVER (PARTITION BY title, "timestamp", review_hash ORDER BY user_id, review_id) = 1""", "rv"))

@@ -475,7 +475,8 @@ def early_stop_epoch(spark, sf):
     SELECT dataset, count(*) AS n_seeds, """ + ", ".join(
     f"round(avg(round({m}, 6)), 6) AS {m}_mean, round(coalesce(stddev_samp(round({m}, 6)), 0), 6) AS {m}_std"
     for m in ("hr_10", "ndcg_10", "mrr")) + """,
-           min(n_eval) = max(n_eval) AS n_eval_agrees, min(n_eval) = max(n_eval) AND min(n_eval) = 4 AS n_eval_expected
+           min(n_eval) = max(n_eval) AS n_eval_agrees, min(n_eval) = max(n_eval) AND min(n_eval) = 4 AS n_eval_expected,
+           string_agg(seed, ',' ORDER BY seed) AS seeds, string_agg(epoch, ',' ORDER BY seed) AS best_epochs
     FROM (SELECT * FROM ep QUALIFY row_number() OVER (PARTITION BY dataset, seed ORDER BY ndcg_10 DESC, epoch) = 1)
     GROUP BY dataset""", "ep"))
 def seed_summary(spark, sf):
@@ -483,4 +484,5 @@ def seed_summary(spark, sf):
     log = v.epochs(spark, sf)
     best = runs.best_epochs(log, _RUN, "ndcg_10").select(*_RUN, F.col("best_epoch").alias("epoch"))
     results = log.join(best, [*_RUN, "epoch"], "left_semi")
-    return runs.seed_summary(results, "dataset", "seed", ("hr_10", "ndcg_10", "mrr"), expected_n=4)
+    found = runs.seed_summary(results, "dataset", "seed", ("hr_10", "ndcg_10", "mrr"), expected_n=4, epoch="epoch")
+    return found.withColumns({c: v.joined(c) for c in ("seeds", "best_epochs")})

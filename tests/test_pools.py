@@ -150,13 +150,39 @@ def test_resume_and_merge(spark):
         inc.merge_latest([old.drop("query")], KEYS, ["query"])
 
 
-def test_versions_switch_when_finished(spark, tmp_path):
+def test_versions_switch_when_committed(spark, tmp_path):
     base = str(tmp_path / "table")
-    inc.write_version(spark.range(1), base, 1)
-    inc.record_version(spark, base, 1)
-    inc.write_version(spark.range(5), base, 2)
+    assert inc.newest_version(spark, base) == (0, None)
+    with pytest.raises(FileNotFoundError):
+        inc.read_latest(spark, base)
+    inc.commit_version(spark, base, 1, inc.write_version(spark.range(1), base))
+    later = inc.write_version(spark.range(5), base)
     assert inc.read_latest(spark, base).count() == 1
-    inc.record_version(spark, base, 2)
+    inc.commit_version(spark, base, 2, later)
     assert inc.read_latest(spark, base).count() == 5
-    with pytest.raises(Exception, match="exists"):
-        inc.write_version(spark.range(9), base, 2)
+    with pytest.raises(inc.VersionTaken):
+        inc.commit_version(spark, base, 4, later)
+
+
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "table")
+    inc.commit_version(spark, base, 1, inc.write_version(spark.range(1), base))
+    mine, other = inc.write_version(spark.range(2), base), inc.write_version(spark.range(3), base)
+    seen = inc.newest_version(spark, base)
+    monkeypatch.setattr(inc, "newest_version", lambda *_: seen)  # both have looked before either commits
+    inc.commit_version(spark, base, 2, other)
+    with pytest.raises(inc.VersionTaken):
+        inc.commit_version(spark, base, 2, mine)
+    monkeypatch.undo()
+    assert inc.newest_version(spark, base)[0] == 2 and inc.read_latest(spark, base).count() == 3
+    inc.commit_version(spark, base, 3, mine)
+    (tmp_path / "table" / "versions" / "000000000004").touch()  # a commit under way
+    assert inc.read_latest(spark, base).count() == 2
+
+
+def test_pools_of_single_texts(spark):
+    pool = spark.createDataFrame([(1, "t", "some text"), (2, " ", None), (3, None, "x")], "iid long, review_titles string, review_texts string")
+    catalog = spark.createDataFrame([(i, f"i{i}") for i in (1, 2, 3)], "iid long, item_id string")
+    cards = spark.createDataFrame([], "item_id string, card string")
+    got = {r["iid"]: r["item_text"] for r in enrich.item_texts(catalog, pool, cards, "Do.", "book").collect()}
+    assert got == {1: "Do.\n\nReview title: t\nReview text: some text", 2: "general book recommendation", 3: "Do.\n\nReview text: x"}

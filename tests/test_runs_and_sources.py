@@ -147,3 +147,11 @@ def test_reuse_or_build(spark, tmp_path):
     get = lambda n: tables.reuse_or_build(spark, str(tmp_path), "core", {"ku": n, "ki": 5}, lambda: build(n))
     assert (get(3).count(), get(3).count(), get(4).count()) == (3, 3, 4)
     assert calls == [3, 4]
+
+
+def test_nested_results_and_lists_of_seeds(spark):
+    docs = [{"args": {"seed": s, "lr": 1}, "best_epoch": e, "test": {"n_eval": 9, "HR@10": h}} for s, e, h in ((8, 5, 0.25), (7, 3, 0.75))]
+    nested = spark.createDataFrame(docs, "args struct<seed:int,lr:int>, best_epoch int, test struct<n_eval:int,`HR@10`:double>")
+    flat = runs.run_results(nested.withColumn("dataset", F.lit("d")), {"HR@10": "hr_10"}, "dataset")
+    one = runs.seed_summary(flat, "dataset", "seed", ["hr_10"], expected_n=9, epoch="best_epoch").first()
+    assert (one["seeds"], one["best_epochs"], one["hr_10_mean"], one["n_eval_expected"]) == ([7, 8], [3, 5], 0.5, True)
