@@ -232,6 +232,16 @@ def test_rank_percentiles_by_index(spark, n):
     assert np.isclose(p["rank_mean"], np.mean(values))
 
 
+def test_rank_percentiles_of_wide_ranks_and_none(spark):
+    values = [int(x) for x in np.random.default_rng(5).integers(1, 1 << 40, size=500)] + [7] * 200 + [1 << 16] * 3
+    ranks = spark.createDataFrame([(x,) for x in [*values, None]], "rank long").repartition(5)
+    p = metrics.rank_percentiles(ranks, points=(0, 10, 28, 50, 99)).first()
+    ordered = sorted(values)
+    assert [p[f"rank_p{x}"] for x in (0, 10, 28, 50, 99)] == [ordered[len(ordered) * x // 100] for x in (0, 10, 28, 50, 99)]
+    none = metrics.rank_percentiles(ranks.where("rank < 0")).first()
+    assert none["rank_mean"] is None and none["rank_p50"] is None and none["rank_p90"] is None
+
+
 def test_ridge_projection(spark):
     rng = np.random.default_rng(2)
     x, w = rng.normal(size=(300, 5)), rng.normal(size=(5, 3))
