@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import digests
+from footfall.plans.scratch import materialise
 
 
 def instance_line(instances: DataFrame) -> Column:
@@ -49,6 +50,34 @@ def check_population(instances: DataFrame, expected_n: int | None = None, expect
     )
 
 
+def population_tree(instances: DataFrame) -> DataFrame:
+    """The :func:`digests.digest_tree` of the population's lines: what to keep for a later comparison."""
+    return digests.digest_tree(instances, instance_line(instances))
+
+
+def compare_trees(obtained: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: ``status`` PASS or FAIL, both line numbers, and ``differing``, the leaf buckets that differ, in order.
+
+    ``differing`` has at most as many entries as a tree has leaves (65,536).
+    """
+    leaf = (F.col("level") == digests.DEPTH) & ~F.col("same")
+    of_root = lambda c: F.max(F.when(F.col("level") == 0, F.col(c)))
+    return digests.matched_nodes(obtained, expected).agg(
+        F.when(of_root("same"), "PASS").otherwise("FAIL").alias("status"),
+        of_root("left_n").alias("obtained_n"),
+        of_root("right_n").alias("expected_n"),
+        F.sort_array(F.collect_list(F.when(leaf, F.col("bucket")))).alias("differing"),
+    )
+
+
+def differing_instances(obtained: DataFrame, expected: DataFrame) -> DataFrame:
+    """``line, left_n, right_n``: the lines in which two populations differ, read from the differing buckets only."""
+    trees = [population_tree(df) for df in (obtained, expected)]
+    buckets = materialise(digests.matched_nodes(*trees).where((F.col("level") == digests.DEPTH) & ~F.col("same")), "differing-buckets")
+    lines = [df.select(instance_line(df).alias("line")) for df in (obtained, expected)]
+    return digests.differing_lines(*lines, buckets)
+
+
 def user_set_tag(users: DataFrame, user: str = "user_id") -> DataFrame:
     """One row ``tag``: 8 hex digits that depend on the set of distinct users, for lists of any length."""
     ids = users.select(F.col(user).cast("string").alias("u")).distinct()

@@ -199,6 +199,48 @@ def population_check(spark, sf):
     return checked.select("expected_n", "obtained_n", "obtained_digest", "status")
 
 
+def _tree_sql(lines):
+    """The nodes of the digest tree of ``lines``."""
+    fold = "string_agg(bucket || ':' || digest, ',' ORDER BY bucket)"
+    levels = [f"""t4 AS (SELECT 4 AS level, substr(h, 1, 4) AS bucket, count(*) AS n_lines, sha256(count(*)::VARCHAR || '-' || {_WORDS}) AS digest
+        FROM (SELECT sha256(line) AS h FROM {lines}) GROUP BY ALL)"""]
+    for up in (3, 2, 1, 0):
+        levels.append(f"""t{up} AS (SELECT {up} AS level, substr(bucket, 1, {up}) AS bucket, sum(n_lines)::BIGINT AS n_lines,
+            sha256({fold}) AS digest FROM t{up + 1} GROUP BY 2)""")
+    return "WITH " + ", ".join(levels) + " " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(5))
+
+
+@query("population_tree", sql(f"SELECT * FROM ({_tree_sql('lines')})", extra=_LINES))
+def population_tree(spark, sf):
+    return population.population_tree(v.instances(spark, sf, "test"))
+
+
+_TWO = {"all_lines": f"SELECT {_LINE} AS line FROM inst WHERE split = 'test'",
+        "kept_lines": f"SELECT {_LINE} AS line FROM inst WHERE split = 'test' AND uid NOT IN ({_LEAK})"}
+
+
+@query("population_tree_check", sql(f"""
+    SELECT CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, (SELECT count(*) FROM kept_lines) AS obtained_n,
+           (SELECT count(*) FROM all_lines) AS expected_n, coalesce(string_agg(bucket, ',' ORDER BY bucket), '') AS differing
+    FROM (SELECT bucket FROM ({_tree_sql("kept_lines")}) k FULL JOIN ({_tree_sql("all_lines")}) a USING (level, bucket)
+          WHERE level = 4 AND k.digest IS DISTINCT FROM a.digest)""", "proc", extra=_TWO))
+def population_tree_check(spark, sf):
+    """The population after the leak-drop against the one before."""
+    every = v.instances(spark, sf, "test")
+    kept = population.drop_listed(every, _leaked(spark, sf))
+    found = population.compare_trees(population.population_tree(kept), population.population_tree(every))
+    return found.withColumn("differing", F.array_join("differing", ","))
+
+
+@query("population_difference", sql("""
+    SELECT line, count(*) FILTER (side = 0) AS left_n, count(*) FILTER (side = 1) AS right_n
+    FROM (SELECT line, 0 AS side FROM kept_lines UNION ALL SELECT line, 1 FROM all_lines)
+    GROUP BY line HAVING left_n <> right_n""", "proc", extra=_TWO))
+def population_difference(spark, sf):
+    every = v.instances(spark, sf, "test")
+    return population.differing_instances(population.drop_listed(every, _leaked(spark, sf)), every)
+
+
 @query("leak_drop", sql(f"SELECT instance_id, uid, split FROM eval WHERE uid NOT IN ({_LEAK})", "eval", "proc"))
 def leak_drop(spark, sf):
     kept = population.drop_listed(v.instances(spark, sf), _leaked(spark, sf))

@@ -132,6 +132,30 @@ def test_population(spark):
     assert tag == population.user_set_tag(df.union(df)).first()["tag"] != population.user_set_tag(dropped).first()["tag"]
 
 
+def test_digest_tree_names_what_differs(spark):
+    rows = [(i, f"u{i}", f"x{i % 7}", i, [f"p{i % 3}"]) for i in range(400)]
+    old, same = instances(spark, rows), instances(spark, rows[::-1]).repartition(7)
+    new = instances(spark, [*rows[:100], *rows[101:], rows[5], (0, "new", "x", 1, [])])
+    trees = [population.population_tree(df) for df in (old, same, new, old.where("uid < 0"))]
+    nodes = {(r["level"], r["bucket"]): r for r in trees[0].collect()}
+    for (level, bucket), node in nodes.items():
+        if level < 4:
+            children = sorted(b for k, b in nodes if k == level + 1 and b.startswith(bucket))
+            text = ",".join(f"{b}:{nodes[level + 1, b]['digest']}" for b in children)
+            assert node["digest"] == hashlib.sha256(text.encode()).hexdigest()
+            assert node["n_lines"] == sum(nodes[level + 1, b]["n_lines"] for b in children)
+    assert population.compare_trees(trees[1], trees[0]).first().asDict() == {"status": "PASS", "obtained_n": 400, "expected_n": 400, "differing": []}
+    line = lambda r: "\t".join([r[1], r[2], str(r[3]), ",".join(r[4])])
+    changed = {line(rows[100]): (0, 1), line(rows[5]): (2, 1), "new\tx\t1\t": (1, 0)}
+    got = population.compare_trees(trees[2], trees[0]).first()
+    buckets = sorted({hashlib.sha256(x.encode()).hexdigest()[:4] for x in changed})
+    assert (got["status"], got["obtained_n"], got["expected_n"], got["differing"]) == ("FAIL", 401, 400, buckets)
+    assert {r["line"]: (r["left_n"], r["right_n"]) for r in population.differing_instances(new, old).collect()} == changed
+    empty = trees[3].collect()
+    assert [(r["level"], r["bucket"], r["n_lines"]) for r in empty] == [(0, "", 0)]
+    assert population.compare_trees(trees[3], trees[3]).first()["status"] == "PASS"
+
+
 def test_multiset_digest_counts_repeats(spark):
     one = spark.createDataFrame([("x",)], "l string")
     two = spark.createDataFrame([("x",), ("x",)], "l string")
