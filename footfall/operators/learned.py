@@ -20,6 +20,8 @@ from footfall.plans.scratch import materialise
 
 # Counted pairs of a factorisation block; the number of blocks follows the data.
 PAIRS_PER_BLOCK = 2_000_000
+# Partial matrices added up by one task of a round.
+FAN = 16
 
 
 def hashed_text_vectors(df: DataFrame, key: str, text: str, dimensions: int = 256, prefix: str = "") -> DataFrame:
@@ -54,31 +56,51 @@ def behaviour_vectors(df: DataFrame, rank: int = 32, iterations: int = 10, seed:
     return pick(model.itemFactors, "iid"), pick(model.userFactors, "uid")
 
 
-def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float = 1.0) -> np.ndarray:
+def summed_matrices(partials: DataFrame, fan: int = FAN) -> DataFrame:
+    """``i, v``: the sum over all nodes of ``node, i, v``, where ``v`` is the array of matrix row ``i`` of that node.
+
+    Nodes are numbered from 0 and combined in a tree, ``fan`` at a time: a task of a round adds at most ``fan``
+    arrays per row, and each node sends its rows once. The sum is taken in the order of nodes.
+    """
+    nodes = (partials.agg(F.max("node")).first()[0] or 0) + 1
+    level = partials
+    while nodes > 1:
+        group = F.floor(F.col("node") / fan).cast("int").alias("node")
+        total = F.aggregate(F.slice("vs", 2, fan), F.get("vs", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        met = level.select(group, F.col("node").alias("_n"), "i", "v").groupBy("node", "i")
+        level = met.agg(F.sort_array(F.collect_list(F.struct("_n", "v")))["v"].alias("vs")).select("node", "i", total.alias("v"))
+        nodes = -(-nodes // fan)
+    return level.select("i", "v")
+
+
+def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float = 1.0, fan: int = FAN) -> np.ndarray:
     """The matrix W minimising |XW - Y|^2 + penalty |W|^2 over all rows of ``pairs``.
 
-    Each batch contributes the entries of X'X and X'Y; Spark adds them up, and only the
-    (d, d + k) total, whose size does not depend on the rows, reaches the driver.
+    Each task adds up its own X'X and X'Y and emits them as one array per matrix row; these are stored
+    and combined in a tree (:func:`summed_matrices`), and only the (d, d + k) total, whose size does not depend on
+    the rows, reaches the driver. Rows with a null vector teach nothing; with none left it raises ``ValueError``.
     """
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, node = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = matrix(batch.column(0)), matrix(batch.column(1))
+            x, y, node = matrix(batch.column(0)), matrix(batch.column(1)), batch.column(2)[0]
             part = x.T @ np.hstack([x, y])
             total = part if total is None else total + part
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_pydict({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": total.ravel()})
-
-    cells = pairs.select(source, target).mapInArrow(gram, "i int, j int, v double")
-    rows = cells.groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
-    i, j, v = (rows[c].to_numpy() for c in ("i", "j", "v"))
-    d = int(i.max()) + 1
-    both = np.zeros((d, int(j.max()) + 1))
-    both[i, j] = v
+            offsets = np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(total), pa.int32()), pa.array(np.arange(len(total), dtype=np.int32)), rows], names=["node", "i", "v"])
+
+    known = pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    cells = known.select(source, target, F.spark_partition_id().alias("_node")).mapInArrow(gram, "node int, i int, v array<double>")
+    total = summed_matrices(materialise(cells, "gram-parts"), fan).orderBy("i").toArrow()
+    if not total.num_rows:
+        raise ValueError("no pairs to learn a projection from")
+    both = matrix(total["v"])
+    d = len(both)
     return np.linalg.solve(both[:, :d] + penalty * np.eye(d), both[:, d:])
 
 

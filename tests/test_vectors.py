@@ -254,6 +254,18 @@ def test_ridge_projection(spark):
     assert all(np.allclose(projected[i], x[i] @ want) for i in range(300))
 
 
+@pytest.mark.parametrize("parts,fan", [(1, 16), (7, 2), (40, 3), (23, 16)])
+def test_ridge_projection_is_combined_in_a_tree(spark, parts, fan):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(200, 4)), rng.normal(size=(200, 2))
+    rows = [(x[i].tolist(), y[i].tolist()) for i in range(200)] + [(None, [0.0, 0.0]), ([0.0] * 4, None)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>").repartition(parts)
+    want = np.linalg.solve(x.T @ x + np.eye(4), x.T @ y)
+    assert np.allclose(learned.ridge_projection(df, "x", "y", fan=fan), want)
+    with pytest.raises(ValueError, match="no pairs"):
+        learned.ridge_projection(df.where("x is null"), "x", "y")
+
+
 def test_hashed_text_vectors(spark):
     df = spark.createDataFrame([(1, "red shoes"), (2, "Red  SHOES"), (3, "blue hat"), (4, None)], "k int, t string")
     got = {r["k"]: np.array(r["vec"]) for r in learned.hashed_text_vectors(df, "k", "t", 64).collect()}
