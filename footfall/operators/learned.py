@@ -1,4 +1,4 @@
-"""Learned inputs: hashed text vectors, behavioural factors, and a query projection."""
+"""Learned inputs: hashed text vectors and a query projection."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +17,6 @@ from footfall.functions.text import or_empty
 from footfall.functions.vectors import matrix
 from footfall.plans.scratch import materialise
 
-# Counted pairs of a factorisation block; the number of blocks follows the data.
-PAIRS_PER_BLOCK = 2_000_000
 # Partial matrices added up by one task of a round.
 FAN = 16
 
@@ -41,45 +38,28 @@ def hashed_text_vectors(df: DataFrame, key: str, text: str, dimensions: int = 25
     return encoded.select(key, vector_to_array("_unit", "float32").alias("vec"))
 
 
-def behaviour_vectors(df: DataFrame, rank: int = 32, iterations: int = 10, seed: int = 42, user: str = "uid", item: str = "iid") -> tuple[DataFrame, DataFrame]:
-    """``iid, vec`` and ``uid, vec``: factors of implicit feedback, with repeats as strength."""
-    counts = df.groupBy(user, item).agg(F.count(F.lit(1)).cast("float").alias("n"))
-    counts = materialise(counts, "als-counts")
-    facts = counts.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(user, item)).alias("top")).first()
-    if (facts["top"] or 0) >= 1 << 31:
-        raise ValueError("the factorisation takes ids below 2**31: number users and items densely first")
-    blocks = max(10, -(-facts["n"] // PAIRS_PER_BLOCK))
-    counts = counts.select(F.col(user).cast("int").alias(user), F.col(item).cast("int").alias(item), "n")
-    als = ALS(numUserBlocks=blocks, numItemBlocks=blocks, rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol=user, itemCol=item, ratingCol="n")
-    model = als.fit(counts)
-    pick = lambda factors, name: factors.select(F.col("id").cast("bigint").alias(name), F.col("features").alias("vec"))
-    return pick(model.itemFactors, "iid"), pick(model.userFactors, "uid")
-
-
-def summed_matrices(partials: DataFrame, fan: int = FAN) -> DataFrame:
+def summed_matrices(partials: DataFrame, fan: int = FAN, nodes: int | None = None) -> DataFrame:
     """``i, v``: the sum over all nodes of ``node, i, v``, where ``v`` is the array of matrix row ``i`` of that node.
 
     Nodes are numbered from 0 and combined in a tree, ``fan`` at a time: a task of a round adds at most ``fan``
-    arrays per row, and each node sends its rows once. The sum is taken in the order of nodes.
+    arrays per row and node, and each node sends its rows once. The sum is taken in the order of nodes. There is
+    always one round, so that rows which a node holds twice are added too.
     """
-    nodes = (partials.agg(F.max("node")).first()[0] or 0) + 1
+    if nodes is None:
+        nodes = (partials.agg(F.max("node")).first()[0] or 0) + 1
+    nodes = max(2, nodes)
     level = partials
     while nodes > 1:
         group = F.floor(F.col("node") / fan).cast("int").alias("node")
-        total = F.aggregate(F.slice("vs", 2, fan), F.get("vs", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        total = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), F.get("vs", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
         met = level.select(group, F.col("node").alias("_n"), "i", "v").groupBy("node", "i")
         level = met.agg(F.sort_array(F.collect_list(F.struct("_n", "v")))["v"].alias("vs")).select("node", "i", total.alias("v"))
         nodes = -(-nodes // fan)
     return level.select("i", "v")
 
 
-def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float = 1.0, fan: int = FAN) -> np.ndarray:
-    """The matrix W minimising |XW - Y|^2 + penalty |W|^2 over all rows of ``pairs``.
-
-    Each task adds up its own X'X and X'Y and emits them as one array per matrix row; these are stored
-    and combined in a tree (:func:`summed_matrices`), and only the (d, d + k) total, whose size does not depend on
-    the rows, reaches the driver. Rows with a null vector teach nothing; with none left it raises ``ValueError``.
-    """
+def gram_parts(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """``node, i, v``: the rows of [X'X X'Y] of each task, X and Y being its vectors; null vectors are left out."""
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, node = None, 0
@@ -95,8 +75,18 @@ def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float
             yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(total), pa.int32()), pa.array(np.arange(len(total), dtype=np.int32)), rows], names=["node", "i", "v"])
 
     known = pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull())
-    cells = known.select(source, target, F.spark_partition_id().alias("_node")).mapInArrow(gram, "node int, i int, v array<double>")
-    total = summed_matrices(materialise(cells, "gram-parts"), fan).orderBy("i").toArrow()
+    named = known.select(F.col(source).alias("_x"), F.col(target).alias("_y"), F.spark_partition_id().alias("_node"))
+    return named.mapInArrow(gram, "node int, i int, v array<double>")
+
+
+def ridge_projection(pairs: DataFrame, source: str, target: str, penalty: float = 1.0, fan: int = FAN) -> np.ndarray:
+    """The matrix W minimising |XW - Y|^2 + penalty |W|^2 over all rows of ``pairs``.
+
+    Each task adds up its own X'X and X'Y and emits them as one array per matrix row; these are stored
+    and combined in a tree (:func:`summed_matrices`), and only the (d, d + k) total, whose size does not depend on
+    the rows, reaches the driver. Rows with a null vector teach nothing; with none left it raises ``ValueError``.
+    """
+    total = summed_matrices(materialise(gram_parts(pairs, source, target), "gram-parts"), fan).orderBy("i").toArrow()
     if not total.num_rows:
         raise ValueError("no pairs to learn a projection from")
     both = matrix(total["v"])

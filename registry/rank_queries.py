@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
 from footfall.operators import attention as att
-from footfall.operators import learned, metrics, ranking, runs
+from footfall.operators import factors, learned, metrics, ranking, runs
 from footfall.operators import sequences as seqs
 from registry import views as v
 from registry.base import query
@@ -399,7 +399,7 @@ def bpr_loss(spark, sf):
 def behaviour_vectors(spark, sf):
     """Item factors from train visits; checked by tests."""
     train = v.processed(spark, sf).where(F.col("split") == "train").select("uid", "iid")
-    items, _ = learned.behaviour_vectors(train, rank=16, iterations=5)
+    items, _ = factors.behaviour_vectors(train)
     return items
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import text as tx
-from footfall.operators import learned
+from footfall.operators import factors, learned
 from footfall.plans import stages
 from footfall.sources.tables import scan_with_row_id
 from registry import views
@@ -89,7 +89,7 @@ def test_disagreeing_manifest_is_refused(built):
 def test_evaluation(spark, prepared, mode, fusion):
     test = prepared.instances.where("split = 'test'")
     assert test.select("instance_id").distinct().count() == test.count()
-    items, _ = learned.behaviour_vectors(prepared.log.where("split = 'train'"), rank=8, iterations=3)
+    items, _ = factors.behaviour_vectors(prepared.log.where("split = 'train'"), rank=8, iterations=3)
     texts = learned.hashed_text_vectors(prepared.items(), "iid", "item_id", 32, tx.PASSAGE_PREFIX)
     catalog = texts.withColumnRenamed("vec", "text_vec").join(items.withColumnRenamed("vec", "behaviour_vec"), "iid")
     asked = learned.hashed_text_vectors(test, "instance_id", "query", 32, tx.QUERY_PREFIX)

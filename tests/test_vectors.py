@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import vectors as vx
 from footfall.operators import attention as att
-from footfall.operators import learned, metrics, ranking
+from footfall.operators import factors, learned, metrics, ranking
 from footfall.plans import tiles
 
 RNG = np.random.default_rng(11)
@@ -274,9 +274,70 @@ def test_hashed_text_vectors(spark):
     assert np.isclose(np.linalg.norm(got[1]), 1, atol=1e-6)
 
 
+def plain_factors(pairs, rank, iterations, start, penalty=0.1, alpha=1.0):
+    """Alternating least squares over a dense matrix of counts; also the loss after each iteration."""
+    users, items = sorted({u for u, _ in pairs}), sorted({i for _, i in pairs})
+    n = np.zeros((len(users), len(items)))
+    for u, i in pairs:
+        n[users.index(u), items.index(i)] += 1
+    x, losses = np.array([start[u] for u in users]), []
+    solve = lambda n, y: np.array([
+        np.linalg.solve(y.T @ y + (y.T * (alpha * r)) @ y + penalty * (r > 0).sum() * np.eye(rank), ((1 + alpha * r) * (r > 0)) @ y) for r in n
+    ])
+    for _ in range(iterations):
+        y = solve(n.T, x)
+        x = solve(n, y)
+        sizes = penalty * (((n > 0).sum(1) * (x**2).sum(1)).sum() + ((n > 0).sum(0) * (y**2).sum(1)).sum())
+        losses.append(((1 + alpha * n) * ((n > 0) - x @ y.T) ** 2).sum() + sizes)
+    return dict(zip(items, y, strict=True)), dict(zip(users, x, strict=True)), losses
+
+
+@pytest.mark.parametrize("most,parts", [(1 << 26, 1), (1 << 26, 9), (0, 5)])
+def test_behaviour_vectors_equal_plain_ones_with_a_hot_item(spark, most, parts):
+    rng = np.random.default_rng(11)
+    big = 1 << 40
+    pairs = [(u, big) for u in range(120)] + [(int(u), int(i)) for u, i in zip(rng.integers(0, 120, 240), rng.integers(0, 30, 240))]
+    df = spark.createDataFrame([*pairs, (None, 3), (4, None)], "uid long, iid long")
+    ids = spark.createDataFrame([(u,) for u in range(120)], "iid long")
+    start = {r["iid"]: np.array(r["vec"]) for r in factors.start_vectors(ids, 6, 42).collect()}
+    items, users, losses = plain_factors(pairs, 6, 3, start)
+    assert losses == sorted(losses, reverse=True)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = factors.behaviour_vectors(df, rank=6, iterations=3, most=most, tile_rows=16)
+        for table, key, want in zip(got, ("iid", "uid"), (items, users), strict=True):
+            have = {r[key]: np.array(r["vec"]) for r in table.collect()}
+            assert have.keys() == want.keys() and all(np.allclose(have[k], want[k], atol=1e-5) for k in want)
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+    empty = factors.behaviour_vectors(df.where("uid < 0"), rank=6, iterations=1)
+    assert [t.count() for t in empty] == [0, 0]
+
+
+def test_matrices_are_summed_however_often_a_node_holds_a_row(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(n), int(i), [float(i), 1.0, float(n)]) for n, i in zip(rng.integers(0, 3, 200), rng.integers(0, 4, 200), strict=True)]
+    got = learned.summed_matrices(spark.createDataFrame(rows, "node int, i int, v array<double>"), fan=2).collect()
+    assert {r["i"]: r["v"] for r in got} == {k: np.sum([v for _, i, v in rows if i == k], axis=0).tolist() for k in range(4)}
+
+
+def test_a_cut_key_is_added_up_from_partial_systems():
+    rng = np.random.default_rng(4)
+    ids, w, v = np.sort(rng.integers(0, 4, 5000)), rng.random(5000), rng.normal(size=(5000, 3))
+    starts, states = factors._partials(ids, w, v)
+    assert list(ids[starts]) == [0, 1, 2, 3]
+    for k, state in enumerate(states):
+        own = ids == k
+        assert np.allclose(state[:9].reshape(3, 3), (v[own].T * w[own]) @ v[own]) and state[-1] == own.sum()
+        assert np.allclose(state[9:12], (1 + w[own]) @ v[own])
+
+
 def test_behaviour_vectors_reflect_co_use(spark):
     rows = [(u, i) for u in range(1, 21) for i in ((1, 2, 3) if u % 2 else (4, 5, 6))]
-    items, users = learned.behaviour_vectors(spark.createDataFrame(rows, "uid long, iid long"), rank=4, iterations=8)
+    items, users = factors.behaviour_vectors(spark.createDataFrame(rows, "uid long, iid long"), rank=4, iterations=8)
     v = {r["iid"]: np.array(r["vec"]) for r in items.collect()}
     cosine = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
     assert len(v) == 6 and users.count() == 20
