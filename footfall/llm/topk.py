@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +25,25 @@ from footfall.plans.scratch import materialise
 #: Pivots, vectors sampled (in the order of a hash) to choose them from, vectors of a block on
 #: average, vectors of an annulus at most, and queries scored at once.
 PIVOTS, SAMPLE, BLOCK, RING, STEP = 48, 1024, 2048, 256, 256
+#: Size of a component at most, and of a score.
+LARGEST, MOST = 2.0**62, 2**63 - 1
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
-    """``id, v``: components times ``scale``, rounded down.
+    """``id, size, v``: the length of each vector and its components times ``scale``, rounded down.
 
-    Left out are null keys, null or empty vectors, vectors with null or non-finite components or
-    ones that do not fit 32 bits after scaling, and vectors whose length is not the most common one.
-    Equal rows count once.
+    Left out are null keys, null vectors and vectors with null or non-finite components. Components beyond 2^62
+    after scaling count as 2^62. A vector without components is one with a single 0. Equal rows count once.
     """
     x = F.col(vector)
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")))
-    rows = vectors.where(F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(
-        F.col(key).cast("bigint").alias("id"), F.expr(f"transform(`{vector}`, c -> try_cast(floor({scale} * cast(c as double)) as int))").alias("v")
-    )
-    rows = materialise(rows.where(F.forall("v", lambda c: c.isNotNull())).distinct(), "vectors")
-    length = rows.agg(F.mode(F.size("v"), True).alias("d")).first()["d"]
-    return rows.where(F.size("v") == F.lit(length or 0))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    # Bounds as doubles: what lies beyond would not fit a long.
+    near = lambda c: F.greatest(F.least(c.cast("double"), F.lit(LARGEST / scale)), F.lit(-LARGEST / scale))
+    whole = F.transform(x, lambda c: F.floor(near(c) * scale).cast("bigint"))
+    return vectors.where(F.col(key).isNotNull() & x.isNotNull() & finite).select(
+        F.col(key).cast("bigint").alias("id"), F.size(x).alias("size"),
+        F.when(F.size(x) > 0, whole).otherwise(F.array(F.lit(0).cast("bigint"))).alias("v"),
+    ).distinct()
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,10 @@ def choose_pivots(vectors: DataFrame) -> Pivots:
     """Far apart members of a bounded sample; the radius is the largest norm of all vectors."""
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     radius2 = float(vectors.agg(F.max(norm2)).first()[0] or 0.0)
-    sample = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
+    n, order = vectors.count(), F.xxhash64("id", "v")
+    # Some 4 * SAMPLE rows pass the threshold, so that a task does not send SAMPLE of its own.
+    some = vectors if n <= 8 * SAMPLE else vectors.where(F.pmod(order, F.lit(1 << 40)) < (4 * SAMPLE << 40) // n)
+    sample = some.orderBy(order, "id").limit(SAMPLE).collect()
     rows = np.array([r.v for r in sample] or np.zeros((0, 1)), "float64")
     lift = np.sqrt(np.maximum(radius2 - np.einsum("ij,ij->i", rows, rows), 0.0))
     whole = np.column_stack([rows, lift])
@@ -91,17 +97,21 @@ def index_blocks(vectors: DataFrame, pivots: Pivots) -> DataFrame:
                 columns = [*batch.columns, pa.array(cell.astype("int32")), pa.array(d[np.arange(len(d)), cell])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "cell", "away"])
 
-    rows = materialise(vectors.mapInArrow(keyed, "id bigint, v array<int>, cell int, away double"), "vector-keys")
+    rows = materialise(vectors.mapInArrow(keyed, "id bigint, v array<bigint>, cell int, away double"), "vector-keys")
     blocks = max(1, -(-rows.count() // BLOCK))
     dealt = rows.repartitionByRange(blocks, "cell", "away", "id").withColumn("block", F.spark_partition_id())
     return materialise(dealt, "vector-blocks")
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2.0**53:
-        return a.astype("int64") @ b.astype("int64").T
-    return (a @ b.T).astype("int64")
+    """Exact integer inner products of rows; the largest or smallest long where they do not fit one."""
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0.0
+    if most < 2.0**53:
+        return (a @ b.T).astype("int64")
+    a, b = a.astype("int64"), b.astype("int64")
+    if most < 2.0**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, -MOST - 1, MOST).astype("int64")
 
 
 class _Block:
@@ -192,13 +202,22 @@ def search(vectors: DataFrame, key: str, vector: str, every: int, k: int) -> Dat
     """``query_id, rank, vec_id, score``: the k best other vectors for each one whose key is a multiple of ``every``.
 
     Ties go to the smaller key; with fewer than k candidates all are returned. See :func:`quantised`
-    for what takes no part. Of rows that share a key but not the vector, each is a candidate with its
-    best score, and a query has the best of all its vectors. Every score is an exact integer.
+    for what takes no part. Only vectors of the same length have an inner product: each length has its own
+    index. Of rows that share a key but not the vector, each is a candidate with its best score, and a query
+    has the best of all its vectors. Every score is an exact integer; beyond a long it is the largest or smallest long.
     """
-    rows = quantised(vectors, key, vector)
-    pivots = choose_pivots(rows)
-    if not len(pivots.rows):
+    rows = materialise(quantised(vectors, key, vector), "vectors")
+    found = [_of_length(rows.where(F.col("size") == size).select("id", "v"), every, k) for (size,) in sorted(rows.select("size").distinct().collect())]
+    if not found:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    if len(found) == 1:
+        return _best(found[0], k).select("query_id", "rank", "vec_id", "score")
+    return _best(reduce(DataFrame.union, found), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` with the k best of each query, and others, among vectors ``id, v`` of one length."""
+    pivots = choose_pivots(rows)
     blocks = index_blocks(rows, pivots)
     queries = blocks.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v", F.col("block").alias("home"))
     home = queries.select("query_id", "v", F.lit(float("-inf")).alias("floor"), F.col("home").alias("block"))
@@ -216,7 +235,8 @@ def search(vectors: DataFrame, key: str, vector: str, every: int, k: int) -> Dat
                 ids, home = (np.repeat(batch.column(c).to_numpy(), cells) for c in ("query_id", "home"))
                 # Distance at which a vector would score just the floor.
                 limit2 = np.einsum("ij,ij->i", v, v) + pivots.radius2 - 2 * batch.column("floor").to_numpy()
-                limit = np.sqrt(np.maximum(limit2, 0.0)) * (1 + 1e-6) + 1e-3
+                slack = 1e-3 + 1e-6 * np.sqrt(np.einsum("ij,ij->i", v, v) + pivots.radius2)  # rounding of the distances
+                limit = np.sqrt(np.maximum(limit2, 0.0)) * (1 + 1e-6) + slack
                 columns = [ids, home, np.tile(np.arange(cells, dtype="int32"), n), far.ravel(), np.repeat(limit, cells)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["query_id", "home", "cell", "far", "limit"])
 
@@ -225,4 +245,4 @@ def search(vectors: DataFrame, key: str, vector: str, every: int, k: int) -> Dat
     inside = (F.col("low") - F.col("far") <= F.col("limit")) & (F.col("far") - F.col("high") <= F.col("limit")) & (F.col("block") != F.col("home"))
     routes = reached.join(materialise(annuli, "annuli"), "cell").where(inside).select("query_id", "home", "block").distinct()
     visits = routes.join(asked, ["query_id", "home"]).select("query_id", "v", "floor", "block")
-    return _best(near.union(_visit(blocks, visits, pivots, k)), k).select("query_id", "rank", "vec_id", "score")
+    return near.union(_visit(blocks, visits, pivots, k))
