@@ -10,7 +10,6 @@ rejection threshold are fitted on labelled texts that took no part in training.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,18 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.wordhash import mixed, raw_texts
 
 UNKNOWN = "und"
-_OTHER = re.compile(r"[^\w\n]|[\d_]")  # all but letters and the ends of tokens
+_OTHER = regex.compile(r"[^\p{L}\n]+")  # all but letters and the ends of tokens
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label`` bounds the labelled texts of a language that are learned from."""
+    """``per_label`` bounds the labelled texts of a language that are learned from; each is met ``passes`` times or more."""
 
     buckets: int = 1 << 15
     dims: int = 16
@@ -37,7 +37,8 @@ class Settings:
     longest: int = 5
     per_label: int = 400
     calibration: float = 0.25
-    steps: int = 12_000
+    steps: int = 12_000  # at least
+    passes: int = 10
     rate: float = 0.4
     lost: float = 0.001  # share of right answers that the rejection may cost
     surely: float = 0.5  # an answer of this probability is never rejected
@@ -111,7 +112,7 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s: Se
     rnd = np.random.default_rng(7)
     table = rnd.normal(0, 0.1, (s.buckets, s.dims))
     weights, bias = np.zeros((s.dims, n_labels)), np.zeros(n_labels)
-    total, done = s.steps, 0
+    total, done = max(s.steps, s.passes * len(rows)), 0
     while rows and done < total:
         for k in rnd.permutation(len(rows))[: total - done]:
             buckets, share, label = rows[k]

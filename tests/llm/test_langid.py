@@ -18,6 +18,43 @@ def test_subwords_against_plain_slices():
     assert sorted(buckets[owner == 3]) == sorted(langid.subwords([b"AB"], s)[0])
 
 
+def test_numeric_signs_are_no_letters(spark):
+    signs = ["½ ² ①", "Ⅳ 12_3", "́", "", None]
+    buckets, _ = langid.subwords(["½".encode(), "²①Ⅳ_7".encode()], langid.Settings())
+    assert len(buckets) == 0
+    rows = [(i, t) for i, t in enumerate(signs)] + [(9, "a²"), (10, "ª"), (11, "語")]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    model = langid.Model(["x", "y"], np.zeros((1 << 15, 16), "float32"), np.zeros((16, 2)), np.array([0.0, 1.0]), 1.0, 0.0, langid.Settings())
+    got = {r.doc_id: r.lang_pred for r in langid.predict(rows, "text", model).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "und", 4: "und", 9: "y", 10: "y", 11: "y"}
+
+
+def test_descent_against_plain_steps_and_every_row_is_met():
+    s = langid.Settings(buckets=6, dims=3, steps=7, passes=2, rate=0.3)
+    rnd = np.random.default_rng(1)
+    rows = [(np.array(b), rnd.dirichlet(np.ones(len(b))), k) for b, k in (([0, 2], 0), ([1, 3, 4], 1), ([5], 2), ([0, 5], 1), ([2, 3], 0))]
+    got = langid.descend(rows, 3, s)
+    rnd = np.random.default_rng(7)
+    e, w, b = rnd.normal(0, 0.1, (6, 3)).tolist(), [[0.0] * 3 for _ in range(3)], [0.0] * 3
+    order = [*rnd.permutation(5).tolist(), *rnd.permutation(5).tolist()]
+    for t, k in enumerate(order):
+        buckets, share, label = rows[k]
+        rate = 0.3 * (1 - t / 10)
+        mean = [sum(x * e[i][d] for i, x in zip(buckets, share, strict=True)) for d in range(3)]
+        z = [sum(mean[d] * w[d][c] for d in range(3)) + b[c] for c in range(3)]
+        total = sum(np.exp(x) for x in z)
+        slope = [np.exp(x) / total - (c == label) for c, x in enumerate(z)]
+        back = [sum(w[d][c] * slope[c] for c in range(3)) for d in range(3)]
+        for c in range(3):
+            b[c] -= 0.1 * rate * slope[c]
+            for d in range(3):
+                w[d][c] -= rate * mean[d] * slope[c]
+        for i, x in zip(buckets, share, strict=True):
+            for d in range(3):
+                e[i][d] -= rate * len(buckets) ** 0.5 * x * back[d]
+    assert len(order) == 10 and all(np.allclose(x, y) for x, y in zip(got, (e, w, b), strict=True))
+
+
 def test_held_out_accuracy(spark, sf):
     docs = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
     rows = op5_language_id(spark, sf).collect()
