@@ -233,9 +233,17 @@ def _halves(crowded: DataFrame, window: int) -> DataFrame:
     return rows.select("p.shard", "anchor", "content", "p.first", "times", "p.body")
 
 
+def row_id(key: str, text: str) -> Column:
+    """Key and hash of the text: what tells rows apart that share a key."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+
+
 def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) -> DataFrame:
-    """``id, spans``: for each text with repeated windows, structs of ``start`` and a bit mask of windows from there."""
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    """``id, spans``: for each text with repeated windows, structs of ``start`` and a bit mask of windows from there.
+
+    ``id`` is :func:`row_id`.
+    """
+    docs = docs.select(row_id(key, text).alias("id"), F.col(text).alias("t"))
     found = materialise(segments(docs, "id", "t", window), "segments")
     shared = materialise(with_shared_anchor(found), "segments-shared")
     contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "n", "at")).alias("r"))
@@ -247,7 +255,6 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) ->
     wanted = refs.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "times", "k", "start", "n", "at")).alias("refs"))
     wanted = materialise(wanted, "segment-wanted").withColumnRenamed("id", "_id")
     wide = docs.join(checked_broadcast(wanted, "refs"), F.col("id").eqNullSafe(F.col("_id")))
-    # Rows that share a key: each reference is taken from the row whose words hash to its content.
     wide = wide.select(words_of(F.col("t")).alias("w"), "refs")
     cut = F.transform("refs", lambda r: F.struct(
         r["anchor"].alias("anchor"), r["content"].alias("content"), r["times"].alias("times"), r["k"].alias("k"), r["n"].alias("n"), r["at"].alias("at"),
@@ -289,10 +296,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A window is a run of ``window`` words (separated by ASCII white space) of one text; it is repeated
     if the same words start at any other place of any text. Null and empty texts have no words and an
     empty kept text. Every row stays, repeated rows too (their texts repeat each other). Rows that
-    share a key are told apart by the places of their words only, so keys should be unique.
+    share a key, null included, are told apart by a hash of their text.
     """
     spans = repeated_windows(docs, key, text, window).withColumnsRenamed({"id": "_span_id", "spans": "_spans"})
-    wide = docs.join(spans, F.col(key).eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
+    wide = docs.join(spans, row_id(key, text).eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:

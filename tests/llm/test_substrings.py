@@ -52,6 +52,16 @@ def test_odd_rows(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_key(spark):
+    once, twice = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, once), (1, twice), (2, twice + " end"), (None, once + " x y"), (None, "c d"), (3, "c d"), (1, None), (4, "e " * 60), (4, "f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect())
+    plain = brute.without_repeats([t or "" for _, t in rows], 35)
+    assert got == sorted((str(k), n, g, " ".join(left)) for (k, _), (n, g, left) in zip(rows, plain, strict=True))
+    assert {(k, g) for k, _, g, _ in got} >= {("1", 50), ("None", 50), ("None", 0)}
+
+
 def test_every_window_is_in_one_segment():
     rnd = np.random.default_rng(3)
     for size, window in ((34, 35), (35, 35), (500, 35), (300, 100), (50, 2)):
