@@ -254,26 +254,29 @@ def near_links(docs: DataFrame, key: str, text: str, sets: DataFrame, percent: i
 def near_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = 5
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` of every row.
+    """``key, n_shingles, component_id, kept, text_hash`` (xxhash64) of every row.
 
     Texts are linked if the Jaccard similarity of their shingle sets is at least ``percent`` / 100;
     a component is named by its smallest key, whose row is kept. Null, empty and blank texts have an
     empty set and are linked with nothing. Rows with a null key are never linked and always kept
-    (their component is null); rows that share a key are linked by their own texts.
+    (their component is null). Rows that share a key are told apart by a hash of their text and linked by their
+    own texts; all rows of a component's smallest key are kept.
     """
-    found = materialise(signatures(docs, key, text, shingle), "near-sets")
-    whole = found.where((F.col("n") > 0) & F.col("id").isNotNull())
+    docs = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).alias("id"), F.col(text).alias("t"))
+    found = materialise(signatures(docs, "id", "t", shingle), "near-sets")
+    able = (F.col("n") > 0) & F.col("id.key").isNotNull()
+    whole = found.where(able)
     sets = whole.groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "values", "b1", "b2")).alias("r"))
     sets = materialise(sets, "near-distinct")
-    links = near_links(docs, key, text, sets.select("r.*"), percent, shingle)
+    links = near_links(docs, "id", "t", sets.select("r.*"), percent, shingle)
     named = components(links).select(F.col("id").alias("_r"), "component")
     classes = sets.select("s1", "s2", F.col("r.id").alias("rep")).join(named, F.col("rep") == F.col("_r"), "left")
     classes = classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("component", "rep").alias("component"))
     out = found.select("id", "n", "s1", "s2").join(
-        classes, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left"
+        classes, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & able, "left"
     )
-    component = F.coalesce("component", "id")
+    own, component = F.col("id.key"), F.coalesce("component", "id")["key"]
     return out.select(
-        F.col("id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        own.alias(key), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(component == own, F.lit(True)).alias("kept"), F.col("id.hash").alias("text_hash"),
     )

@@ -85,3 +85,15 @@ def test_pairs_at_the_threshold_stay_together_in_deep_nodes(spark):
 
     assert apart(lambda values, first, path: F.array(nearjoin._step(path, values))) > 10
     assert apart(lambda values, first, path: nearjoin._children(path, values, first, 85)) == 0
+
+
+def test_rows_that_share_a_key_are_linked_by_their_own_texts(spark):
+    base = [f"w{i}" for i in range(120)]
+    near, far = " ".join([*base, "x"]), " ".join(f"v{i}" for i in range(80))
+    rows = [(5, " ".join(base)), (7, near), (7, far), (9, far + " y"), (5, "a b c d e f"), (5, "a b c d e f"), (None, near), (None, far), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in nearjoin.near_components(docs).collect())
+    assert got == sorted([
+        ("5", 116, "5", True), ("7", 117, "5", False), ("7", 76, "7", True), ("9", 77, "7", False), ("5", 2, "5", True), ("5", 2, "5", True),
+        ("None", 117, "None", True), ("None", 76, "None", True), ("7", 0, "7", True),
+    ])
