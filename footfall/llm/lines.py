@@ -45,6 +45,11 @@ def _bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
+def row_id(key: str, text: str) -> Column:
+    """Key and hash of the text: what tells rows apart that share a key."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+
+
 def line_sets(docs: DataFrame, key: str, text: str, classes: bytearray) -> DataFrame:
     """``id, line, keys``: each line with words, and its words as numbers in the order of rarity."""
     table = F.lit(classes)
@@ -54,7 +59,7 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: bytearray) -> DataF
         rarity = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint")
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
+    lines = docs.select(row_id(key, text).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
     body = F.btrim("body", F.lit(_BLANKS))
     keys = F.sort_array(F.array_distinct(F.transform(F.split(body, SPACE + "+"), number)))
     return lines.where(body != "").select("id", "line", keys.alias("keys"))
@@ -111,7 +116,7 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
     pairs = materialise(pairs.distinct(), "line-pairs")
     ends = pairs.select("id", "line").union(pairs.select("o_id", "o_line")).distinct()
     wanted = materialise(ends.groupBy("id").agg(F.collect_list("line").alias("at")), "line-wanted")
-    wide = docs.select(F.col(key).alias("_k"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("body"))
+    wide = docs.select(row_id(key, text).alias("_k"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("body"))
     found = wide.join(checked_broadcast(wanted, "at"), F.col("_k").eqNullSafe(F.col("id")))
     found = found.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("body", i).alias("t")))).alias("x"))
     words = materialise(found.select("id", "x.line", F.col("x.t").alias("w")).dropDuplicates(["id", "line"]), "line-words")
@@ -127,13 +132,13 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 90) -> DataFrame:
-    """``id, kept``: of each document, the numbers (from 0) of the lines with words that stay.
+    """``id, kept``: of each document, the numbers (from 0) of the lines with words that stay; ``id`` is :func:`row_id`.
 
     A line goes if its set of words has a Jaccard similarity of ``percent`` / 100 or more with that of
-    any line before it, in the order of key and line number, whether that one stays or not. Lines
+    any line before it, in the order of key, hash of the text and line number, whether that one stays or not. Lines
     without words are not listed (they stay); null texts have no lines. Documents of which no line
-    with words stays are absent. Rows that share a key, null included, count as one document, and are
-    told apart only by line number.
+    with words stays are absent. Rows that share a key, null included, are documents of their own if their texts
+    differ; rows alike in key and text count as one document and keep the same lines.
     """
     docs = docs.select(key, text)
     sets = line_sets(docs, key, text, rarity_classes(docs, text))
@@ -163,10 +168,10 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     return materialise(kept.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("kept")), "line-kept")
 
 
-def _with_kept(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+def _with_kept(docs: DataFrame, own: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` beside their lines and the numbers of those that stay."""
     kept = checked_broadcast(kept, "kept").withColumnsRenamed({"id": "_line_id", "kept": "_line_kept"})
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_line_id")), "left").drop("_line_id")
+    return docs.join(kept, own.eqNullSafe(F.col("_line_id")), "left").drop("_line_id")
 
 
 def _worded(body: Column) -> Column:
@@ -177,10 +182,11 @@ def count_lines(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFr
     """``key, n_lines, n_removed, kept_lines``: lines with words, those removed, and the numbers of those that stay."""
     # One match for each line with words: from its first sign that is no white space to its end.
     lines = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D][^\\n]*"))
-    found = _with_kept(docs.select(F.col(key), lines.cast("bigint").alias("n_lines")), key, kept)
+    counted = docs.select(row_id(key, text).alias("_line_row"), lines.cast("bigint").alias("n_lines"))
+    found = _with_kept(counted, F.col("_line_row"), kept)
     left = F.coalesce(F.col("_line_kept"), F.array().cast("array<int>"))
     return found.select(
-        key, "n_lines", (F.col("n_lines") - F.size(left)).alias("n_removed"), F.array_join(left.cast("array<string>"), ",").alias("kept_lines")
+        F.col("_line_row.key").alias(key), "n_lines", (F.col("n_lines") - F.size(left)).alias("n_removed"), F.array_join(left.cast("array<string>"), ",").alias("kept_lines")
     )
 
 
@@ -189,7 +195,7 @@ def remove_lines(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataF
 
     Lines without words stay where they are, and so do documents that have none but such lines.
     """
-    wide = _with_kept(docs, key, kept).withColumn("_line_list", F.split(F.col(text), "\n"))
+    wide = _with_kept(docs, row_id(key, text), kept).withColumn("_line_list", F.split(F.col(text), "\n"))
     blank = F.filter(F.sequence(F.lit(0), F.size("_line_list") - 1), lambda i: ~_worded(F.get("_line_list", i)))
     wide = wide.withColumn("_line_blank", F.when(F.col(text).isNotNull(), blank))
     wide = wide.where(F.col("_line_kept").isNotNull() | F.col(text).isNull() | (F.size("_line_blank") == F.size("_line_list")))

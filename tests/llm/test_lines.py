@@ -10,7 +10,7 @@ from tests.llm import brute
 
 
 def kept(docs):
-    return {r.id: r.kept for r in lines.kept_lines(docs).collect()}
+    return {r.id.key: r.kept for r in lines.kept_lines(docs).collect()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -38,7 +38,7 @@ def test_order_ties_blank_lines_and_nulls(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("_id", F.lit(1)).withColumn("id", F.lit(2))
     found = lines.kept_lines(docs)
-    assert {r.id: r.kept for r in found.collect()} == {None: [0, 1], 1: [0, 4]}
+    assert {r.id.key: r.kept for r in found.collect()} == {None: [0, 1], 1: [0, 4]}
     left = {r.doc_id: (r.text, r.kept) for r in lines.remove_lines(docs, "doc_id", "text", found).collect()}
     assert left == {1: ("a b c\n\n  \nx", "p"), 2: (None, "q"), 3: ("", "r"), None: ("z\ny", "t"), 6: ("\n \n", "u")}
     counted = {r.doc_id: (r.n_lines, r.n_removed, r.kept_lines) for r in lines.count_lines(docs, "doc_id", "text", found).collect()}
@@ -53,5 +53,15 @@ def test_many_near_copies_and_a_very_long_line(spark):
     assert got == {0: [0], 1000: [0], 1002: [0]}
 
 
+def test_rows_that_share_a_key(spark):
+    rows = [(1, "a b\nc d"), (1, "c d\ne f\ng"), (2, "e f\nh"), (2, "i\nj k"), (2, "i\nj k"), (None, "l"), (None, "a b\nm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lines.kept_lines(docs)
+    counted = sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in lines.count_lines(docs, "doc_id", "text", found).collect())
+    left = [line for r in lines.remove_lines(docs, "doc_id", "text", found).collect() for line in r.text.split("\n")]
+    assert sorted(left) == sorted([*"gh", "l", "m", "i", "i", "j k", "j k", "a b", "c d", "e f"])
+    assert sum(n for *_, n in counted) == 3 and min(n for *_, n in counted) == 0
+
+
 def test_no_rows(spark):
     assert kept(spark.createDataFrame([], "doc_id long, text string")) == {}
