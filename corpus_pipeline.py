@@ -50,8 +50,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each component of near-duplicates, of a similarity of 0.8 or more."""
     found = nearjoin.near_components(docs, percent=80)
-    gone = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")), "near-gone")
-    return docs.join(nearjoin.checked_broadcast(gone), docs["doc_id"] == gone["_gone_id"], "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    gone = materialise(gone, "near-gone")
+    same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])
+    return docs.join(nearjoin.checked_broadcast(gone), same, "left_anti")
 
 
 @_shipped
