@@ -65,21 +65,22 @@ def segments_of(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return start.astype("int32"), count.astype("int32"), place, g[at[start]].view("int64"), content.view("int64")
 
 
-def segments(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """``id, start, n, at, anchor, content`` of every segment of the whole texts."""
-    kind = docs.schema[key].dataType.simpleString()
-    names = ["id", "start", "n", "at", "anchor", "content"]
+def segments(docs: DataFrame, window: int) -> DataFrame:
+    """``id, th, start, n, at, anchor, content`` of every segment of the whole texts of ``id, th, t``."""
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "th", "start", "n", "at", "anchor", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = [segments_of(words.of(raw.split()), window) for raw in raw_texts(part.column(1))]
+                found = [segments_of(words.of(raw.split()), window) for raw in raw_texts(part.column(2))]
                 row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
                 columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], names=names)
+                own = [part.column(i).take(pa.array(row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *columns], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, start int, n int, at int, anchor bigint, content bigint")
+    return docs.select("id", "th", "t").mapInArrow(run, f"id {kind}, th bigint, start int, n int, at int, anchor bigint, content bigint")
 
 
 def with_shared_anchor(found: DataFrame) -> DataFrame:
@@ -107,8 +108,8 @@ def with_shared_anchor(found: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
-    dealt = found.repartitionByRange(parts, "anchor", "content", "id", "start")
-    return dealt.sortWithinPartitions("anchor", "content", "id", "start").mapInArrow(run, found.schema)
+    dealt = found.repartitionByRange(parts, "anchor", "content", "id", "th", "start")
+    return dealt.sortWithinPartitions("anchor", "content", "id", "th", "start").mapInArrow(run, found.schema)
 
 
 class Automaton:
@@ -233,28 +234,23 @@ def _halves(crowded: DataFrame, window: int) -> DataFrame:
     return rows.select("p.shard", "anchor", "content", "p.first", "times", "p.body")
 
 
-def row_id(key: str, text: str) -> Column:
-    """Key and hash of the text: what tells rows apart that share a key."""
-    return F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
-
-
 def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) -> DataFrame:
-    """``id, spans``: for each text with repeated windows, structs of ``start`` and a bit mask of windows from there.
+    """``id, th, spans``: for each text with repeated windows, structs of ``start`` and a bit mask of windows from there.
 
-    ``id`` is :func:`row_id`.
+    ``th`` is a hash of the text, which tells rows apart that share a key.
     """
-    docs = docs.select(row_id(key, text).alias("id"), F.col(text).alias("t"))
-    found = materialise(segments(docs, "id", "t", window), "segments")
+    docs = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    found = materialise(segments(docs, window), "segments")
     shared = materialise(with_shared_anchor(found), "segments-shared")
-    contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start", "n", "at")).alias("r"))
+    contents = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "th", "start", "n", "at")).alias("r"))
     contents = materialise(contents, "segment-contents")
     copies = contents.where(F.col("times") > 1).select("anchor", "content", F.expr("shiftleft(1L, r.n) - 1").alias("mask"))
 
     many = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
     refs = contents.join(many, "anchor").select("anchor", "content", "times", "k", "r.*")
-    wanted = refs.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "times", "k", "start", "n", "at")).alias("refs"))
-    wanted = materialise(wanted, "segment-wanted").withColumnRenamed("id", "_id")
-    wide = docs.join(checked_broadcast(wanted, "refs"), F.col("id").eqNullSafe(F.col("_id")))
+    wanted = refs.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "content", "times", "k", "start", "n", "at")).alias("refs"))
+    wanted = materialise(wanted, "segment-wanted").withColumnsRenamed({"id": "_id", "th": "_th"})
+    wide = docs.join(checked_broadcast(wanted, "refs"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     wide = wide.select(words_of(F.col("t")).alias("w"), "refs")
     cut = F.transform("refs", lambda r: F.struct(
         r["anchor"].alias("anchor"), r["content"].alias("content"), r["times"].alias("times"), r["k"].alias("k"), r["n"].alias("n"), r["at"].alias("at"),
@@ -275,8 +271,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = 35) ->
     alone = crowded.join(twice, "v", "left_semi").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
 
     masks = copies.union(masks).union(alone).groupBy("anchor", "content").agg(F.expr("bit_or(mask)").alias("mask")).where(F.col("mask") != 0)
-    hits = shared.join(materialise(masks, "segment-masks"), ["anchor", "content"]).select("id", F.struct("start", "mask").alias("s"))
-    return materialise(hits.groupBy("id").agg(F.collect_list("s").alias("spans")), "repeated")
+    hits = shared.join(materialise(masks, "segment-masks"), ["anchor", "content"]).select("id", "th", F.struct("start", "mask").alias("s"))
+    return materialise(hits.groupBy("id", "th").agg(F.collect_list("s").alias("spans")), "repeated")
 
 
 def covered(n: int, spans: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -298,8 +294,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     empty kept text. Every row stays, repeated rows too (their texts repeat each other). Rows that
     share a key, null included, are told apart by a hash of their text.
     """
-    spans = repeated_windows(docs, key, text, window).withColumnsRenamed({"id": "_span_id", "spans": "_spans"})
-    wide = docs.join(spans, row_id(key, text).eqNullSafe(F.col("_span_id")), "left").drop("_span_id")
+    spans = repeated_windows(docs, key, text, window).withColumnsRenamed({"id": "_span_id", "th": "_span_th", "spans": "_spans"})
+    same = F.col(key).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_th"))
+    wide = docs.join(spans, same, "left").drop("_span_id", "_span_th")
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
