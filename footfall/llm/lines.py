@@ -8,7 +8,8 @@ of them. Of the others, any two that reach the similarity share a word among the
 the words themselves. A line goes if any earlier line matches it.
 
 Lines are first compared with the earliest line of each shared word, one candidate per row, which
-settles groups of near copies in linear work. Only lines still standing meet all their candidates.
+settles groups of near copies in linear work. Only lines still standing meet all their candidates;
+for words that many lines share, the length and positional filters are part of the join key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.quality import _BLANKS, SPACE
+from footfall.llm.quality import _BLANKS
 from footfall.llm.small import checked_broadcast
 from footfall.plans.scratch import materialise
 
@@ -26,10 +27,28 @@ from footfall.plans.scratch import materialise
 #: fit the driver. They arrive there as strings of ROW classes.
 BUCKETS, ROW = 1 << 18, 1 << 10
 
+#: Lines beyond which a shared word is joined by length class and position, and lines of such a word that one task meets.
+HOT, SALT = 1_000, 8_192
+
+
+def _spaced(text: str) -> Column:
+    """The text, empty for null, with a space for each white space but the ends of lines."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    inner = _BLANKS.replace(" ", "").replace("\n", "")
+    found = F.lit(False)
+    for sign in inner:
+        found = found | F.contains(t, F.lit(sign))
+    return F.when(found, F.translate(t, inner, " " * len(inner))).otherwise(t)
+
+
+def _words(body: Column) -> Column:
+    """The words of a line of a spaced text."""
+    return F.array_remove(F.split(body, " "), "")
+
 
 def rarity_classes(docs: DataFrame, text: str) -> bytearray:
     """A class 1..125 for each hash bucket: quarter steps of the logarithm of its words' count in all texts."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), SPACE + "+")).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     letter = F.char(F.least(F.lit(125), F.floor(F.log2(F.col("count") + 1) * 4) + 1))
     place = F.struct((F.col("b") % ROW).alias("i"), letter.alias("c"))
@@ -54,15 +73,15 @@ def line_sets(docs: DataFrame, key: str, text: str, classes: bytearray) -> DataF
     """``id, line, keys``: each line with words, and its words as numbers in the order of rarity."""
     table = F.lit(classes)
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def number(h: Column) -> Column:
         rarity = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint")
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    lines = docs.select(row_id(key, text).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
-    body = F.btrim("body", F.lit(_BLANKS))
-    keys = F.sort_array(F.array_distinct(F.transform(F.split(body, SPACE + "+"), number)))
-    return lines.where(body != "").select("id", "line", keys.alias("keys"))
+    lines = docs.select(row_id(key, text).alias("id"), F.posexplode(F.split(_spaced(text), "\n")).alias("line", "body"))
+    hashes = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
+    # Hashes that agree in their lower 56 bits may be one number.
+    keys = F.sort_array(F.array_distinct(F.transform(hashes, number)))
+    return lines.where(F.replace("body", F.lit(" "), F.lit("")) != "").select("id", "line", keys.alias("keys"))
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -116,21 +135,51 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
     pairs = materialise(pairs.distinct(), "line-pairs")
     ends = pairs.select("id", "line").union(pairs.select("o_id", "o_line")).distinct()
     wanted = materialise(ends.groupBy("id").agg(F.collect_list("line").alias("at")), "line-wanted")
-    wide = docs.select(row_id(key, text).alias("_k"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("body"))
+    wide = docs.select(row_id(key, text).alias("_k"), F.split(_spaced(text), "\n").alias("body"))
     found = wide.join(checked_broadcast(wanted, "at"), F.col("_k").eqNullSafe(F.col("id")))
     found = found.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("body", i).alias("t")))).alias("x"))
-    words = materialise(found.select("id", "x.line", F.col("x.t").alias("w")).dropDuplicates(["id", "line"]), "line-words")
-    other = words.select(F.col("id").alias("_i"), F.col("line").alias("_l"), F.col("w").alias("v"))
+    found = found.select("id", "x.line", F.col("x.t").alias("w"), F.size(F.array_distinct(_words(F.col("x.t")))).alias("n"))
+    words = materialise(found.dropDuplicates(["id", "line"]), "line-words")  # texts: a shuffled array of words takes thrice the bytes
+    other = words.select(F.col("id").alias("_i"), F.col("line").alias("_l"), F.col("w").alias("v"), F.col("n").alias("m"))
     both = pairs.alias("p").join(words.alias("a"), F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.line") == F.col("a.line")))
-    both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w")
+    both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w", "a.n")
     both = both.join(other, F.col("o_id").eqNullSafe(F.col("_i")) & (F.col("o_line") == F.col("_l")))
-    words = lambda body: F.array_distinct(F.split(F.btrim(body, F.lit(_BLANKS)), SPACE + "+"))
-    sets = both.select("id", "line", words("w").alias("w"), words("v").alias("v"))
-    sizes = sets.select("id", "line", F.size(F.array_intersect("w", "v")).alias("s"), (F.size("w") + F.size("v")).alias("n"))
-    alike = sizes.where(F.col("s") * 100 >= (F.col("n") - F.col("s")) * percent)
+    # shared / union >= percent / 100, with shared named once: what a filter names twice is computed twice
+    shared = F.size(F.array_intersect(_words(F.col("w")), F.split("v", " ")))
+    alike = both.where(shared * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     return alike.select("id", "line").distinct()
 
 
+def _length_class(n: Column, percent: int) -> Column:
+    """Sets whose sizes let them reach the similarity are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (max(math.log(100 / percent), 1e-3) * 1.001)).cast("int")
+
+
+def meetings(standing: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Rows of lines that share a word: ``x, first`` of ``standing`` beside the ``y`` of each line that may match ``x``.
+
+    One of two lines, the shorter one, holds the word in its index prefix, and their lengths are in
+    neighbouring classes. For a word of more than HOT lines both are join keys, so that lines which
+    only share a template's words do not meet; its lines are dealt to tasks by SALT.
+    """
+    x, y = F.col("x"), F.col("y")
+    cold = standing.where(F.col("df") <= HOT).join(shared.where(F.col("df") <= HOT).select("word", x.alias("y")), "word")
+    crowd, own = shared.where(F.col("df") > HOT), _length_class(x["n"], percent)
+    indexed, salts = x["at"] < x["index"], F.ceil(F.col("df") / SALT).cast("int")
+    salt = F.pmod(F.xxhash64(x["id"], x["line"]), salts).cast("int")
+    # Side 0: the other line is the shorter one (or as long) and holds the word in its index prefix. Side 1: this line does.
+    sides = F.when(indexed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    held = crowd.select("word", F.explode(sides).alias("side"), own.alias("length"), salt.alias("salt"), x.alias("y"))
+    spot = lambda side, length: F.struct(F.lit(side).alias("side"), length.alias("length"))
+    spots = F.array(spot(0, own - 1), spot(0, own))
+    spots = F.when(indexed, F.concat(spots, F.array(spot(1, own), spot(1, own + 1)))).otherwise(spots)
+    asked = standing.where(F.col("df") > HOT).select("word", "x", "first", F.explode(spots).alias("s"), F.sequence(F.lit(0), salts - 1).alias("salts"))
+    asked = asked.select("word", "x", "first", "s.side", "s.length", F.explode("salts").alias("salt"))
+    hot = asked.join(held, ["word", "side", "length", "salt"])
+    hot = hot.where(F.when(F.col("side") == 0, y["n"] <= x["n"]).otherwise(x["n"] <= y["n"]))
+    return cold.select("x", "first", "y").union(hot.select("x", "first", "y"))
+
+
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 90) -> DataFrame:
     """``id, kept``: of each document, the numbers (from 0) of the lines with words that stay; ``id`` is :func:`row_id`.
 
@@ -147,7 +196,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     rows = able.select("id", "line", "n", "sketch", "index", F.posexplode("prefix").alias("at", "word"))
     rows = rows.select("word", F.struct("id", "line", "n", "sketch", "index", "at").alias("x"))
     first = rows.groupBy("word").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    shared = materialise(rows.join(first.select("word", "first"), "word"), "line-shared")
+    shared = materialise(rows.join(first, "word"), "line-shared")
 
     x, f = F.col("x"), F.col("first")
     pairs = shared.where(_before(f, x) & _possible(x, f, percent)).select(
@@ -158,7 +207,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     y = F.col("y")
     same = (F.col("x.id").eqNullSafe(F.col("g.id"))) & (F.col("x.line") == F.col("g.line"))
     standing = shared.join(gone.alias("g"), same, "left_anti")
-    pairs = standing.join(shared.select("word", x.alias("y")), "word").where(
+    pairs = meetings(standing, shared, percent).where(
         _before(y, x) & _possible(x, y, percent) & ~(y["id"].eqNullSafe(f["id"]) & (y["line"] == f["line"]))
     )
     pairs = pairs.select(*_row("x", "id", "line"), y["id"].alias("o_id"), y["line"].alias("o_line"))

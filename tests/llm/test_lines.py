@@ -65,3 +65,22 @@ def test_rows_that_share_a_key(spark):
 
 def test_no_rows(spark):
     assert kept(spark.createDataFrame([], "doc_id long, text string")) == {}
+
+
+@pytest.mark.parametrize("percent", [60, 90, 100])
+def test_words_of_many_lines(spark, monkeypatch, percent):
+    monkeypatch.setattr(lines, "HOT", 5)
+    monkeypatch.setattr(lines, "SALT", 16)
+    rnd = random.Random(percent)
+    template = [f"t{i}" for i in range(20)]
+
+    def line():
+        w = template[: rnd.randint(4, 20)]
+        for _ in range(rnd.choice([0, 1, 2, 3])):
+            w[rnd.randrange(len(w))] = f"r{rnd.randrange(400)}"
+        return "\t ".join(w)
+
+    docs = {k: "\n".join(line() for _ in range(rnd.randint(1, 8))) for k in range(60)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    want = brute.kept_lines(docs, percent)
+    assert {r.id.key: r.kept for r in lines.kept_lines(frame, percent=percent).collect()} == {k: v for k, v in want.items() if v}
