@@ -247,16 +247,6 @@ def gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray
     return values[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(key: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(ranks, pattern)
-    return _encoders[key]
-
-
 def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
     """The token ids (``array<int>``) of a text column; no special tokens.
 
@@ -266,11 +256,15 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: bounded
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder((ranks_path, pattern), shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)  # of this task: a worker that goes on to other work keeps nothing of it
         for batch in batches:
-            ids, counts = zip(*encoder.encode(x.as_py() or "" for x in batch), strict=True)
-            ends = pa.array(np.append(0, np.cumsum(np.concatenate(counts))), pa.int32())
-            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)), mask=batch.is_null())
+            none, done = batch.is_null(), 0
+            for ids, counts in encoder.encode(x.as_py() or "" for x in batch):
+                ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=none[done : done + len(counts)])
+                done += len(counts)
+        del encoder
+        pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, "array<int>")(text)
 
