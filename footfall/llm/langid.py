@@ -21,7 +21,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from footfall.llm.small import bounded_broadcast
 from footfall.llm.wordhash import mixed, raw_texts
+from footfall.plans.scratch import materialise
 
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}\n]+")  # all but letters and the ends of tokens
@@ -29,13 +31,14 @@ _OTHER = regex.compile(r"[^\p{L}\n]+")  # all but letters and the ends of tokens
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label`` bounds the labelled texts of a language that are learned from; each is met ``passes`` times or more."""
+    """``per_label`` bounds the labelled texts of a language that are learned from, ``rows`` those of all; each is met ``passes`` times or more."""
 
     buckets: int = 1 << 15
     dims: int = 16
     shortest: int = 1
     longest: int = 5
     per_label: int = 400
+    rows: int = 8_000  # every language gives the same number, one at least
     calibration: float = 0.25
     steps: int = 12_000  # at least
     passes: int = 10
@@ -128,8 +131,26 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s: Se
     return table, weights, bias
 
 
+def _lowest_hashed(known: DataFrame, s: Settings) -> DataFrame:
+    """``_key`` of the rows of each ``_label`` whose keys have the lowest hashes, ``per_label`` or fewer, as a written table.
+
+    Rows are counted per label and slot of the hash; only those up to the slot where a label's number is
+    reached are put in order, so that no task meets all rows of a label or some of every other task.
+    """
+    narrow = known.select("_key", "_label", F.shiftrightunsigned(F.xxhash64("_key"), 48).alias("_slot"))
+    counts = materialise(narrow.groupBy("_label", "_slot").agg(F.count(F.lit(1)).alias("_size")), "language-slots")
+    most = max(1, min(s.per_label, s.rows // max(1, counts.select("_label").distinct().count())))
+    before = Window.partitionBy("_label").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).where(F.col("_before") < most)
+    last = materialise(reached.groupBy("_label").agg(F.max("_slot").alias("_last")), "language-limits")
+    near = narrow.join(bounded_broadcast(last, F.octet_length("_label") + 16), "_label").where(F.col("_slot") <= F.col("_last"))
+    order = Window.partitionBy("_label").orderBy("_slot", F.xxhash64("_key").bitwiseAND((1 << 48) - 1), "_key")  # unsigned
+    ranked = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return materialise(ranked.select("_key").distinct(), "language-rows")
+
+
 def train(labelled: DataFrame, key: str, text: str, label: str, s: Settings | None = None) -> Model | None:
-    """Fit on at most ``per_label`` texts of each label, taken in the order of a hash of the key.
+    """Fit on at most ``per_label`` texts of each label and ``rows`` of all, taken in the order of a hash of the key.
 
     Rows with a null text or label and texts without letters teach nothing; None if nothing is left.
     The result does not depend on how the rows are partitioned.
@@ -138,9 +159,8 @@ def train(labelled: DataFrame, key: str, text: str, label: str, s: Settings | No
     known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label")
     )
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key")
-    chosen = known.select("_key", "_label").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.per_label)
-    chosen = known.join(F.broadcast(chosen.select("_key").distinct()), "_key", "left_semi")  # labels x per_label keys
+    keys = _lowest_hashed(known, s)
+    chosen = known.join(bounded_broadcast(keys, F.octet_length(F.col("_key").cast("string")) + 16), "_key", "left_semi")
     found = feature_counts(chosen, "_text", ["_key", "_label"], s).toArrow()  # bounded; compact beside rows of Python lists
     keys, names = found["_key"].to_pylist(), found["_label"].to_pylist()
     labels, data = sorted(set(names)), []

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from footfall.llm import langid
 from footfall.llm.queries import language_model, op5_language_id, table
@@ -94,3 +95,20 @@ def test_descent_separates_two_labels():
     rows = [(np.array([k]), np.array([1.0]), k % 2) for k in range(4)]
     table_, weights, bias = langid.descend(rows, 2, s)
     assert all(np.argmax(table_[b[0]] @ weights + bias) == label for b, _, label in rows)
+
+
+def test_rows_that_are_learned_from(spark):
+    rows = [(k, "x" if k % 3 else "y") for k in range(3000)] + [(k, f"z{k}") for k in range(5000, 5003)]
+    known = spark.createDataFrame(rows, "_key long, _label string").repartition(7)
+    hashed = {r._key: r.h for r in known.select("_key", F.xxhash64("_key").alias("h")).collect()}
+
+    def first(n):
+        out = set()
+        for label in {x for _, x in rows}:
+            out |= set(sorted((k for k, x in rows if x == label), key=lambda k: (hashed[k], k))[:n])
+        return out
+
+    # The lowest hashes as unsigned numbers, which is how their slots are ordered.
+    hashed = {k: h % (1 << 64) for k, h in hashed.items()}
+    for s, n in ((langid.Settings(per_label=40), 40), (langid.Settings(per_label=40, rows=50), 10), (langid.Settings(rows=2), 1)):
+        assert {r._key for r in langid._lowest_hashed(known, s).collect()} == first(n)
