@@ -83,6 +83,18 @@ def subwords(tokens: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _parts(tokens: list[bytes], most: int = 1 << 17) -> Iterator[slice]:
+    """Slices of the tokens of some ``most`` bytes, as the arrays of their subwords take some hundred times that."""
+    first = size = 0
+    for i, token in enumerate(tokens):
+        size += len(token)
+        if size > most:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(tokens):
+        yield slice(first, len(tokens))
+
+
 def feature_counts(docs: DataFrame, text: str, keep: list[str], s: Settings) -> DataFrame:
     """``keep`` columns, and the buckets of each whole text with their counts."""
     fields = [f for f in docs.schema.fields if f.name in keep]
@@ -93,9 +105,12 @@ def feature_counts(docs: DataFrame, text: str, keep: list[str], s: Settings) ->
             buckets, counts = [], []
             for raw in raw_texts(batch.column(0)):
                 words = Counter(raw.split()) or Counter({b"": 1})
-                own, owner = subwords(list(words), s)
-                times = np.fromiter(words.values(), "float64", len(words))[owner]
-                seen = np.bincount(own, weights=times, minlength=s.buckets).astype("int32")
+                tokens, times = list(words), np.fromiter(words.values(), "float64", len(words))
+                seen = np.zeros(s.buckets)
+                for part in _parts(tokens):
+                    own, owner = subwords(tokens[part], s)
+                    seen += np.bincount(own, weights=times[part][owner], minlength=s.buckets)
+                seen = seen.astype("int32")
                 buckets.append(np.flatnonzero(seen))
                 counts.append(seen[buckets[-1]])
             arrays = [batch.column(i + 1) for i in range(len(fields))]
@@ -188,7 +203,7 @@ def train(labelled: DataFrame, key: str, text: str, label: str, s: Settings | No
 class _Words:
     """Sums of class scores and numbers of subwords of the tokens a worker has met; bounded."""
 
-    most = 300_000
+    most = 150_000
 
     def __init__(self, model: Model):
         self.model, self.scores = model, model.embeddings.astype("float64") @ model.weights
@@ -199,10 +214,14 @@ class _Words:
         self.rows = np.zeros((0, len(self.model.labels) + 1))
 
     def learn(self, tokens: list[bytes]) -> None:
-        buckets, owner = subwords(tokens, self.model.settings)
-        columns = [np.bincount(owner, weights=x, minlength=len(tokens)) for x in self.scores[buckets].T]
-        columns.append(np.bincount(owner, minlength=len(tokens)))
-        self.rows = np.concatenate([self.rows, np.column_stack(columns)])
+        learned = [self.rows]
+        for part in _parts(tokens):
+            own = tokens[part]
+            buckets, owner = subwords(own, self.model.settings)
+            columns = [np.bincount(owner, weights=x[buckets], minlength=len(own)) for x in self.scores.T]
+            columns.append(np.bincount(owner, minlength=len(own)))
+            learned.append(np.column_stack(columns))
+        self.rows = np.concatenate(learned)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text, class scores summed over the subwords of its tokens, and their number."""
@@ -258,6 +277,8 @@ def predict(docs: DataFrame, text: str, model: Model | None, lang: str = "lang_p
                     langs.append(UNKNOWN)
                     scores.append(0.0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        del words  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     found = docs.withColumn("_found", F.arrow_udf(run, "lang string, score double")(F.col(text)))
     least = model.threshold if model else 1.0
