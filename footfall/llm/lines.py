@@ -28,7 +28,7 @@ from footfall.plans.scratch import materialise
 BUCKETS, ROW = 1 << 18, 1 << 10
 
 #: Lines beyond which a shared word is joined by length class and position, and lines of such a word that one task meets.
-HOT, SALT = 1_000, 8_192
+HOT, SALT = 20_000, 8_192
 
 
 def _spaced(text: str) -> Column:
@@ -156,15 +156,16 @@ def _length_class(n: Column, percent: int) -> Column:
 
 
 def meetings(standing: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Rows of lines that share a word: ``x, first`` of ``standing`` beside the ``y`` of each line that may match ``x``.
+    """Lines that share a word: ``x`` of ``standing`` beside the ``y`` of each line that may match it, but the word's first.
 
-    One of two lines, the shorter one, holds the word in its index prefix, and their lengths are in
-    neighbouring classes. For a word of more than HOT lines both are join keys, so that lines which
+    For a word of more than HOT lines, one of two lines, the shorter one, holds the word in its index
+    prefix, and their lengths are in neighbouring classes. Both are join keys there, so that lines which
     only share a template's words do not meet; its lines are dealt to tasks by SALT.
     """
-    x, y = F.col("x"), F.col("y")
-    cold = standing.where(F.col("df") <= HOT).join(shared.where(F.col("df") <= HOT).select("word", x.alias("y")), "word")
-    crowd, own = shared.where(F.col("df") > HOT), _length_class(x["n"], percent)
+    x, y, f = F.col("x"), F.col("y"), F.col("first")
+    others = shared.where(~(x["id"].eqNullSafe(f["id"]) & (x["line"] == f["line"])))
+    cold = standing.where(F.col("df") <= HOT).select("word", "x").join(others.where(F.col("df") <= HOT).select("word", x.alias("y")), "word")
+    crowd, own = others.where(F.col("df") > HOT), _length_class(x["n"], percent)
     indexed, salts = x["at"] < x["index"], F.ceil(F.col("df") / SALT).cast("int")
     salt = F.pmod(F.xxhash64(x["id"], x["line"]), salts).cast("int")
     # Side 0: the other line is the shorter one (or as long) and holds the word in its index prefix. Side 1: this line does.
@@ -173,11 +174,11 @@ def meetings(standing: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     spot = lambda side, length: F.struct(F.lit(side).alias("side"), length.alias("length"))
     spots = F.array(spot(0, own - 1), spot(0, own))
     spots = F.when(indexed, F.concat(spots, F.array(spot(1, own), spot(1, own + 1)))).otherwise(spots)
-    asked = standing.where(F.col("df") > HOT).select("word", "x", "first", F.explode(spots).alias("s"), F.sequence(F.lit(0), salts - 1).alias("salts"))
-    asked = asked.select("word", "x", "first", "s.side", "s.length", F.explode("salts").alias("salt"))
+    asked = standing.where(F.col("df") > HOT).select("word", "x", F.explode(spots).alias("s"), F.sequence(F.lit(0), salts - 1).alias("salts"))
+    asked = asked.select("word", "x", "s.side", "s.length", F.explode("salts").alias("salt"))
     hot = asked.join(held, ["word", "side", "length", "salt"])
     hot = hot.where(F.when(F.col("side") == 0, y["n"] <= x["n"]).otherwise(x["n"] <= y["n"]))
-    return cold.select("x", "first", "y").union(hot.select("x", "first", "y"))
+    return cold.select("x", "y").union(hot.select("x", "y"))
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 90) -> DataFrame:
@@ -207,9 +208,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     y = F.col("y")
     same = (F.col("x.id").eqNullSafe(F.col("g.id"))) & (F.col("x.line") == F.col("g.line"))
     standing = shared.join(gone.alias("g"), same, "left_anti")
-    pairs = meetings(standing, shared, percent).where(
-        _before(y, x) & _possible(x, y, percent) & ~(y["id"].eqNullSafe(f["id"]) & (y["line"] == f["line"]))
-    )
+    pairs = meetings(standing, shared, percent).where(_before(y, x) & _possible(x, y, percent))
     pairs = pairs.select(*_row("x", "id", "line"), y["id"].alias("o_id"), y["line"].alias("o_line"))
     gone = gone.union(verified(docs, key, text, pairs, percent))
     same = F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.line") == F.col("g.line"))
