@@ -28,7 +28,7 @@ from footfall.plans.scratch import materialise
 BUCKETS, ROW = 1 << 18, 1 << 10
 
 #: Lines beyond which a shared word is joined by length class and position, and lines of such a word that one task meets.
-HOT, SALT = 20_000, 8_192
+HOT, SALT = 20_000, 65_536
 
 
 def _spaced(text: str) -> Column:
