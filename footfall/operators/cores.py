@@ -18,6 +18,8 @@ BUCKET_EDGES = 4_000_000
 MOST_BUCKETS = 4096
 # Files that the keys of a bucket are dealt to.
 FILES = 8
+# Rounds that read all pairs, narrow and unmoved; only a longer peeling has its edges stored by key.
+SCAN_ROUNDS = 10
 # Surviving users and items up to which wide rows are filtered by two broadcast lists instead of by pairs.
 SHORT_LIST = 500_000
 
@@ -65,17 +67,18 @@ def _written(df: DataFrame, tag: str, *partitions: str, **facts: Column) -> tupl
 
 
 def kcore(
-    df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id", bucket_edges: int = BUCKET_EDGES
+    df: DataFrame, ku: int, ki: int, user: str = "user_id", item: str = "item_id", bucket_edges: int = BUCKET_EDGES, scan_rounds: int = SCAN_ROUNDS
 ) -> Core:
     """Drop users below ``ku`` rows and items below ``ki`` rows until nothing changes.
 
-    Degrees are counted once. The edges are stored twice, by user and by item, in hash buckets and
-    sorted by key, each with the degree of its other end. A round takes the keys dropped by the
-    round before (the frontier), reads their edges only, and subtracts them from the degrees of
-    the other ends; a key's degree is the smallest one written for it so far. The keys that fall
-    below their limit are the next frontier. So a late round that drops few keys reads the few
-    buckets that hold them, not all pairs, and writes a row per touched key. All keys of a round
-    are dropped at once, as if both degrees came from the same snapshot.
+    Degrees are counted once. A round takes the keys dropped by the round before (the frontier) and
+    subtracts their edges from the degrees of the other ends; a key's degree is the smallest one written
+    for it so far. The keys that fall below their limit are the next frontier, and a round writes a row per
+    touched key. All keys of a round are dropped at once, as if both degrees came from the same snapshot.
+
+    The first ``scan_rounds`` rounds find the frontier's edges in one pass over the stored pairs, which stay
+    where they are. A longer peeling then stores the pairs still alive twice, by user and by item, in hash buckets
+    and sorted by key, so that a late round that drops few keys reads the few buckets that hold them.
     """
     columns = (user, item)
     present = df.where(F.col(user).isNotNull() & F.col(item).isNotNull())
@@ -101,34 +104,60 @@ def kcore(
     if not dropped[0]:
         return Core(pairs, user, item, (0,), (0,))
 
-    both = pairs.select(F.col(user).cast("string").alias("_u"), F.col(item).cast("string").alias("_i"), "_n")
-    for side, name in enumerate(("_u", "_i")):
-        own = degrees.where(F.col("_side") == side).select(F.col("_key").alias(name), F.col("_d").alias(f"_d{name}"))
-        both = both.join(own, name)
-
-    def directed(side: int, near: str, far: str) -> Column:
-        # The edges of a key of very high degree are dealt to several tasks.
-        parts = F.ceil(F.col(f"_d{near}") / bucket_edges)
-        return F.struct(
-            F.lit(side).alias("_side"), bucket(F.lit(side), F.col(near)),
-            F.struct(F.pmod(F.xxhash64(near), F.lit(FILES)), F.pmod(F.xxhash64(far), parts)).alias("_part"),
-            F.col(near).alias("_key"), F.col(far).alias("_far"), F.col("_n"), F.col(f"_d{far}").alias("_end"),
-        )
-
-    edges = both.select(F.inline(F.array(directed(0, "_u", "_i"), directed(1, "_i", "_u"))))
-    edges = edges.repartition("_side", "_bucket", "_part").sortWithinPartitions("_side", "_bucket", "_key").drop("_part")
-    edges, _ = _written(edges, "core-edges", "_side", "_bucket", edges=F.count(F.lit(1)))
+    def either(df: DataFrame, one: Column, other: Column) -> DataFrame:
+        return df.select(F.inline(F.array(one, other)))
+
+    def narrow(alive: DataFrame) -> DataFrame:
+        return alive.select(F.col(user).cast("string").alias("_u"), F.col(item).cast("string").alias("_i"), "_n")
+
+    def end(side: int, near: str, far: str) -> Column:
+        return F.struct(F.lit(side).alias("_side"), F.col(near).alias("_key"), F.col(far).alias("_far"), F.col("_n"))
+
+    def stored(alive: DataFrame) -> DataFrame:
+        both = narrow(alive)
+        for side, name in enumerate(("_u", "_i")):
+            own = degrees.where(F.col("_side") == side).select(F.col("_key").alias(name), F.col("_d").alias(f"_d{name}"))
+            both = both.join(own, name)
+
+        def directed(side: int, near: str, far: str) -> Column:
+            # The edges of a key of very high degree are dealt to several tasks.
+            parts = F.ceil(F.col(f"_d{near}") / bucket_edges)
+            return F.struct(
+                F.lit(side).alias("_side"), bucket(F.lit(side), F.col(near)),
+                F.struct(F.pmod(F.xxhash64(near), F.lit(FILES)), F.pmod(F.xxhash64(far), parts)).alias("_part"),
+                F.col(near).alias("_key"), F.col(far).alias("_far"), F.col("_n"), F.col(f"_d{far}").alias("_end"),
+            )
+
+        edges = either(both, directed(0, "_u", "_i"), directed(1, "_i", "_u"))
+        edges = edges.repartition("_side", "_bucket", "_part").sortWithinPartitions("_side", "_bucket", "_key").drop("_part")
+        return _written(edges, "core-edges", "_side", "_bucket", edges=F.count(F.lit(1)))[0]
+
+    def without_dropped(lists: DataFrame) -> DataFrame:
+        alive = pairs
+        for side, name in enumerate(columns):
+            keys = lists.where(F.col("_side") == side).select(F.col("_key").cast(df.schema[name].dataType).alias(name))
+            alive = alive.join(keys, name, "left_anti")
+        return alive
 
     tables: list[DataFrame] = []
     frontier = degrees.where(low).select("_side", "_bucket", "_key")
     gone = [frontier]
+    edges = None
+    other = (1 - F.col("_side")).alias("_side"), F.col("_far").alias("_key")
+    sums = [F.sum("_n").alias("_lost"), F.count(F.lit(1)).alias("_edges")]
     while True:
-        held = [[b % buckets for b in facts["buckets"] if b // buckets == side] for side in (0, 1)]
-        pruned = edges.where(" or ".join(f"_side = {side} and _bucket in ({', '.join(map(str, bs))})" for side, bs in enumerate(held) if bs))
-        met = pruned.join(frontier, ["_side", "_bucket", "_key"])
-        lost = met.groupBy((1 - F.col("_side")).alias("_side"), F.col("_far").alias("_key")).agg(
-            F.sum("_n").alias("_lost"), F.max("_end").alias("_end"), F.count(F.lit(1)).alias("_edges")
-        )
+        if len(dropped) > scan_rounds:
+            if edges is None:  # the edges of this round's frontier are still needed
+                edges = stored(without_dropped(reduce(DataFrame.union, gone[:-1])) if gone[:-1] else pairs)
+            held = [[b % buckets for b in facts["buckets"] if b // buckets == side] for side in (0, 1)]
+            pruned = edges.where(" or ".join(f"_side = {side} and _bucket in ({', '.join(map(str, bs))})" for side, bs in enumerate(held) if bs))
+            lost = pruned.join(frontier, ["_side", "_bucket", "_key"]).groupBy(*other).agg(*sums, F.max("_end").alias("_end"))
+        else:
+            keys = frontier.select("_side", "_key")
+            if dropped[-1] <= SHORT_LIST:
+                keys = F.broadcast(keys)
+            met = either(narrow(pairs), end(0, "_u", "_i"), end(1, "_i", "_u")).join(keys, ["_side", "_key"])
+            lost = met.groupBy(*other).agg(*sums).join(degrees.select("_side", "_key", F.col("_d").alias("_end")), ["_side", "_key"])
         if tables:
             earlier = reduce(DataFrame.union, tables)
             lost = lost.join(earlier.groupBy("_side", "_key").agg(F.min("_d").alias("_least")), ["_side", "_key"], "left")
@@ -146,11 +175,7 @@ def kcore(
         frontier = touched.where(low).select("_side", "_bucket", "_key")
         gone.append(frontier)
     lists = materialise(reduce(DataFrame.union, gone).select("_side", "_key"), "core-dropped")
-    alive = pairs
-    for side, name in enumerate(columns):
-        keys = lists.where(F.col("_side") == side).select(F.col("_key").cast(df.schema[name].dataType).alias(name))
-        alive = alive.join(keys, name, "left_anti")
-    return Core(alive.select(*columns, "_n"), user, item, tuple(dropped), tuple(edges_read))
+    return Core(without_dropped(lists).select(*columns, "_n"), user, item, tuple(dropped), tuple(edges_read))
 
 
 def priority_users(df: DataFrame, predicate: Column, ku: int, ki: int, user: str = "user_id", item: str = "item_id") -> DataFrame:

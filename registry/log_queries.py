@@ -223,12 +223,12 @@ _PICK = {
 
 
 def _core(spark, sf):
-    return cores.kcore(v.purchases(spark, sf), 20, 20)
+    return cores.kcore(v.purchase_log(spark, sf), 20, 20)
 
 
 @query("kcore", sql('SELECT user_id, item_id, "timestamp" FROM c12', extra=_CORE))
 def kcore(spark, sf):
-    log = v.purchases(spark, sf)
+    log = v.purchase_log(spark, sf)
     return cores.kcore(log, 20, 20).restrict(log).select("user_id", "item_id", "timestamp")
 
 
@@ -278,7 +278,7 @@ def priority_users(spark, sf):
 
 
 def _picked(spark, sf):
-    log = v.purchases(spark, sf)
+    log = v.purchase_log(spark, sf)
     good = cores.priority_users(log, F.col("quantity") >= 25, 8, 8)
     half = v.table(spark, sf, "customer").count() // 2
     return cores.sample_users_priority_first(_core(spark, sf).users(), good, half)
@@ -291,7 +291,7 @@ def priority_sample(spark, sf):
 
 @query("resampled_kcore", sql('SELECT user_id, item_id, "timestamp" FROM r12', extra=_PICK))
 def resampled_kcore(spark, sf):
-    log = v.purchases(spark, sf).select("user_id", "item_id", "timestamp")
+    log = v.purchase_log(spark, sf).select("user_id", "item_id", "timestamp")
     rows, _ = cores.resampled_core(log, v.stage(spark, sf, "picked", lambda: _picked(spark, sf)), 20, 8)
     return rows.select("user_id", "item_id", "timestamp")
 
@@ -305,7 +305,7 @@ def resampled_kcore(spark, sf):
 def surviving_rows(spark, sf):
     """Light pass on the keys, then the wide rows of the surviving keys, the first of each key."""
     keys = ("user_id", "item_id", "timestamp")
-    log = v.purchases(spark, sf)
+    log = v.purchase_log(spark, sf)
     light = cores.kcore(log, 20, 20).restrict(log)
     return cores.surviving_rows(v.purchase_rows(spark, sf), light, keys).select(*keys, "quantity")
 

@@ -45,6 +45,20 @@ def test_a_round_reads_the_edges_of_dropped_keys_only(spark):
     assert core.dropped == (2, 2, 2, 2, 2, 0) and max(core.edges_read) <= 4
 
 
+@pytest.mark.parametrize("scan_rounds", [0, 1, 3])
+def test_a_long_peeling_goes_on_with_stored_edges(spark, monkeypatch, scan_rounds):
+    path = [(f"u{i}", f"i{i + d}") for i in range(5) for d in (0, 1)]
+    block = [(f"b{u}", f"c{i}") for u in range(20) for i in range(20)]
+    df = spark.createDataFrame(path + block, "user_id string, item_id string")
+    tags, written = [], cores._written
+    monkeypatch.setattr(cores, "_written", lambda df, tag, *p, **f: tags.append(tag) or written(df, tag, *p, **f))
+    assert cores.kcore(df, 2, 2).dropped == (2, 2, 2, 2, 2, 0)
+    assert "core-edges" not in tags  # few rounds read the pairs where they are
+    core = cores.kcore(df, 2, 2, bucket_edges=10, scan_rounds=scan_rounds)
+    assert tags.count("core-edges") == 1 and core.dropped == (2, 2, 2, 2, 2, 0)
+    assert sorted(map(tuple, core.restrict(df).collect())) == sorted(block)
+
+
 def test_core_counts_rows_and_skips_nulls(spark):
     rows = [("a", 1)] * 3 + [("b", 1), ("a", 2), ("a", 2), (None, 1), ("c", None), ("b", 2)]
     core = cores.kcore(spark.createDataFrame(rows, "user_id string, item_id int"), 3, 3)
