@@ -32,6 +32,8 @@ from footfall.plans.tiles import BROADCAST_BYTES, TILE_ROWS, StoredCatalog, runs
 DIGITS = 9
 # Items of a block, and instances whose bounds are looked at together.
 BLOCK_ROWS = 1024
+# Most times the rows of a tile that a slice of instances holds.
+WIDER = 4
 # Bytes of a score block: with more items fewer instances are scored at once.
 _SCORE_BYTES = 32 * 1024 * 1024
 # Rounding of scores and of the bound.
@@ -101,8 +103,10 @@ class _Block:
     """Items of a catalog with their largest norm."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        if (ids[1:] < ids[:-1]).any():
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids, vectors
         self.norm = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
 
     def scores(self, walk: _Walk, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,14 +203,19 @@ class _Best(_Walk):
         return pa.table({"instance_id": self.ids[own], "iid": self.found[own, at], "score": self.best[own, at], "n_blocks": self.visited[own]})
 
 
+def _in_blocks(ids: np.ndarray, matrices: list[np.ndarray]) -> np.ndarray:
+    """Places of the items in blocks of falling norm, by id within a block, so that a block is a view of the catalog."""
+    order = np.argsort(-np.einsum("ij,ij->i", matrices[0], matrices[0]), kind="stable") if len(ids) else np.zeros(0, np.int64)
+    return order[np.lexsort((ids[order], np.arange(len(order)) // BLOCK_ROWS))]
+
+
 def _by_broadcast(instances: DataFrame, catalog: StoredCatalog, schema: str, start: Callable) -> DataFrame:
     """Every batch of instances walks through the whole broadcast catalog."""
-    shared = catalog.shared()
+    shared = catalog.shared(_in_blocks)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, (vectors,) = shared.value
-        order = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable") if len(ids) else np.zeros(0, np.int64)
-        blocks = [_Block(ids[order[i : i + BLOCK_ROWS]], vectors[order[i : i + BLOCK_ROWS]]) for i in range(0, len(ids), BLOCK_ROWS)]
+        blocks = [_Block(ids[i : i + BLOCK_ROWS], vectors[i : i + BLOCK_ROWS]) for i in range(0, len(ids), BLOCK_ROWS)]
         for batch in batches:
             if batch.num_rows:
                 walk = start(pa.Table.from_batches([batch]), (ids, vectors))
@@ -221,7 +230,10 @@ def _by_broadcast(instances: DataFrame, catalog: StoredCatalog, schema: str, sta
 def _by_slices(instances: DataFrame, catalog: StoredCatalog, schema: str, start: Callable, least: Column, tile_rows: int) -> DataFrame:
     """Instances in slices by ``least``, the norm an item needs to matter to them; blocks go to the slices they can change."""
     kept = with_global_position(instances.withColumn("_least", least), ["_least", "instance_id"], "rank-instances")
-    left = materialise(kept.withColumn("slice", F.floor(F.col("position") / tile_rows)).drop("position"), "rank-slices")
+    # Blocks travel once a slice: with more instances than every core has a slice of, slices grow to WIDER times the rows.
+    each = kept.count() // kept.sparkSession.sparkContext.defaultParallelism
+    rows = min(max(tile_rows, each), WIDER * tile_rows)
+    left = materialise(kept.withColumn("slice", F.floor(F.col("position") / rows)).drop("position"), "rank-slices")
     norm = vx.norm(F.col("vec"))
     placed = with_global_position(catalog.table.withColumn("_norm", norm), [F.col("_norm").desc(), "iid"], "rank-items")
     right = materialise(placed.withColumn("tile", F.floor(F.col("position") / BLOCK_ROWS)).drop("position"), "rank-blocks")
