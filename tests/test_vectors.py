@@ -78,6 +78,29 @@ def test_one_vector_as_key_and_value(frames):
     assert all(np.allclose(a[i], b[i]) for i in a) and len(a) == len(b) == N_INST
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 4}])
+def test_instances_that_hold_their_queries(frames, sizes):
+    inst, items, queries = frames
+    held = inst.join(queries, "instance_id").localCheckpoint()
+    both = [att.attend(i, items, q, "soft", **sizes) for i, q in ((held, None), (inst, queries))]
+    if not sizes:  # beside a small catalog nothing moves
+        assert "Exchange" not in both[0]._jdf.queryExecution().executedPlan().toString()
+    a, b = ({r["instance_id"]: r["context_vec"] for r in d.collect()} for d in both)
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
+
+
+def test_a_shared_catalog_is_not_copied_by_tasks():
+    vectors = np.random.default_rng(3).normal(size=(3000, 4))
+    ids = np.random.default_rng(4).permutation(3000)
+    place = ranking._in_blocks(ids, [vectors])
+    ids, vectors = ids[place], vectors[place]
+    blocks = [ranking._Block(ids[i : i + 1024], vectors[i : i + 1024]) for i in range(0, 3000, 1024)]
+    assert all(np.shares_memory(b.vectors, vectors) for b in blocks)
+    norms = np.sqrt((vectors**2).sum(1))
+    assert all(norms[i : i + 1024].min() >= norms[i + 1024 :].max(initial=0) for i in range(0, 3000, 1024))
+    assert np.shares_memory(tiles.Vectors(np.arange(3000), [vectors]).matrices[0], vectors)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 4}])
 def test_unknown_items_and_missing_queries(frames, sizes):
     inst, items, queries = frames
