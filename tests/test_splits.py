@@ -161,3 +161,18 @@ def test_multiset_digest_counts_repeats(spark):
     two = spark.createDataFrame([("x",), ("x",)], "l string")
     a, b = (digests.multiset_digest(d, F.col("l")).first()["digest"] for d in (one, two))
     assert a != b
+
+
+def test_negative_samples_are_the_first_free_draws_and_keep_columns(spark):
+    draw = lambda key, i, n: int(hashlib.md5(f"42:{key}:{i}".encode()).hexdigest()[:8], 16) % n + 1
+    taken = list(range(1, 30))
+    instances = spark.createDataFrame([(i, 1, 30, f"k{i}") for i in range(60)], "instance_id long, uid long, target_iid long, label string")
+    sequence = spark.createDataFrame([(1, taken)], "uid long, item_seq array<long>")
+    got = sequences.negative_samples(instances, sequence, n_items=32, tries=40, keep=("label",))
+    assert got.columns == ["instance_id", "target_iid", "negative_iid", "found", "label"]
+    tries = []
+    for r in got.collect():
+        free = [i for i in range(1, 41) if draw(r["instance_id"], i, 32) not in (*taken, 30)]
+        tries.append(free[0] if free else 41)
+        assert (r["negative_iid"], r["found"], r["label"]) == (draw(r["instance_id"], tries[-1], 32), bool(free), f"k{r['instance_id']}")
+    assert min(tries) == 1 and max(tries) > 4
