@@ -70,12 +70,12 @@ def pair_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: Dat
     return joined.withColumn(out, vx.dot("_u", "_e")).select(*pairs.columns, out)
 
 
-def training_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """Add joint and attention-only scores of positive and negative items.
+def training_scores(pairs: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """Joint and attention-only scores of positive and negative items.
 
-    ``pairs`` is ``instance_id, target_iid, negative_iid``; both vector frames hold ``vec`` for
-    the joint score and ``act_vec`` for the attention-only one. Each frame is joined once per
-    role (a small catalog by broadcast) and all four products are taken in one pass.
+    ``pairs`` is ``instance_id, target_iid, negative_iid`` beside the instance's ``vec`` for the joint score and
+    ``act_vec`` for the attention-only one; ``item_vectors`` holds both for items. The catalog is joined once per
+    role (a small one by broadcast, so that pairs stay where they are) and all four products are taken in one pass.
     """
 
     catalog = store(item_vectors, "vec", "act_vec").beside()
@@ -88,10 +88,9 @@ def training_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors:
     joined = (
         pairs.join(side("target_iid", "pos"), "target_iid")
         .join(side("negative_iid", "neg"), "negative_iid")
-        .join(instance_vectors.select("instance_id", "vec", "act_vec"), "instance_id")
     )
     return joined.select(
-        *pairs.columns,
+        *(c for c in pairs.columns if c not in ("vec", "act_vec")),
         vx.dot("vec", "_pos").alias("pos_score"),
         vx.dot("vec", "_neg").alias("neg_score"),
         vx.dot("act_vec", "_pos_act").alias("act_pos_score"),

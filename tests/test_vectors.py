@@ -365,3 +365,22 @@ def test_behaviour_vectors_reflect_co_use(spark):
     cosine = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
     assert len(v) == 6 and users.count() == 20
     assert cosine(1, 2) > 0.9 > 0.5 > abs(cosine(1, 4))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "tile_rows": 2}])
+def test_attention_hands_on_columns_of_its_instances(spark, sizes):
+    rows = [(i, [] if i % 4 == 0 else [1 + i % 3, 99], [1, 2], 3, [float(i), 1.0], 10 * i) for i in range(9)]
+    inst = spark.createDataFrame(rows, "instance_id long, history_iids array<long>, history_timestamps array<long>, target_timestamp long, query_vec array<double>, target_iid long")
+    inst = inst.withColumn("history_timestamps", F.slice("history_timestamps", 1, F.size("history_iids")))
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 4)], "iid long, vec array<double>")
+    got = att.attend(inst, items, None, "soft", key="vec", value="vec", keep=("target_iid", "query_vec"), **sizes)
+    users = att.user_vectors(got, keep=("target_iid", "query_vec")).collect()
+    assert {r["instance_id"]: (r["target_iid"], r["query_vec"]) for r in users} == {i: (10 * i, [float(i), 1.0]) for i in range(9) if i % 4}
+
+
+def test_vectors_of_training_pairs_do_not_move(spark):
+    pairs = spark.createDataFrame([(1, 1, 2, [1.0, 2.0], [3.0])], "instance_id long, target_iid long, negative_iid long, vec array<double>, act_vec array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0], [2.0]), (2, [0.0, 1.0], [5.0])], "iid long, vec array<double>, act_vec array<double>")
+    scored = ranking.training_scores(pairs, items)
+    assert [tuple(r) for r in scored.collect()] == [(1, 1, 2, 1.0, 2.0, 6.0, 15.0)]
+    assert "hashpartitioning" not in scored._jdf.queryExecution().toString()
