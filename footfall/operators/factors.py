@@ -6,6 +6,10 @@ task, which adds up its normal equations and solves them at once: no shuffle. A
 task border, as one with a third of all pairs is many times, leaves one partial system per task; these are added in
 a tree and solved afterwards. Beside them stands one matrix shared by all systems, the inner products of all
 factors of the other side.
+
+Factors of a side with many keys do not travel to the pairs of one with few: the pairs of each many-side key are stored as
+lists, meet its factors once a step, and a task adds up the systems of all few-side keys that it sees. Neither
+factors nor pairs go through the driver then.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from footfall.plans.positions import with_group_position
 from footfall.plans.scratch import materialise
 
 _OUT = "id bigint, vec array<double>, node int, state array<double>"
+# Factors up to this many bytes are looked up, every half step anew; systems up to this many are added up in one task.
+LOOKED_UP, SYSTEMS = 8 * 1024 * 1024, 64 * 1024 * 1024
+# Pairs of a list, and factors gathered at once.
+_LIST, _CELLS = 1_000, 1_000_000
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -100,6 +108,64 @@ def _side(counts: DataFrame, key: str, partner: str) -> DataFrame:
     return materialise(rows.repartitionByRange("id", "partner").sortWithinPartitions("id", "partner"), f"sorted-pairs-{key}")
 
 
+def _lists_by_partner(counts: DataFrame, key: str, partner: str) -> DataFrame:
+    """``partner, ids, weights``: the pairs of each partner in lists of about ``_LIST`` at most, stored."""
+    sizes = counts.groupBy(partner).agg(F.ceil(F.count(F.lit(1)) / _LIST).alias("_parts"))
+    rows = counts.join(sizes, partner).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "weight")))
+    rows = rows.groupBy(F.col(partner).alias("partner"), "_part").agg(pairs.alias("_p"))
+    return materialise(rows.select("partner", F.col("_p.id").alias("ids"), F.col("_p.weight").alias("weights")), f"lists-of-{partner}")
+
+
+def _gathered(lists: DataFrame, factors: DataFrame, rank: int, penalty: float) -> DataFrame:
+    """:func:`_fitted` from lists of pairs; a task holds the systems of all keys it sees."""
+    factors = materialise(factors, "factors")
+    parts = materialise(gram_parts(factors, "vec", "vec"), "factor-gram")
+    gram = matrix(summed_matrices(parts).orderBy("i").toArrow()["v"])[:, rank:]  # rank x rank
+    # Neither side may be broadcast, which would send it through the driver every half step.
+    met = lists.hint("merge").join(factors.withColumnRenamed("iid", "partner"), "partner").select("ids", "weights", "vec", F.spark_partition_id().alias("node"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        systems: dict[int, np.ndarray] = {}
+        node = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node")[0].as_py()
+            vectors, ids, weights = matrix(batch.column("vec")), batch.column("ids").flatten().to_numpy(), batch.column("weights").flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), batch.column("ids").value_lengths().to_numpy())
+            order = np.argsort(ids, kind="stable")
+            for start in range(0, len(order), max(1, _CELLS // rank)):
+                at = order[start : start + max(1, _CELLS // rank)]
+                starts, states = _partials(ids[at], weights[at], vectors[row[at]])
+                for key, state in zip(ids[at][starts].tolist(), states, strict=True):
+                    if key in systems:
+                        systems[key] += state
+                    else:
+                        systems[key] = state.copy()
+        if systems:
+            keys = np.array(list(systems))
+            for start in range(0, len(keys), _LIST):
+                own = keys[start : start + _LIST]
+                states = _lists(np.stack([systems[k] for k in own.tolist()]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int32)), pa.array(own), states], names=["node", "i", "v"])
+
+    parts = materialise(met.mapInArrow(add, "node int, i bigint, v array<double>"), "factor-systems")
+    return _finished(summed_matrices(parts), gram, penalty)
+
+
+def _finished(states: DataFrame, gram: np.ndarray, penalty: float) -> DataFrame:
+    """``iid, vec`` from whole states ``i, v``."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vec = _lists(_solved(matrix(batch.column("v")), gram, penalty))
+                yield pa.RecordBatch.from_arrays([batch.column("i"), vec], names=["iid", "vec"])
+
+    return states.mapInArrow(finish, "iid bigint, vec array<double>")
+
+
 def _fitted(side: DataFrame, factors: DataFrame, keys: int, rank: int, penalty: float, most: int, tile_rows: int) -> DataFrame:
     """``iid, vec`` of the keys of ``side`` from the factors of their partners, of which there are ``keys``."""
     catalog = tiles.StoredCatalog(factors, keys, keys * (rank + 1) * 8, ("vec",))
@@ -139,26 +205,20 @@ def _fitted(side: DataFrame, factors: DataFrame, keys: int, rank: int, penalty:
     cut = step.where(F.col("vec").isNull()).select("node", F.col("id").alias("i"), F.col("state").alias("v"))
     if nodes is None:
         return whole
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vec = _lists(_solved(matrix(batch.column("v")), gram, penalty))
-                yield pa.RecordBatch.from_arrays([batch.column("i"), vec], names=["iid", "vec"])
-
-    return whole.union(summed_matrices(cut, FAN, nodes + 1).mapInArrow(finish, "iid bigint, vec array<double>"))
+    return whole.union(_finished(summed_matrices(cut, FAN, nodes + 1), gram, penalty))
 
 
 def behaviour_vectors(
     df: DataFrame, rank: int = 32, iterations: int = 10, seed: int = 42, user: str = "uid", item: str = "iid",
-    penalty: float = 0.1, alpha: float = 1.0, most: int = tiles.BROADCAST_BYTES, tile_rows: int = tiles.TILE_ROWS,
+    penalty: float = 0.1, alpha: float = 1.0, most: int = LOOKED_UP, tile_rows: int = tiles.TILE_ROWS, systems: int = SYSTEMS,
 ) -> tuple[DataFrame, DataFrame]:
     """``iid, vec`` of items and ``uid, vec`` of users: factors of implicit feedback, repeats as strength.
 
     A pair seen n times has preference 1 with confidence 1 + ``alpha`` * n, all other pairs preference 0 with
     confidence 1; a key's penalty is ``penalty`` times its number of partners. Ids are any integers; rows with a null
     id are left out; without rows both tables are empty. Factors of up to ``most`` bytes are looked up
-    where the pairs are; larger ones come in tiles (:mod:`footfall.plans.tiles`).
+    where the pairs are; larger ones stay and give partial systems if those of the other side take up to ``systems`` bytes,
+    or else come in tiles (:mod:`footfall.plans.tiles`).
     """
     known = df.where(F.col(user).isNotNull() & F.col(item).isNotNull())
     counts = known.groupBy(F.col(user).cast("bigint").alias("_u"), F.col(item).cast("bigint").alias("_i"))
@@ -167,9 +227,17 @@ def behaviour_vectors(
     users, items = (start_vectors(own, rank, seed) for own in ids)
     n_users, n_items = (own.count() for own in ids)
     if n_users:
-        by_item, by_user = _side(counts, "_i", "_u"), _side(counts, "_u", "_i")
+
+        def step(key: str, partner: str, n_keys: int, n_partners: int) -> Callable[[DataFrame], DataFrame]:
+            if n_partners * (rank + 1) * 8 > most and n_keys * (rank * rank + rank + 1) * 8 <= systems:
+                pairs = _lists_by_partner(counts, key, partner)
+                return lambda factors: _gathered(pairs, factors, rank, penalty)
+            pairs = _side(counts, key, partner)
+            return lambda factors: _fitted(pairs, factors, n_partners, rank, penalty, most, tile_rows)
+
+        to_items, to_users = step("_i", "_u", n_items, n_users), step("_u", "_i", n_users, n_items)
         for _ in range(iterations):
-            items = _fitted(by_item, users, n_users, rank, penalty, most, tile_rows)
-            users = _fitted(by_user, items, n_items, rank, penalty, most, tile_rows)
+            items = to_items(users)
+            users = to_users(items)
     single = F.col("vec").cast("array<float>").alias("vec")
     return items.select(F.col("iid").alias("iid"), single), users.select(F.col("iid").alias("uid"), single)
