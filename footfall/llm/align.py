@@ -26,8 +26,8 @@ from footfall.llm.small import checked_broadcast
 from footfall.llm.wordhash import raw_texts
 from footfall.plans.scratch import materialise
 
-#: Bytes of a lane, of the texts merged at once (about), and characters from which a text is encoded in parts.
-LANE, TOGETHER, LONG = 1024, 1 << 20, 1 << 18
+#: Bytes of a lane, of the texts merged at once (about), characters encoded at once, and those of the words that a worker remembers.
+LANE, TOGETHER, LONG, KNOWN = 1024, 1 << 20, 1 << 18, 1 << 22
 
 # A place where neither tokenizer can join what stands before with what follows.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -52,15 +52,6 @@ class _Table:
         return gather(self.flat, self.ends, rows)
 
 
-def parts_of(text: str, most: int) -> list[str]:
-    """The text in parts of about ``most`` characters, cut before single spaces between words where there are any."""
-    parts, start = [], 0
-    while len(text) - start > most and (found := _CUT.search(text, start + most)):
-        parts.append(text[start : found.start()])
-        start = found.start()
-    return [*parts, text[start:]]
-
-
 class Aligner:
     """Both tokenizers of a worker. A is a byte-level BPE of ``tokenizers``, B a ``sentencepiece`` model that adds a space."""
 
@@ -79,31 +70,45 @@ class Aligner:
         # B's pieces hold a space only at their start, or the places of _CUT would not be safe.
         self.cuts = not any(" " in self.b.id_to_piece(i).replace("▁", " ").lstrip(" ") for i in pieces)
         self.decimals = _Table([b"%d," % i for i in range(max(len(self.a_bytes.size), len(pieces)))])
+        self._forget()
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of A and the number of each text's, and the same of B."""
-        parts = [parts_of(" " + t, LONG) if self.cuts else [" " + t] for t in texts]
-        flat = [p for own in parts for p in own]
-        a, b, a_sizes, b_sizes = array("i"), array("i"), [], []
+    def _forget(self) -> None:
+        """No word is known: ``known`` is the place of each in the sizes, and ``ids`` of A and B follow each other."""
+        self.known: dict[str, int] = {}
+        self.letters, self.ids, self.sizes = 0, (array("i"), array("i")), (array("i"), array("i"))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that are not known."""
         start = 0
-        while start < len(flat):  # what the encoders hold is many times a text's size
-            stop, size = start + 1, len(flat[start])
-            while stop < len(flat) and size + len(flat[stop]) <= LONG:
-                size += len(flat[stop])
+        while start < len(words):  # what the encoders hold is many times a text's size
+            stop, size = start + 1, len(words[start])
+            while stop < len(words) and size + len(words[stop]) <= LONG:
+                size += len(words[stop])
                 stop += 1
-            for found in self.a.encode_batch_fast(flat[start:stop], add_special_tokens=False):
-                ids = found.ids
-                a.extend(ids)
-                a_sizes.append(len(ids))
-            for ids in self.b.encode([p[1:] for p in flat[start:stop]], num_threads=1):
-                b.extend(ids)
-                b_sizes.append(len(ids))
+            part = words[start:stop]
+            found = (e.ids for e in self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False))
+            for ids, sizes, each in zip(self.ids, self.sizes, (found, self.b.encode(part, num_threads=1)), strict=True):
+                for own in each:
+                    ids.extend(own)
+                    sizes.append(len(own))
+            self.letters += size
             start = stop
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of A and the number of each text's, and the same of B."""
+        parts = [_CUT.split(t) if self.cuts else [t] for t in texts]
+        flat = [w for own in parts for w in own]
+        if self.letters > KNOWN:
+            self._forget()
+        self._learn([w for w in dict.fromkeys(flat) if w not in self.known])
+        places = np.fromiter(map(self.known.__getitem__, flat), "int64", len(flat))
         first = np.append(0, np.cumsum([len(own) for own in parts])[:-1])
-        return (
-            np.frombuffer(a, "int32"), np.add.reduceat(np.array(a_sizes), first),
-            np.frombuffer(b, "int32"), np.add.reduceat(np.array(b_sizes), first),
-        )
+        out = []
+        for ids, sizes in zip(self.ids, self.sizes, strict=True):
+            ids, sizes = np.array(ids, "int32"), np.array(sizes, "int64")
+            out += [gather(ids, np.append(0, np.cumsum(sizes)), places), np.add.reduceat(sizes[places], first)]
+        return tuple(out)
 
     def align(self, texts: list[bytes]) -> Aligned:
         """``texts`` are not empty."""
