@@ -117,3 +117,21 @@ def test_lanes_change_nothing(monkeypatch):
         monkeypatch.setattr(align, "LANE", rnd.choice([1, 3, 50, 1000]))
         i, j = align.lockstep(a, b, bounds)
         assert a[i].tolist() == b[j].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+@pytest.mark.parametrize("known", [0, 1 << 22])
+def test_words_are_encoded_once_and_as_in_the_whole_text(monkeypatch, known):
+    rng = random.Random(5)
+    # Not U+2581: B gives it back as a space, so that such a text has no tokens in any case.
+    signs = [" ", " ", "  ", "\n", "\t", "\x1c", " ", "　", "́", "'s", "'ll", "don't", "a", "Wort", "12", "3.5", "...", "<s>", "<|endoftext|>", "語", "\U0001f600", "#", "x_y"]
+    texts = ["one two one two", "two one  one", *("".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(300))]
+    monkeypatch.setattr(align, "KNOWN", known)
+    own = align.Aligner(*(open(public_tokenizers.path(f), "rb").read() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    learned, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for some in (texts[:200], texts[200:], texts[:200]):
+        a, n_a, b, n_b = own._encoded(some)
+        each = [A.encode(" " + t, add_special_tokens=False).ids for t in some], [B.encode(t) for t in some]
+        assert a.tolist() == sum(each[0], []) and n_a.tolist() == list(map(len, each[0]))
+        assert b.tolist() == sum(each[1], []) and n_b.tolist() == list(map(len, each[1]))
+    assert learned.count("two") == (1 if known else 2)
