@@ -386,7 +386,7 @@ def test_vectors_of_training_pairs_do_not_move(spark):
     assert "hashpartitioning" not in scored._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("parts", [5])
 def test_factors_of_many_users_stay_where_they_are(spark, monkeypatch, parts):
     rng = np.random.default_rng(12)
     pairs = [(u, 7) for u in range(80)] + [(int(u), int(i)) for u, i in zip(rng.integers(0, 80, 300), rng.integers(0, 20, 300), strict=True)]
@@ -397,7 +397,8 @@ def test_factors_of_many_users_stay_where_they_are(spark, monkeypatch, parts):
     shared = factors.tiles.StoredCatalog.shared
     monkeypatch.setattr(factors.tiles.StoredCatalog, "shared", lambda self, *a: (seen.append(self.rows), shared(self, *a))[1])
     got = factors.behaviour_vectors(df, rank=4, iterations=2, most=30 * 5 * 8)
-    for a, b in zip(want, got, strict=True):
+    tiled = factors.behaviour_vectors(df, rank=4, iterations=2, most=30 * 5 * 8, tile_rows=16, systems=0)
+    for a, b in zip(want * 2, got + tiled, strict=True):
         a, b = ({r[0]: np.array(r["vec"]) for r in t.collect()} for t in (a, b))
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
     assert seen and max(seen) < 30  # only the items' factors went through the driver
