@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.quality import _BLANKS
 from footfall.llm.small import checked_broadcast
-from footfall.plans.scratch import materialise
+from footfall.plans.scratch import Passing, materialise
 
 #: Hash buckets whose word counts make the rarity classes, one byte each; a fixed number, so they
 #: fit the driver. They arrive there as strings of ROW classes.
@@ -48,7 +48,7 @@ def _words(body: Column) -> Column:
 
 def rarity_classes(docs: DataFrame, text: str) -> bytearray:
     """A class 1..125 for each hash bucket: quarter steps of the logarithm of its words' count in all texts."""
-    words = docs.select(F.explode(_words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where(F.col("w") != "")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     letter = F.char(F.least(F.lit(125), F.floor(F.log2(F.col("count") + 1) * 4) + 1))
     place = F.struct((F.col("b") % ROW).alias("i"), letter.alias("c"))
@@ -61,7 +61,7 @@ def rarity_classes(docs: DataFrame, text: str) -> bytearray:
 
 
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def row_id(key: str, text: str) -> Column:
@@ -71,17 +71,17 @@ def row_id(key: str, text: str) -> Column:
 
 def line_sets(docs: DataFrame, key: str, text: str, classes: bytearray) -> DataFrame:
     """``id, line, keys``: each line with words, and its words as numbers in the order of rarity."""
-    table = F.lit(classes)
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded into one array of the plan
 
-    def number(h: Column) -> Column:
-        rarity = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint")
+    def number(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rarity = F.coalesce(F.get(table, _bucket(h)), F.lit(1)).cast("bigint")
         return F.shiftleft(rarity, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     lines = docs.select(row_id(key, text).alias("id"), F.posexplode(F.split(_spaced(text), "\n")).alias("line", "body"))
-    hashes = F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))
     # Hashes that agree in their lower 56 bits may be one number.
-    keys = F.sort_array(F.array_distinct(F.transform(hashes, number)))
-    return lines.where(F.replace("body", F.lit(" "), F.lit("")) != "").select("id", "line", keys.alias("keys"))
+    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), number)))
+    return lines.where(F.trim("body") != "").select("id", "line", keys.alias("keys"))
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -130,24 +130,25 @@ def _before(a: Column, b: Column) -> Column:
     return F.struct(a["id"], a["line"]) < F.struct(b["id"].alias("id"), b["line"].alias("line"))
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: int, passing: Passing) -> DataFrame:
     """``id, line`` of the later lines of pairs (``id, line, o_id, o_line``) whose words reach the similarity."""
-    pairs = materialise(pairs.distinct(), "line-pairs")
+    pairs = passing.store(pairs.distinct(), "line-pairs")
     ends = pairs.select("id", "line").union(pairs.select("o_id", "o_line")).distinct()
-    wanted = materialise(ends.groupBy("id").agg(F.collect_list("line").alias("at")), "line-wanted")
-    wide = docs.select(row_id(key, text).alias("_k"), F.split(_spaced(text), "\n").alias("body"))
+    wanted = passing.store(ends.groupBy("id").agg(F.collect_list("line").alias("at")), "line-wanted")
+    wide = docs.select(row_id(key, text).alias("_k"), F.col(text).alias("_t"))
     found = wide.join(checked_broadcast(wanted, "at"), F.col("_k").eqNullSafe(F.col("id")))
+    found = found.select("id", "at", F.split(_spaced("_t"), "\n").alias("body"))
     found = found.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("body", i).alias("t")))).alias("x"))
     found = found.select("id", "x.line", F.col("x.t").alias("w"), F.size(F.array_distinct(_words(F.col("x.t")))).alias("n"))
-    words = materialise(found.dropDuplicates(["id", "line"]), "line-words")  # texts: a shuffled array of words takes thrice the bytes
-    other = words.select(F.col("id").alias("_i"), F.col("line").alias("_l"), F.col("w").alias("v"), F.col("n").alias("m"))
+    words = found.dropDuplicates(["id", "line"])  # texts: a shuffled array of words takes thrice the bytes
+    # Both sides name the columns alike, so that the texts are shuffled once for the two joins.
     both = pairs.alias("p").join(words.alias("a"), F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.line") == F.col("a.line")))
-    both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w", "a.n")
-    both = both.join(other, F.col("o_id").eqNullSafe(F.col("_i")) & (F.col("o_line") == F.col("_l")))
+    both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w", "a.n").alias("p")
+    both = both.join(words.alias("b"), F.col("p.o_id").eqNullSafe(F.col("b.id")) & (F.col("p.o_line") == F.col("b.line")))
     # shared / union >= percent / 100, with shared named once: what a filter names twice is computed twice
-    shared = F.size(F.array_intersect(_words(F.col("w")), F.split("v", " ")))
-    alike = both.where(shared * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    return alike.select("id", "line").distinct()
+    shared = F.size(F.array_intersect(_words(F.col("p.w")), F.split("b.w", " ")))
+    alike = both.where(shared * (100 + percent) >= (F.col("p.n") + F.col("b.n")) * percent)
+    return alike.select("p.id", "p.line").distinct()
 
 
 def _length_class(n: Column, percent: int) -> Column:
@@ -155,16 +156,26 @@ def _length_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (max(math.log(100 / percent), 1e-3) * 1.001)).cast("int")
 
 
-def meetings(standing: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Lines that share a word: ``x`` of ``standing`` beside the ``y`` of each line that may match it, but the word's first.
+def meetings(shared: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """Lines that share a word: ``x`` of those not in ``gone`` beside the ``y`` of each line that may match it, but the word's first.
+
+    No line is before a word's first, so the first is on neither side, and words of two lines are settled.
 
     For a word of more than HOT lines, one of two lines, the shorter one, holds the word in its index
     prefix, and their lengths are in neighbouring classes. Both are join keys there, so that lines which
     only share a template's words do not meet; its lines are dealt to tasks by SALT.
     """
-    x, y, f = F.col("x"), F.col("y"), F.col("first")
-    others = shared.where(~(x["id"].eqNullSafe(f["id"]) & (x["line"] == f["line"])))
-    cold = standing.where(F.col("df") <= HOT).select("word", "x").join(others.where(F.col("df") <= HOT).select("word", x.alias("y")), "word")
+    x, y = F.col("x"), F.col("y")
+    others = shared.where(~F.col("head") & (F.col("df") > 2))
+    gone = checked_broadcast(gone).select(F.col("id").alias("g_id"), F.col("line").alias("g_line"))
+
+    def standing(rows: DataFrame) -> DataFrame:
+        # No left_anti: Spark would move that below the shuffle, which then is not the other side's.
+        marked = rows.join(gone, x["id"].eqNullSafe(F.col("g_id")) & (x["line"] == F.col("g_line")), "left")
+        return marked.where(F.col("g_line").isNull()).drop("g_id", "g_line")
+
+    few = others.where(F.col("df") <= HOT).select("word", "x").repartition("word")  # one shuffle for both sides
+    cold = standing(few).join(few.select("word", x.alias("y")), "word")
     crowd, own = others.where(F.col("df") > HOT), _length_class(x["n"], percent)
     indexed, salts = x["at"] < x["index"], F.ceil(F.col("df") / SALT).cast("int")
     salt = F.pmod(F.xxhash64(x["id"], x["line"]), salts).cast("int")
@@ -174,7 +185,7 @@ def meetings(standing: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     spot = lambda side, length: F.struct(F.lit(side).alias("side"), length.alias("length"))
     spots = F.array(spot(0, own - 1), spot(0, own))
     spots = F.when(indexed, F.concat(spots, F.array(spot(1, own), spot(1, own + 1)))).otherwise(spots)
-    asked = standing.where(F.col("df") > HOT).select("word", "x", F.explode(spots).alias("s"), F.sequence(F.lit(0), salts - 1).alias("salts"))
+    asked = standing(crowd).select("word", "x", F.explode(spots).alias("s"), F.sequence(F.lit(0), salts - 1).alias("salts"))
     asked = asked.select("word", "x", "s.side", "s.length", F.explode("salts").alias("salt"))
     hot = asked.join(held, ["word", "side", "length", "salt"])
     hot = hot.where(F.when(F.col("side") == 0, y["n"] <= x["n"]).otherwise(x["n"] <= y["n"]))
@@ -191,29 +202,32 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     differ; rows alike in key and text count as one document and keep the same lines.
     """
     docs = docs.select(key, text)
+    passing = Passing(docs.sparkSession)
     sets = line_sets(docs, key, text, rarity_classes(docs, text))
-    reps = materialise(representatives(sets, percent), "line-reps")
+    reps = passing.store(representatives(sets, percent), "line-reps")
     able = reps.where((F.col("n") * 100 >= (F.col("n") + 1) * percent) | (_ceil(F.col("n") * percent, 100) < F.col("n")))
     rows = able.select("id", "line", "n", "sketch", "index", F.posexplode("prefix").alias("at", "word"))
     rows = rows.select("word", F.struct("id", "line", "n", "sketch", "index", "at").alias("x"))
-    first = rows.groupBy("word").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    shared = materialise(rows.join(first, "word"), "line-shared")
-
+    word = Window.partitionBy("word")
+    rows = rows.select("word", "x", F.min("x").over(word).alias("first"), F.count(F.lit(1)).over(word).alias("df")).where(F.col("df") > 1)
     x, f = F.col("x"), F.col("first")
+    head = (x["id"].eqNullSafe(f["id"]) & (x["line"] == f["line"])).alias("head")
+    shared = passing.store(rows.select("*", head), "line-shared")
+
     pairs = shared.where(_before(f, x) & _possible(x, f, percent)).select(
         *_row("x", "id", "line"), F.col("first.id").alias("o_id"), F.col("first.line").alias("o_line")
     )
-    gone = materialise(verified(docs, key, text, pairs, percent), "line-gone")
+    gone = passing.store(verified(docs, key, text, pairs, percent, passing), "line-gone")
 
     y = F.col("y")
-    same = (F.col("x.id").eqNullSafe(F.col("g.id"))) & (F.col("x.line") == F.col("g.line"))
-    standing = shared.join(gone.alias("g"), same, "left_anti")
-    pairs = meetings(standing, shared, percent).where(_before(y, x) & _possible(x, y, percent))
+    pairs = meetings(shared, gone, percent).where(_before(y, x) & _possible(x, y, percent))
     pairs = pairs.select(*_row("x", "id", "line"), y["id"].alias("o_id"), y["line"].alias("o_line"))
-    gone = gone.union(verified(docs, key, text, pairs, percent))
+    gone = gone.union(verified(docs, key, text, pairs, percent, passing))
     same = F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.line") == F.col("g.line"))
     kept = reps.select("id", "line").alias("r").join(gone.alias("g"), same, "left_anti")
-    return materialise(kept.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("kept")), "line-kept")
+    kept = materialise(kept.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("kept")), "line-kept")
+    passing.remove()
+    return kept
 
 
 def _with_kept(docs: DataFrame, own: Column, kept: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Line dedup against a comparison of all lines; its query also has SQL."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from footfall.llm import lines
+from footfall.plans import scratch
 from tests.llm import brute
 
 
@@ -84,3 +86,24 @@ def test_words_of_many_lines(spark, monkeypatch, percent):
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
     want = brute.kept_lines(docs, percent)
     assert {r.id.key: r.kept for r in lines.kept_lines(frame, percent=percent).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_only_the_result_stays_on_disk(spark):
+    docs = spark.createDataFrame([(k, f"a b c d e f g h i j k{k % 9}\nx{k} y") for k in range(60)], "doc_id long, text string")
+    folder = scratch.new_path(spark, "any").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = lines.kept_lines(docs)
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["line-kept"]
+    assert found.count() == 60
+
+
+def test_first_lines_of_words_take_one_shuffle(spark, monkeypatch):
+    plans, store = {}, scratch.Passing.store
+
+    def stored(self, df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return store(self, df, tag)
+
+    monkeypatch.setattr(scratch.Passing, "store", stored)
+    lines.kept_lines(spark.createDataFrame([(k, f"a b c d e f g h i j k{k % 9}\nx{k} y") for k in range(60)], "doc_id long, text string"))
+    assert plans["line-shared"][0].count("Exchange hashpartitioning(word") == 1
