@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm.workers import tidy
+
 #: Chunks that a worker remembers; chunks of a slice of texts, and new ones among them.
 REMEMBERED, SLICE, NEW = 220_000, 200_000, 60_000
 #: Rows decoded at once.
@@ -255,45 +257,72 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     """
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: bounded
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, pattern)  # of this task: a worker that goes on to other work keeps nothing of it
-        for batch in batches:
-            none, done = batch.is_null(), 0
-            for ids, counts in encoder.encode(x.as_py() or "" for x in batch):
-                ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-                yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=none[done : done + len(counts)])
-                done += len(counts)
-        del encoder
-        pa.default_memory_pool().release_unused()
+        return _encoded(batches, shared.value, pattern)
 
     return F.arrow_udf(run, "array<int>")(text)
 
 
+def _encoded(batches: Iterator[pa.Array], ranks: dict[bytes, int], pattern: str) -> Iterator[pa.Array]:
+    """The ids of each text of the batches, for one slice of a batch after another."""
+    encoder = Encoder(ranks, pattern)  # of this task: a worker that goes on to other work keeps nothing of it
+    for batch in batches:
+        none, done = batch.is_null(), 0
+        for ids, counts in encoder.encode(x.as_py() or "" for x in batch):
+            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(ids), mask=none[done : done + len(counts)])
+            done += len(counts)
+
+
 def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     """The bytes (``binary``) that token ids stand for; null for null, for a null id and for an unknown id."""
-    ranks = read_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast(_entries(read_ranks(ranks_path)))
+
+    @tidy
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _decoded(batches, *shared.value)
+
+    return F.arrow_udf(run, "binary")(ids)
+
+
+def _entries(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in their order, and the length of each; -1 where there is no such id."""
     by_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    size = np.array([-1 if t is None else len(t) for t in by_id] or [-1], "int32")  # -1: no such id
-    flat = np.frombuffer(b"".join(t or b"" for t in by_id), "uint8")
-    shared = spark.sparkContext.broadcast((flat, size))
+    return np.frombuffer(b"".join(t or b"" for t in by_id), "uint8"), np.array([-1 if t is None else len(t) for t in by_id] or [-1], "int32")
+
+
+def _decoded(batches: Iterator[pa.Array], flat: np.ndarray, size: np.ndarray) -> Iterator[pa.Array]:
+    starts = np.append(0, np.cumsum(np.maximum(size, 0)))
+    for batch in batches:
+        for rows in (batch.slice(i, DECODED) for i in range(0, len(batch), DECODED)):
+            own = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            counts = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            known = (own >= 0) & (own < len(size))
+            known[known] = size[own[known]] >= 0
+            bad = np.add.reduceat(np.append(~known, False), np.cumsum(counts) - counts) > 0 if len(rows) else np.zeros(0, bool)
+            own = np.where(known, own, 0)
+            bounds = np.append(0, np.cumsum(np.maximum(size, 0)[own]))[np.append(0, np.cumsum(counts))]
+            joined = pa.py_buffer(gather(flat, starts, own))
+            whole = pa.BinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.astype("int64")), joined]).cast(pa.binary())
+            none = rows.is_null().to_numpy(zero_copy_only=False) | (bad & (counts > 0))
+            yield pa.compute.if_else(pa.array(none), pa.scalar(None, pa.binary()), whole)
+
+
+def round_trip(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
+    """``ids, bytes`` (a struct): what :func:`encode` gives for a text, and what :func:`decode` gives for those ids.
+
+    Both run in one worker, a slice of texts at a time: chained columns hold two workers a task, and whole batches of ids between them.
+    """
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        flat, size = shared.value
-        starts = np.append(0, np.cumsum(np.maximum(size, 0)))
-        for batch in batches:
-            for rows in (batch.slice(i, DECODED) for i in range(0, len(batch), DECODED)):
-                own = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                counts = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                known = (own >= 0) & (own < len(size))
-                known[known] = size[own[known]] >= 0
-                bad = np.add.reduceat(np.append(~known, False), np.cumsum(counts) - counts) > 0 if len(rows) else np.zeros(0, bool)
-                own = np.where(known, own, 0)
-                bounds = np.append(0, np.cumsum(np.maximum(size, 0)[own]))[np.append(0, np.cumsum(counts))]
-                joined = pa.py_buffer(gather(flat, starts, own))
-                whole = pa.BinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds.astype("int64")), joined]).cast(pa.binary())
-                none = rows.is_null().to_numpy(zero_copy_only=False) | (bad & (counts > 0))
-                yield pa.compute.if_else(pa.array(none), pa.scalar(None, pa.binary()), whole)
+        entries = _entries(shared.value)
+        for ids in _encoded(batches, shared.value, pattern):
+            for k, found in enumerate(_decoded([ids], *entries)):
+                yield pa.StructArray.from_arrays([ids.slice(k * DECODED, DECODED), found], ["ids", "bytes"])
 
-    return F.arrow_udf(run, "binary")(ids)
+    return F.arrow_udf(run, "ids array<int>, bytes binary")(text)

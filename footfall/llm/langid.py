@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.small import bounded_broadcast
 from footfall.llm.wordhash import mixed, raw_texts
+from footfall.llm.workers import tidy
 from footfall.plans.scratch import materialise
 
 UNKNOWN = "und"
@@ -100,6 +101,7 @@ def feature_counts(docs: DataFrame, text: str, keep: list[str], s: Settings) ->
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "buckets array<int>, counts array<int>"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets, counts = [], []
@@ -263,6 +265,7 @@ def predict(docs: DataFrame, text: str, model: Model | None, lang: str = "lang_p
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x dims numbers
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         words = _Words(model) if model else None
@@ -277,8 +280,6 @@ def predict(docs: DataFrame, text: str, model: Model | None, lang: str = "lang_p
                     langs.append(UNKNOWN)
                     scores.append(0.0)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-        del words  # the worker goes on to other tasks
-        pa.default_memory_pool().release_unused()
 
     found = docs.withColumn("_found", F.arrow_udf(run, "lang string, score double")(F.col(text)))
     least = model.threshold if model else 1.0

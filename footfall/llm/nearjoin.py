@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from footfall.llm.components import components
 from footfall.llm.small import checked_broadcast
 from footfall.llm.wordhash import WordHashes, grams, mixed, raw_texts
+from footfall.llm.workers import tidy
 from footfall.plans.scratch import materialise
 
 #: Minwise values of a set and independent trees.
@@ -70,6 +71,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """``id, n`` (set size), two hashes of the whole set, its minwise values and a bit sketch of those."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
@@ -127,6 +129,7 @@ def confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: i
     wide = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(checked_broadcast(ends), F.col("id") == F.col("_end"))
     texts = materialise(wide.select("id", "t").dropDuplicates(["id"]), "near-texts")
 
+    @tidy
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         words = WordHashes()
         for left, right in batches:
@@ -182,6 +185,7 @@ def exhaustive(docs: DataFrame, key: str, text: str, nodes: DataFrame, percent:
     ends = materialise(nodes.select(F.col("_id").alias("_end")).distinct(), "near-ends")
     wide = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(checked_broadcast(ends), F.col("id") == F.col("_end"))
 
+    @tidy
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
@@ -190,6 +194,7 @@ def exhaustive(docs: DataFrame, key: str, text: str, nodes: DataFrame, percent:
 
     sets = materialise(wide.select("id", "t").dropDuplicates(["id"]).mapInArrow(shingles, f"id {kind}, s array<bigint>"), "near-full")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, ids, members = None, [], []
 

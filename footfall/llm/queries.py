@@ -24,8 +24,8 @@ def token_digests(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTE
     """Number of tokens of each text, and digests of its ids and of the bytes decoded from them."""
     spark = docs.sparkSession
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")  # replaced
-    ids = docs.withColumn("_ids", bpe.encode(spark, F.coalesce("text", F.lit("")), ranks_path, pattern))
-    return ids.withColumn("_bytes", bpe.decode(spark, F.col("_ids"), ranks_path)).select(
+    coded = docs.withColumn("_coded", bpe.round_trip(spark, F.coalesce("text", F.lit("")), ranks_path, pattern))
+    return coded.select(*docs.columns, F.col("_coded.ids").alias("_ids"), F.col("_coded.bytes").alias("_bytes")).select(
         "*",
         F.size("_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

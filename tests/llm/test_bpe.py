@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from footfall.llm import bpe
 from footfall.llm.queries import PATTERN, RANKS, op2_byte_bpe, table, token_digests
@@ -76,3 +77,12 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert [r.ids for r in ids.collect()][:2] == [None, []]
     odd = spark.createDataFrame([(None,), ([],), ([None],), ([-1],), ([10**9],)], "ids array<int>")
     assert [r.b for r in odd.select(bpe.decode(spark, odd.ids, RANKS).alias("b")).collect()] == [None, b"", None, None, None]
+
+
+def test_ids_and_bytes_come_from_one_worker(spark):
+    docs = spark.createDataFrame([(k, "one two\n" * k if k % 7 else None) for k in range(1203)], "doc_id long, text string").coalesce(1)
+    found = token_digests(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    both = docs.select("text", bpe.round_trip(spark, docs.text, RANKS, PATTERN).alias("x"), bpe.encode(spark, docs.text, RANKS, PATTERN).alias("ids"))
+    for r in both.select("text", "x.*", F.col("ids").alias("alone")).collect():
+        assert r.ids == r.alone and r.bytes == (None if r.text is None else r.text.encode())
