@@ -141,7 +141,7 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: in
     found = found.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("body", i).alias("t")))).alias("x"))
     found = found.select("id", "x.line", F.col("x.t").alias("w"), F.size(F.array_distinct(_words(F.col("x.t")))).alias("n"))
     words = found.dropDuplicates(["id", "line"])  # texts: a shuffled array of words takes thrice the bytes
-    # Both sides name the columns alike, so that the texts are shuffled once for the two joins.
+    # Both sides name the columns alike, so that the lines are fetched once for the two joins.
     both = pairs.alias("p").join(words.alias("a"), F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.line") == F.col("a.line")))
     both = both.select("p.id", "p.line", "p.o_id", "p.o_line", "a.w", "a.n").alias("p")
     both = both.join(words.alias("b"), F.col("p.o_id").eqNullSafe(F.col("b.id")) & (F.col("p.o_line") == F.col("b.line")))
