@@ -6,8 +6,10 @@ vectors, so ranking only ever sees one vector per instance and one per item.
 No score matrix is stored or shuffled and nothing is sorted: an item's rank is one plus the
 number of items that beat it. The catalog is walked in blocks of falling norm. No score exceeds the
 product of both norms, so a block none of whose items can beat an instance's target (or its k-th best
-item so far) is counted as zero without a product. Scores are rounded to ``DIGITS`` before
-they are compared, since a matrix product and a single inner product differ in their last bits.
+item so far) is counted as zero without a product. Products of blocks are taken in single precision;
+where their error bound leaves open on which side of the target an item falls, its score is
+taken again in double precision. Scores are rounded to ``DIGITS`` before they are
+compared, since two ways to sum an inner product differ in their last bits.
 
 A small catalog (its bytes are checked) is broadcast and instances stay where they are. For a larger
 one instances are dealt once, into slices of instances that need about the same norm to be beaten, and a block
@@ -17,6 +19,7 @@ travels only to the slices that it can change; no instance is ever repeated.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,16 @@ from footfall.plans.tiles import BROADCAST_BYTES, TILE_ROWS, StoredCatalog, runs
 DIGITS = 9
 # Items of a block, and instances whose bounds are looked at together.
 BLOCK_ROWS = 1024
-# Most times the rows of a tile that a slice of instances holds.
-WIDER = 4
-# Bytes of a score block: with more items fewer instances are scored at once.
-_SCORE_BYTES = 32 * 1024 * 1024
+# Most times the rows of a tile that a slice of instances holds, and the rows below which a slice costs less than reading its blocks.
+WIDER, NARROW = 8, 2048
+# Bytes of a score block, which should stay in a core's cache: with more items fewer instances are scored at once.
+_SCORE_BYTES = 2 * 1024 * 1024
 # Rounding of scores and of the bound.
 _SLACK = 1e-8
+# Beyond it products are taken in double precision alone.
+_LARGE = 1e30
+# Numbers of the vectors gathered at once for scores in double precision.
+_CELLS = 4_000_000
 
 
 def score_vector(behaviour: str | None, semantic: str | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> Column:
@@ -108,24 +115,39 @@ class _Block:
         self.ids, self.vectors = ids, vectors
         self.norm = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
 
-    def scores(self, walk: _Walk, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Instances and their rounded scores of all items, some at a time; masked items score -inf."""
-        step = max(1, _SCORE_BYTES // (8 * len(self.ids)))
-        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-            scores = np.round(walk.vectors[part] @ self.vectors.T, DIGITS)
-            sizes = walk.ends[part + 1] - walk.ends[part]
-            own = np.repeat(np.arange(len(part)), sizes)
-            hidden = walk.hidden[np.repeat(walk.ends[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-            place = np.minimum(np.searchsorted(self.ids, hidden), len(self.ids) - 1)
-            there = self.ids[place] == hidden
-            scores[own[there], place[there]] = -np.inf
-            yield part, scores
+    def scores(self, walk: _Walk, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Instances, their scores of all items and the error of these, some at a time; masked items score -inf."""
+        error = (self.vectors.shape[1] + 4) * 2.0**-24 * 1.01 * walk.norms * self.norm + _SLACK
+        narrow = self.norm < _LARGE and bool((walk.norms[rows] < _LARGE).all() and (error[rows] < _LARGE).all())
+        mine = self.vectors.astype(np.float32) if narrow else self.vectors
+        theirs = walk.narrow if narrow else walk.vectors
+        error = error if narrow else np.full(len(error), _SLACK)
+        own, at = walk.masked(self.ids, rows)
+        step = max(1, _SCORE_BYTES // (4 * max(1, len(self.ids))))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            scores = theirs[part] @ mine.T
+            here = slice(*np.searchsorted(own, [i, i + step]))
+            scores[own[here] - i, at[here]] = -np.inf
+            yield part, scores, error[part]
+
+    def exact(self, walk: _Walk, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rounded scores of pairs of an instance and an item."""
+        step = max(1, _CELLS // max(1, self.vectors.shape[1]))
+        found = [np.einsum("ij,ij->i", walk.vectors[rows[i : i + step]], self.vectors[at[i : i + step]]) for i in range(0, len(rows), step)]
+        return np.round(np.concatenate([np.zeros(0), *found]), DIGITS)
+
+
+def _beside(scores: np.ndarray, level: np.ndarray, up: bool) -> np.ndarray:
+    """A column of bounds in the precision of the scores, not below (or not above) ``level``."""
+    return np.nextafter(level.astype(scores.dtype), scores.dtype.type(np.inf if up else -np.inf))[:, None]
 
 
 class _Walk:
     """Instances of a batch on their way through the blocks of a catalog, in any order.
 
-    ``hidden`` lists the items that an instance does not meet, from ``ends[i]`` to ``ends[i + 1]``.
+    ``hidden`` lists the items that some instance does not meet, in order, and ``hiding`` those instances, from
+    ``ends[i]`` to ``ends[i + 1]`` for the i-th.
     """
 
     def __init__(self, part: pa.Table, hide_target: bool):
@@ -137,13 +159,16 @@ class _Walk:
         own = np.repeat(np.arange(len(sizes)), sizes)
         if hide_target:  # the target does not beat itself
             hidden, own = np.append(hidden, self.target), np.append(own, np.arange(len(sizes)))
-            order = np.argsort(own, kind="stable")
-            hidden, own = hidden[order], own[order]
         else:  # the target is never masked
             stays = hidden != self.target[own]
             hidden, own = hidden[stays], own[stays]
-        self.hidden, self.ends = hidden, np.searchsorted(own, np.arange(len(sizes) + 1))
+        order = np.argsort(hidden, kind="stable")
+        self.hiding = own[order]
+        self.hidden, starts = np.unique(hidden[order], return_index=True)
+        self.ends = np.append(starts, len(hidden))
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors)) if len(self.ids) else np.zeros(0)
+        with np.errstate(over="ignore"):
+            self.narrow = self.vectors.astype(np.float32)
         self.visited = np.zeros(len(self.ids), np.int64)
 
     def open(self, block: _Block, level: np.ndarray) -> np.ndarray:
@@ -152,6 +177,22 @@ class _Walk:
         self.visited[rows] += 1
         return rows
 
+    def masked(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``rows``, in order, and in ``ids`` (ascending; the first of equal ones) that do not meet."""
+        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+        place = np.searchsorted(self.hidden, ids[at])
+        there = place < len(self.hidden)
+        there[there] = self.hidden[place[there]] == ids[at[there]]
+        at, place = at[there], place[there]
+        sizes = self.ends[place + 1] - self.ends[place]
+        own = self.hiding[np.repeat(self.ends[place] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        at = np.repeat(at, sizes)
+        where = np.full(len(self.ids), -1)
+        where[rows] = np.arange(len(rows))
+        own = where[own]
+        order = np.argsort(own, kind="stable")[int((own < 0).sum()) :]
+        return own[order], at[order]
+
 
 class _Counting(_Walk):
     """How many items rank before the target."""
@@ -163,9 +204,16 @@ class _Counting(_Walk):
         self.goals, self.better = goals, np.zeros(len(self.ids), np.int64)
 
     def visit(self, block: _Block) -> None:
-        for rows, scores in block.scores(self, self.open(block, self.goals)):
-            level, lower = self.goals[rows, None], block.ids[None, :] < self.target[rows, None]
-            self.better[rows] += (scores > level).sum(1) + ((scores == level) & lower).sum(1)
+        for rows, scores, error in block.scores(self, self.open(block, self.goals)):
+            low, high = _beside(scores, self.goals[rows] - error, False), _beside(scores, self.goals[rows] + error, True)
+            above = (scores > high).sum(1)
+            self.better[rows] += above
+            unsure = np.flatnonzero((scores >= low).sum(1) != above)
+            own, at = np.nonzero((scores[unsure] >= low[unsure]) & (scores[unsure] <= high[unsure]))
+            own = rows[unsure[own]]
+            exact, goal = block.exact(self, own, at), self.goals[own]
+            ahead = (exact > goal) | ((exact == goal) & (block.ids[at] < self.target[own]))
+            np.add.at(self.better, own[ahead], 1)
 
     def result(self) -> pa.Table:
         return pa.table({"instance_id": self.ids, "target_iid": self.target, "n_better": self.better, "n_blocks": self.visited})
@@ -183,19 +231,31 @@ class _Best(_Walk):
 
     def visit(self, block: _Block) -> None:
         k = self.best.shape[1]
-        for rows, scores in block.scores(self, self.open(block, self.best[:, -1])):
-            both = np.concatenate([self.best[rows], scores], 1)
-            ids = np.concatenate([self.found[rows], np.broadcast_to(block.ids, scores.shape)], 1)
-            # The k-th largest score bounds the candidates of a row; among them, score and then id decide.
-            bound = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
-            own, at = np.nonzero((both >= bound) & np.isfinite(both))
-            order = np.lexsort((ids[own, at], -both[own, at], own))
-            own, at = own[order], at[order]
+        for rows, scores, error in block.scores(self, self.open(block, self.best[:, -1])):
+            level = self.best[rows, -1] - error
+            new = np.flatnonzero(np.isneginf(level))
+            if len(new) and scores.shape[1] > k:  # the k-th of the block bounds them
+                level[new] = -np.partition(-scores[new], k - 1, axis=1)[:, k - 1] - 2 * error[new]
+            reach = scores >= _beside(scores, level, False)
+            own, at = np.divmod(np.flatnonzero(reach & np.isfinite(scores) if len(new) else reach), scores.shape[1])
+            if not len(own):
+                continue
+            exact = block.exact(self, rows[own], at)
+            # The best so far and the candidates of each instance that has any; score and then id decide.
+            touched, own = np.unique(own, return_inverse=True)
+            touched = rows[touched]
+            both = np.concatenate([self.best[touched].ravel(), exact])
+            ids = np.concatenate([self.found[touched].ravel(), block.ids[at]])
+            own = np.concatenate([np.repeat(np.arange(len(touched)), k), own])
+            real = np.isfinite(both)
+            both, ids, own = both[real], ids[real], own[real]
+            order = np.lexsort((ids, -both, own))
+            own, ids, both = own[order], ids[order], both[order]
             place = np.arange(len(own)) - np.searchsorted(own, own)
-            own, at, place = own[place < k], at[place < k], place[place < k]
-            found, best = np.zeros((len(rows), k), np.int64), np.full((len(rows), k), -np.inf)
-            found[own, place], best[own, place] = ids[own, at], both[own, at]
-            self.found[rows], self.best[rows] = found, best
+            own, ids, both, place = (x[place < k] for x in (own, ids, both, place))
+            found, best = np.zeros((len(touched), k), np.int64), np.full((len(touched), k), -np.inf)
+            found[own, place], best[own, place] = ids, both
+            self.found[touched], self.best[touched] = found, best
 
     def result(self) -> pa.Table:
         own, at = np.nonzero(np.isfinite(self.best))
@@ -229,9 +289,9 @@ def _by_broadcast(instances: DataFrame, catalog: StoredCatalog, schema: str, sta
 def _by_slices(instances: DataFrame, catalog: StoredCatalog, schema: str, start: Callable, least: Column, tile_rows: int) -> DataFrame:
     """Instances in slices by ``least``, the norm an item needs to matter to them; blocks go to the slices they can change."""
     kept = with_global_position(instances.withColumn("_least", least), ["_least", "instance_id"], "rank-instances")
-    # Blocks travel once a slice: with more instances than every core has a slice of, slices grow to WIDER times the rows.
-    each = kept.count() // kept.sparkSession.sparkContext.defaultParallelism
-    rows = min(max(tile_rows, each), WIDER * tile_rows)
+    # Blocks travel once a slice: every core gets one, and with many instances a whole number of slices of at most WIDER tiles' rows.
+    n, cores = max(1, kept.count()), kept.sparkSession.sparkContext.defaultParallelism
+    rows = max(ceil(n / (cores * ceil(n / (cores * WIDER * tile_rows)))), min(tile_rows, NARROW))
     left = materialise(kept.withColumn("slice", F.floor(F.col("position") / rows)).drop("position"), "rank-slices")
     norm = vx.norm(F.col("vec"))
     placed = with_global_position(catalog.table.withColumn("_norm", norm), [F.col("_norm").desc(), "iid"], "rank-items")
@@ -270,7 +330,8 @@ def _by_slices(instances: DataFrame, catalog: StoredCatalog, schema: str, start:
         if walk is not None:
             yield from walk.result().to_batches()
 
-    return both.repartition("slice").sortWithinPartitions("slice", "tile").mapInArrow(stream, schema)
+    # A partition each: by a hash of so few numbers some tasks would get several slices and others none.
+    return both.repartitionById(ceil(n / rows), F.col("slice").cast("int")).sortWithinPartitions("slice", "tile").mapInArrow(stream, schema)
 
 
 def target_ranks(

@@ -402,3 +402,44 @@ def test_factors_of_many_users_stay_where_they_are(spark, monkeypatch, parts):
         a, b = ({r[0]: np.array(r["vec"]) for r in t.collect()} for t in (a, b))
         assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
     assert seen and max(seen) < 30  # only the items' factors went through the driver
+
+
+def test_close_scores_are_taken_again_and_no_others(monkeypatch):
+    rng = np.random.default_rng(21)
+    items, users = rng.normal(size=(600, 8)), rng.normal(size=(50, 8))
+    items[100:200] = items[:100]  # ties
+    items[200:300] = items[:100] * (1 + 3e-9)  # apart in double precision only
+    ids, targets = rng.permutation(600) + 1, rng.integers(0, 600, size=50)
+    targets[:30] = rng.integers(0, 300, size=30)
+    seen = [[int(x) for x in rng.integers(1, 601, size=9)] * 2 for _ in users]
+    part = pa.table({"instance_id": np.arange(50), "target_iid": ids[targets], "seen_iids": seen, "vec": list(users)})
+    scores = np.round(users @ items.T, ranking.DIGITS)
+    pairs, exact = [], ranking._Block.exact
+    monkeypatch.setattr(ranking._Block, "exact", lambda self, walk, rows, at: (pairs.append(len(rows)), exact(self, walk, rows, at))[1])
+    count, best = ranking._Counting(part, scores[np.arange(50), targets]), ranking._Best(part, 7)
+    for walk in (count, best):
+        for i in range(0, 600, 64):
+            walk.visit(ranking._Block(ids[i : i + 64], items[i : i + 64]))
+    for i, t in enumerate(targets):
+        s = scores[i].copy()
+        s[np.isin(ids, [x for x in seen[i] if x != ids[t]])] = -np.inf
+        order = np.lexsort((ids, -s))
+        assert count.better[i] == np.flatnonzero(order == t)[0]
+        assert best.found[i].tolist() == ids[order[:7]].tolist() and np.allclose(best.best[i], s[order[:7]], atol=1e-8)
+    assert sum(pairs) < 0.15 * 2 * scores.size
+
+
+@pytest.mark.parametrize("large", [1e25, 1e33])
+def test_scores_beyond_single_precision(large):
+    users, items = np.array([[large, 1.0], [1.0, 2.0]]), np.array([[1.0, 0.0], [2.0, large], [0.0, 1.0]])
+    part = pa.table({"instance_id": [0, 1], "target_iid": [1, 3], "seen_iids": [[7], [7]], "vec": list(users)})
+    walk = ranking._Counting(part, np.array([large, 2.0]))
+    walk.visit(ranking._Block(np.array([1, 2, 3]), items))
+    assert walk.better.tolist() == [1, 1]
+
+
+def test_every_slice_has_a_task(frames):
+    inst, items, queries = frames
+    left, right = ranking.score_vectors(queries, "instance_id", None, "query_vec"), ranking.score_vectors(items, "iid", None, "value_vec")
+    ranks = ranking.target_ranks(inst, left, right, broadcast_bytes=0, tile_rows=5)
+    assert sorted(r["count"] for r in ranks.groupBy(F.spark_partition_id()).count().collect()) == [5] * 5
