@@ -1,5 +1,6 @@
 """Attention, ranking, metrics and learned inputs against plain numpy."""
 
+import functools
 import math
 
 import numpy as np
@@ -443,3 +444,33 @@ def test_every_slice_has_a_task(frames):
     left, right = ranking.score_vectors(queries, "instance_id", None, "query_vec"), ranking.score_vectors(items, "iid", None, "value_vec")
     ranks = ranking.target_ranks(inst, left, right, broadcast_bytes=0, tile_rows=5)
     assert sorted(r["count"] for r in ranks.groupBy(F.spark_partition_id()).count().collect()) == [5] * 5
+
+
+def test_vectors_move_once_a_portion(spark, monkeypatch):
+    """Instances of a user share the vectors of their histories; a user with most of the instances is spread."""
+    rows = [(100 * u + n, u, [1 + (u + j) % 40 for j in range(n)], [1] * n, 3, [1.0, 2.0]) for u in range(12) for n in range(1, 20)]
+    rows += [(10_000 + n, 99, [1, 2], [1, 1], 3, [1.0, 2.0]) for n in range(600)]
+    inst = spark.createDataFrame(rows, "instance_id long, uid long, history_iids array<long>, history_timestamps array<long>, target_timestamp long, query_vec array<double>")
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "iid long, vec array<double>")
+    stored, store = {}, tiles.materialise
+    monkeypatch.setattr(tiles, "materialise", lambda df, tag: stored.setdefault(tag, store(df, tag)) if tag == "portion-items" else store(df, tag))
+    got = att.attend(inst, items, None, "soft", key="vec", value="vec", broadcast_bytes=0, tile_rows=50)
+    want = att.attend(inst, items, None, "soft", key="vec", value="vec")
+    a, b = ({r["instance_id"]: r["context_vec"] for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and len(a) == len(rows) and all(np.allclose(a[i], b[i]) for i in a)
+    needed = stored["portion-items"]
+    assert needed.count() <= 12 * 19 + 2 * 20 and needed.groupBy("iid").count().where("iid = 1").first()["count"] > 5
+
+
+def test_a_portion_names_a_bounded_part_of_the_catalog(spark, monkeypatch):
+    rows = [(i, [1 + (3 * i + j) % 100 for j in range(3)], [1, 1, 1], 3, 1 + i % 90) for i in range(60)]
+    inst = spark.createDataFrame(rows, "instance_id long, history_iids array<long>, history_timestamps array<long>, target_timestamp long, ask long")
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 98)], "iid long, vec array<float>")
+    stored, store = [], tiles.materialise
+    monkeypatch.setattr(tiles, "materialise", lambda df, tag: (stored.append(store(df, tag)), stored[-1])[1] if tag == "portion-items" else store(df, tag))
+    monkeypatch.setattr(tiles, "beside_needed", functools.partial(tiles.beside_needed, portion_bytes=20 * 24))
+    got = att.attend(inst, items, None, "soft", key="vec", value="vec", broadcast_bytes=0, named={"query_vec": "ask", "last": "ask"}, keep=("last",))
+    want = att.attend(inst, items, None, "soft", key="vec", value="vec", named={"query_vec": "ask", "last": "ask"}, keep=("last",))
+    a, b = ({r["instance_id"]: (r["last"], *r["context_vec"]) for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and all(a[i][0] == b[i][0] == [1.0 + i % 90, 1.0] and np.allclose(a[i][1:], b[i][1:]) for i in a)
+    assert len(stored) > 1 and max(r["count"] for r in stored[-1].groupBy("portion").count().collect()) <= 20
