@@ -77,14 +77,18 @@ def pair_scores(pairs: DataFrame, instance_vectors: DataFrame, item_vectors: Dat
     return joined.withColumn(out, vx.dot("_u", "_e")).select(*pairs.columns, out)
 
 
-def training_scores(pairs: DataFrame, item_vectors: DataFrame) -> DataFrame:
+def training_scores(pairs: DataFrame, item_vectors: DataFrame | None, tau_beh: float = 1.0, tau_sem: float = 1.0) -> DataFrame:
     """Joint and attention-only scores of positive and negative items.
 
     ``pairs`` is ``instance_id, target_iid, negative_iid`` beside the instance's ``vec`` for the joint score and
     ``act_vec`` for the attention-only one; ``item_vectors`` holds both for items. The catalog is joined once per
     role (a small one by broadcast, so that pairs stay where they are) and all four products are taken in one pass.
-    """
 
+    Without ``item_vectors`` pairs hold ``user_vec, query_vec, pos_vec, neg_vec`` instead, one vector serving both terms of an item;
+    the joint score is then the sum of its two terms, scaled by ``tau_beh`` and ``tau_sem``, and no vectors are concatenated.
+    """
+    if item_vectors is None:
+        return _held_scores(pairs, tau_beh, tau_sem)
     catalog = store(item_vectors, "vec", "act_vec").beside()
 
     def side(item: str, prefix: str) -> DataFrame:
@@ -105,6 +109,16 @@ def training_scores(pairs: DataFrame, item_vectors: DataFrame) -> DataFrame:
     )
 
 
+def _held_scores(pairs: DataFrame, tau_beh: float, tau_sem: float) -> DataFrame:
+    act = {side: vx.dot("user_vec", f"{side}_vec") for side in ("pos", "neg")}
+    joint = {side: act[side] * tau_beh + vx.cosine("query_vec", f"{side}_vec") * tau_sem for side in act}
+    return pairs.select(
+        *(c for c in pairs.columns if c not in ("user_vec", "query_vec", "pos_vec", "neg_vec")),
+        *(joint[side].alias(f"{side}_score") for side in act),
+        *(act[side].alias(f"act_{side}_score") for side in act),
+    )
+
+
 class _Block:
     """Items of a catalog with their largest norm."""
 

@@ -12,6 +12,7 @@ from footfall.functions import vectors as vx
 from footfall.operators import attention as att
 from footfall.operators import factors, learned, metrics, ranking
 from footfall.plans import tiles
+from registry import rank_queries
 
 RNG = np.random.default_rng(11)
 D, N_ITEMS, N_INST, DAY = 6, 40, 25, 86_400_000
@@ -474,3 +475,15 @@ def test_a_portion_names_a_bounded_part_of_the_catalog(spark, monkeypatch):
     a, b = ({r["instance_id"]: (r["last"], *r["context_vec"]) for r in d.collect()} for d in (got, want))
     assert a.keys() == b.keys() and all(a[i][0] == b[i][0] == [1.0 + i % 90, 1.0] and np.allclose(a[i][1:], b[i][1:]) for i in a)
     assert len(stored) > 1 and max(r["count"] for r in stored[-1].groupBy("portion").count().collect()) <= 20
+
+
+def test_pairs_beside_a_large_catalog(spark, sf, monkeypatch):
+    """Vectors of query, history and both items come to the instances at once; pairs do not move to vectors."""
+    want = {r[0]: tuple(r)[1:] for r in rank_queries.pair_scores(spark, sf).collect()}
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(att, "attend", functools.partial(att.attend, broadcast_bytes=0))
+    scored = rank_queries.pair_scores(spark, sf)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r[0]: tuple(r)[1:] for r in scored.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=2e-6) for i in got)
+    assert not any("Join" in x for x in plan[: plan.index("MapInArrow")].splitlines())
