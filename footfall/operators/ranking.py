@@ -43,6 +43,8 @@ _SCORE_BYTES = 2 * 1024 * 1024
 _SLACK = 1e-8
 # Beyond it products are taken in double precision alone.
 _LARGE = 1e30
+# Share of the largest norm by which the items' second halves may miss one multiple of their first ones for both to be multiplied as one.
+_FOLD = 1e-4
 # Numbers of the vectors gathered at once for scores in double precision.
 _CELLS = 4_000_000
 
@@ -129,18 +131,43 @@ class _Block:
         self.ids, self.vectors = ids, vectors
         self.norm = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0)))
 
+    def folded(self) -> tuple[np.ndarray, float, float] | None:
+        """First halves of the items, a factor, and how far a second half is from that multiple of its first one, if not far.
+
+        So it is where both terms of a score use the same vector and a block's norms are near, as those of a large catalog are.
+        """
+        half, odd = divmod(self.vectors.shape[1], 2)
+        first, second = self.vectors[:, :half], self.vectors[:, half : 2 * half]
+        square = np.einsum("ij,ij->", first, first)
+        if odd or not square > 0:
+            return None
+        factor = float(np.einsum("ij,ij->", first, second) / square)
+        rest = second - factor * first
+        apart = float(np.sqrt(np.einsum("ij,ij->i", rest, rest).max()))
+        return (first, factor, apart) if apart <= _FOLD * self.norm and abs(factor) < 1e6 else None
+
     def scores(self, walk: _Walk, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Instances, their scores of all items and the error of these, some at a time; masked items score -inf."""
-        error = (self.vectors.shape[1] + 4) * 2.0**-24 * 1.01 * walk.norms * self.norm + _SLACK
+        mine, factor, apart = self.vectors, 0.0, 0.0
+        folded = self.folded() if self.norm < _LARGE else None
+        if folded:
+            mine, factor, apart = folded
+        error = ((mine.shape[1] + 4) * 2.0**-24 * 1.01 * (1 + abs(factor)) * self.norm + 1.01 * apart) * walk.norms + _SLACK
         narrow = self.norm < _LARGE and bool((walk.norms[rows] < _LARGE).all() and (error[rows] < _LARGE).all())
-        mine = self.vectors.astype(np.float32) if narrow else self.vectors
-        theirs = walk.narrow if narrow else walk.vectors
-        error = error if narrow else np.full(len(error), _SLACK)
+        if not narrow:
+            mine, folded, error = self.vectors, None, np.full(len(error), _SLACK)
+        mine = mine.astype(np.float32) if narrow else mine
+        half = mine.shape[1]
         own, at = walk.masked(self.ids, rows)
         step = max(1, _SCORE_BYTES // (4 * max(1, len(self.ids))))
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
-            scores = theirs[part] @ mine.T
+            if folded:
+                whole = walk.vectors[part]
+                theirs = (whole[:, :half] + factor * whole[:, half:]).astype(np.float32)
+            else:
+                theirs = (walk.narrow if narrow else walk.vectors)[part]
+            scores = theirs @ mine.T
             here = slice(*np.searchsorted(own, [i, i + step]))
             scores[own[here] - i, at[here]] = -np.inf
             yield part, scores, error[part]

@@ -431,6 +431,26 @@ def test_close_scores_are_taken_again_and_no_others(monkeypatch):
     assert sum(pairs) < 0.15 * 2 * scores.size
 
 
+def test_halves_in_proportion_are_multiplied_as_one():
+    rng = np.random.default_rng(22)
+    near = rng.normal(size=(200, 5))
+    near /= np.linalg.norm(near, axis=1)[:, None] * (1 + 1e-5 * rng.random(200))[:, None]
+    far = near * (1 + rng.random(200))[:, None]
+    users, ids, targets = rng.normal(size=(40, 10)), rng.permutation(200) + 1, rng.integers(0, 200, size=40)
+    part = pa.table({"instance_id": np.arange(40), "target_iid": ids[targets], "seen_iids": [[1, 2]] * 40, "vec": list(users)})
+    for first, folds in ((near, True), (far, False)):
+        items = np.hstack([first, first / np.linalg.norm(first, axis=1)[:, None]])
+        scores = np.round(users @ items.T, ranking.DIGITS)
+        count, best, block = ranking._Counting(part, scores[np.arange(40), targets]), ranking._Best(part, 4), ranking._Block(ids, items)
+        assert (block.folded() is not None) == folds
+        count.visit(block)
+        best.visit(block)
+        for i, t in enumerate(targets):
+            s = np.where((ids <= 2) & (ids != ids[t]), -np.inf, scores[i])
+            order = np.lexsort((ids, -s))
+            assert count.better[i] == np.flatnonzero(order == t)[0] and best.found[i].tolist() == ids[order[:4]].tolist()
+
+
 @pytest.mark.parametrize("large", [1e25, 1e33])
 def test_scores_beyond_single_precision(large):
     users, items = np.array([[large, 1.0], [1.0, 2.0]]), np.array([[1.0, 0.0], [2.0, large], [0.0, 1.0]])
